@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from versight.llm import line_cleaning
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,9 +24,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 QUERIES = {
+    "op3_line_cleaning": op3_line_cleaning,
     "op1_token_counts": op1_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL["op3_line_cleaning"] = line_cleaning.oracle()
