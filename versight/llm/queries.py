@@ -28,7 +28,14 @@ def op3_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.ngram_jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op3_line_cleaning": op3_line_cleaning,
     "op1_token_counts": op1_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
