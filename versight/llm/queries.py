@@ -34,7 +34,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op9_benchmark_leaks": op9_benchmark_leaks,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op3_line_cleaning": op3_line_cleaning,
     "op1_token_counts": op1_token_counts,
