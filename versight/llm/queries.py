@@ -40,7 +40,14 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.personal_data import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_personal_data": op7_personal_data,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op3_line_cleaning": op3_line_cleaning,
