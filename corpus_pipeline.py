@@ -1,27 +1,65 @@
-"""The corpus pipeline: stages that each take the documents that their predecessor kept."""
+"""The corpus pipeline: stages that each take the documents that their predecessor kept.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
+DataFrame, all but the last with the columns of ``documents``. ``run`` applies them, and
+writes what each stage but the last returns to the shared folder, so that a lost executor
+costs at most one stage's running tasks.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from versight.llm import shared
+from versight.llm import byte_bpe, decontamination, line_cleaning, ngram_jaccard, personal_data, shared
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every kept text."""
-    from versight.llm.byte_bpe import encode_documents
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rejected documents, and failing lines from the others. No shuffle."""
+    return line_cleaning.keep_clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies the document with the smallest id; of repeated ids one row.
+
+    Documents without an id or without words are in no group and stay.
+    """
+    found = ngram_jaccard.near_duplicates(docs)
+    gone = found.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item. No shuffle."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts; all documents stay."""
+    return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every kept text, and the digest of what they decode to."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte_bpe", encoded)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", near_copies),
+    ("benchmark_decontamination", decontaminated),
+    ("personal_data", redacted),
+    ("byte_bpe", encoded),
+]
 
+#: Retrieval, bootstrapping and tokenising have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

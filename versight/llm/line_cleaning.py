@@ -91,17 +91,8 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return let(n, named)
 
 
-def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The id, the base measures, the cleaned text and the verdict of each row.
-
-    Columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_lines (with a word), n_failed_lines, lost_chars, clean_text (the text without
-    failing lines; null for null), kept. A line without a word is neither judged nor
-    removed. Null texts count as empty, and empty ones fail the base rule. Null ids
-    are carried, repeated rows repeat, an empty table gives an empty result, and only
-    the two named columns are read, so others may have any names.
-    """
-    text = F.coalesce(F.col("_text"), F.lit(""))
+def measures(text: Column, rules: LineRules) -> Column:
+    """One struct of everything that is measured on a text."""
 
     def lines_of(lines: Column) -> Column:
         judged = F.transform(lines, lambda x: F.struct(x.alias("line"), word_chars(x).alias("chars")))
@@ -125,32 +116,57 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return let(judged, summary)
 
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    measured = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(text_col).alias("_text"),
-    ).select(
-        "_id",
-        F.col("_text").isNull().alias("_null"),
+    return F.struct(
         let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
         let(F.split(text, "\n", -1), lines_of).alias("l"),
         _count(text, r"[#*$%&|<>]").alias("n_symbols"),
     )
-    base_failed = (F.col("w.n_words") < 20) | (F.col("w.n_repeat_words") * 100 > F.col("w.n_words") * 30)
-    lost = F.col("l.sums.lost_chars")
-    return measured.select(
-        F.col("_id").alias(id_col),
-        F.col("w.n_words").alias("n_words"),
-        F.col("l.sums.word_chars").alias("word_chars"),
-        "n_symbols",
-        F.col("l.n_dup_lines").alias("n_dup_lines"),
-        F.col("w.n_repeat_words").alias("n_repeat_words"),
-        base_failed.alias("base_failed"),
-        (~base_failed & (lost * 100 <= F.col("l.sums.word_chars") * rules.max_lost_percent)).alias("kept"),
-        F.col("l.sums.n_lines").alias("n_lines"),
-        F.col("l.sums.n_failed_lines").alias("n_failed_lines"),
-        lost.alias("lost_chars"),
-        F.when(~F.col("_null"), F.col("l.clean_text")).alias("clean_text"),
-    )
+
+
+def _values(m: Column, rules: LineRules) -> dict[str, Column]:
+    base_failed = (m["w"]["n_words"] < 20) | (m["w"]["n_repeat_words"] * 100 > m["w"]["n_words"] * 30)
+    lost, chars = m["l"]["sums"]["lost_chars"], m["l"]["sums"]["word_chars"]
+    return {
+        "n_words": m["w"]["n_words"],
+        "word_chars": chars,
+        "n_symbols": m["n_symbols"],
+        "n_dup_lines": m["l"]["n_dup_lines"],
+        "n_repeat_words": m["w"]["n_repeat_words"],
+        "base_failed": base_failed,
+        "kept": ~base_failed & (lost * 100 <= chars * rules.max_lost_percent),
+        "n_lines": m["l"]["sums"]["n_lines"],
+        "n_failed_lines": m["l"]["sums"]["n_failed_lines"],
+        "lost_chars": lost,
+        "clean_text": m["l"]["clean_text"],
+    }
+
+
+def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """The id, the base measures, the cleaned text and the verdict of each row.
+
+    Columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, n_lines (with a word), n_failed_lines, lost_chars, clean_text (the text without
+    failing lines; null for null). A line without a word is neither judged nor removed.
+    Null texts count as empty, and empty ones fail the base rule. Null ids are carried,
+    repeated rows repeat, an empty table gives an empty result, and only the two named
+    columns are read, so others may have any names.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    measured = rows.select("_id", "_text", measures(F.coalesce(F.col("_text"), F.lit("")), rules).alias("_m"))
+    values = _values(F.col("_m"), rules)
+    values["clean_text"] = F.when(F.col("_text").isNotNull(), values["clean_text"])
+    return measured.select(F.col("_id").alias(id_col), *(c.alias(k) for k, c in values.items()))
+
+
+def keep_clean(docs: DataFrame, *, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their cleaned texts; the other columns stay.
+
+    The verdict filters inside a generator, so that it is computed once and not again in
+    a filter that is pushed down. Rejected rows, null and empty texts go.
+    """
+    judged = let(measures(F.coalesce(F.col(text_col), F.lit("")), rules), lambda m: F.struct(_values(m, rules)["kept"].alias("kept"), m["l"]["clean_text"].alias("clean")))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(F.filter(F.array(judged), lambda x: x["kept"])).alias("_line_verdict"))
+    return kept.select(*(F.col("_line_verdict.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(rules: LineRules = LineRules()) -> str:
