@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from versight.llm import line_cleaning
+from versight.llm import line_cleaning, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,21 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.warc_bundles import archive_folder, read_bundles, write_bundles
+
+    index = write_bundles(table(spark, sf_dir, "pages"), archive_folder(spark))
+    ids = {"page_id": F.col("record_id").try_cast("long"), "refers_to": F.col("refers_to").try_cast("long")}
+    return read_bundles(index).select(ids["page_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", ids["refers_to"].alias("refers_to"))
+
+
+def op6_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op6_url_verdicts": op6_url_verdicts,
+    "op4_warc_bundles": op4_warc_bundles,
     "op7_personal_data": op7_personal_data,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -57,3 +71,4 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op3_line_cleaning"] = line_cleaning.oracle()
+ORACLE_SQL["op6_url_verdicts"] = url_filter.oracle()
