@@ -58,7 +58,14 @@ def op6_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.quotations import link_quotations
+
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op2_quotation_links": op2_quotation_links,
     "op6_url_verdicts": op6_url_verdicts,
     "op4_warc_bundles": op4_warc_bundles,
     "op7_personal_data": op7_personal_data,
