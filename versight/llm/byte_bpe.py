@@ -151,7 +151,7 @@ def _parts(text: str) -> list[str]:
     cut = text.split(" ")
     out = [cut[0]]
     for x in cut[1:]:
-        if x and not x[0].isspace() and x[0] not in "\x85᠎​﻿":
+        if x and not x[0].isspace() and x[0] not in "\x85\u180e\u200b\ufeff":
             out.append(" " + x)
         else:
             out[-1] += " " + x

@@ -64,7 +64,14 @@ def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.block_labeller import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op5_main_text": op5_main_text,
     "op2_quotation_links": op2_quotation_links,
     "op6_url_verdicts": op6_url_verdicts,
     "op4_warc_bundles": op4_warc_bundles,
