@@ -11,11 +11,14 @@
    and the sum of the smaller counts bounds the intersection.
 4. Each candidate pair is verified once, on the whole sets.
 
-Lists of at most ``full_list`` classes yield all their pairs. A longer list (near copies
-by the thousand) yields links to leaders, a few for each class and round; classes that
-verified links connect need no further pairs for their component. What is not connected
-after these rounds is paired completely, but for pairs within a component. So no link
-between components is lost, and pairs don't grow with the square of a group.
+Lists of at most ``full_list`` classes yield all their pairs. The classes of longer lists
+(near copies by the thousand) are taken again, with exact shingle frequencies among them:
+what only one has cannot be shared, so classes with too much of it drop out, and the
+others get shorter prefixes and sharper filters. These lists yield links to leaders, a few
+for each class and round; classes that verified links connect need no further pairs for
+their component. What is not connected after these rounds is paired completely, but for
+pairs within a component. So no link between components is lost, and pairs don't grow
+with the square of a group that links connect.
 """
 
 from __future__ import annotations
@@ -86,15 +89,15 @@ def prefixes(rows: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
                     n = len(s)
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
                     firsts.append(_signed(s[order[: n - (n * percent + 99) // 100 + 1]]) if n else np.empty(0, np.int64))
-                    ranges.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
+                    ranges.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES).astype(np.int32))
                     keys.append(_class_key(s))
                     sizes.append(n)
                 ends = np.cumsum([0, *(len(f) for f in firsts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(ranges, pa.binary())], names=["_id", "v", "n", "prefix", "ranges"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(ranges) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate([np.empty(0, np.int32), *ranges])))], names=["_id", "v", "n", "prefix", "ranges"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"_id {id_type}, v long, n int, prefix array<long>, ranges binary")
+    return rows.mapInArrow(cut, f"_id {id_type}, v long, n int, prefix array<long>, ranges array<int>")
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -153,58 +156,62 @@ def _spark_hash(h: np.ndarray, i: int) -> np.ndarray:
         return final(turn(x, 23) * p2 + p3)
 
 
-def _fits(n: str, m: str, i: str, j: str, percent: int):
-    """Length and positional filter of a pair that shares a shingle at positions i and j of sizes n and m."""
-    n, m, i, j = F.col(n), F.col(m), F.col(i), F.col(j)
-    length = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return length & (most * (100 + percent) >= (n + m) * percent)
+def _fits(percent: int):
+    """Length and positional filter of two postings (1 and 2) of a shingle.
 
+    n is a set's size, pos the shingle's place among those of the set that can be shared at
+    all, and m their number.
+    """
+    n1, n2, m1, m2, p1, p2 = (F.col(c) for c in ("n1", "n2", "m1", "m2", "pos1", "pos2"))
+    length = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    most = F.least(p1, p2) + 1 + F.least(m1 - p1 - 1, m2 - p2 - 1)
+    return length & (most * (100 + percent) >= (n1 + n2) * percent) & (F.col("v1") != F.col("v2"))
+
+
+def _side(postings: DataFrame, i: int) -> DataFrame:
+    return postings.toDF(*(c if c == "s" else f"{c}{i}" for c in postings.columns))
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, extra=None) -> DataFrame:
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, extra: str) -> DataFrame:
     """Distinct fitting pairs (a < b) of postings that share a shingle."""
-    x, y = left.toDF(*(f"{c}1" if c != "s" else c for c in left.columns)), right.toDF(*(f"{c}2" if c != "s" else c for c in right.columns))
-    met = x.join(y, "s").where(_fits("n1", "n2", "pos1", "pos2", percent) & (F.col("v1") != F.col("v2")))
-    met = met.where(extra) if extra is not None else met
+    met = _side(left, 1).join(_side(right, 2), "s").where(_fits(percent)).where(extra)
     return met.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
 
 
 def _range_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: pairs whose range counts leave room for the intersection."""
+    one, two = classes.select(F.col("v").alias("a"), F.col("n").alias("n1"), F.col("ranges").alias("x")), classes.select(F.col("v").alias("b"), F.col("n").alias("n2"), F.col("ranges").alias("y"))
+    most = F.aggregate(F.zip_with("x", "y", lambda i, j: F.least(i, j)), F.lit(0), lambda acc, k: acc + k)
+    return pairs.join(one, "a").join(two, "b").where(most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("a", "b")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in (2, 3))
-                most, both = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(most * (100 + percent) >= both * percent))
 
-    one, two = classes.select(F.col("v").alias("a"), F.col("ranges").alias("x")), classes.select(F.col("v").alias("b"), F.col("ranges").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs and whether they link; one exact test a pair."""
+    one, two = sets.select(F.col("v").alias("a"), F.col("s").alias("x")), sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    linked = common * (100 + percent) >= (F.size("x") + F.size("y")) * percent
+    return written(pairs.join(one, "a").join(two, "b").select("a", "b", linked.alias("linked")), "verified")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with their intersection size and whether they link; one exact test a pair."""
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (xs, ys), n = (b.column(2), b.column(3)), b.num_rows
-            x, y = xs.values.to_numpy().view(np.uint64), ys.values.to_numpy().view(np.uint64)
-            xo, yo = xs.offsets.to_numpy(), ys.offsets.to_numpy()
-            ok = [False] * n
-            for r in range(n):
-                p, q = x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]]
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok[r] = common * 100 >= (len(p) + len(q) - common) * percent
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+def _exact_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """Postings of the classes in ``sets`` with exact frequencies among them.
 
-    one, two = sets.select(F.col("v").alias("a"), F.col("s").alias("x")), sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean"), "verified")
+    A shingle that one class has cannot be shared, and a class of which less than
+    ``percent`` can be shared links with nothing. The others' shared shingles are ordered
+    rare first; all but the last ceil(percent of the size) - 1 are the prefix.
+    """
+    each = written(sets.select("v", F.explode("s").alias("s")), "hotshingles")
+    shared = written(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "hotcounts")
+    own = each.join(shared, "s").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    own = own.join(sets.select("v", F.size("s").alias("n")), "v").withColumn("m", F.size("o")).withColumn("cut", F.col("m") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).where("cut > 0")
+    return own.select("v", "n", "m", F.posexplode(F.slice("o", 1, F.col("cut"))).alias("pos", "x")).select("x.s", "v", "n", "m", "pos")
+
+
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, full_list: int = 48, leaders: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, full_list: int = 48, leaders: int = 8, rounds: int = 2) -> DataFrame:
     """The id, n_shingles and component_id of each row.
 
     Rows link when 100 * intersection >= percent * union of their distinct k-word
@@ -220,40 +227,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cut = written(prefixes(rows, counts, k, percent), "prefixes")
     post = cut.where("n > 0").select("v", "n", F.posexplode("prefix").alias("pos", "s"))
     shared = written(post.groupBy("s").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("s"), "shared")
-    lists = written(post.join(shared, "s").select("s", "v", "n", "pos").distinct(), "lists")
-    size = written(lists.groupBy("s").agg(F.count("*").alias("size")).where(f"size > {full_list}").select("s"), "hot")
-    cold, hot = lists.join(size, "s", "left_anti"), written(lists.join(size, "s"), "hotlists")
-    classes = cut.where("n > 0").select("v", "ranges").dropDuplicates(["v"])
-    candidates = written(_range_filter(_pairs(cold, cold, percent, F.col("v1") < F.col("v2")), classes, percent), "pairs")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("v")).unionByName(hot.select("v"))
+    lists = written(post.join(shared, "s").select("s", "v", "n", "pos").distinct().select("s", "v", "n", F.col("n").alias("m"), "pos"), "lists")
+    large = written(lists.groupBy("s").agg(F.count("*").alias("size")).where(f"size > {full_list}").select("s"), "large")
+    cold, hot = lists.join(large, "s", "left_anti"), written(lists.join(large, "s").select("v").distinct(), "hot")
+    classes = cut.where("n > 0").select("v", "n", "ranges").dropDuplicates(["v"])
+    candidates = written(_range_filter(_pairs(cold, cold, percent, "v1 < v2"), classes, percent), "pairs")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("v")).unionByName(hot)
     sets = _sets_of(rows, ends, k)
     tested = [_verify(candidates, sets, percent)]
 
-    def links() -> DataFrame:
-        return reduce(DataFrame.unionByName, tested).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def all_tested() -> DataFrame:
+        return reduce(DataFrame.unionByName, tested)
 
-    label = components(links())
+    label = components(_links(tested[0]))
     if not hot.isEmpty():
+        again = written(_exact_postings(sets.join(hot, "v", "left_semi"), percent), "hotlists")
         for turn in range(rounds + 1):
-            now = written(hot.join(label.toDF("v", "root"), "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root"), "labelled")
-            mixed = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+            now = written(again.join(label.toDF("v", "root"), "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root"), "labelled")
+            mixed = written(now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s"), "mixed")
+            open_ = now.join(mixed, "s")
             if turn < rounds:  # links to a few leaders of other components
-                pick = now.join(mixed, "s").groupBy("s").agg(F.min_by(F.struct("v", "n", "pos", "c"), F.xxhash64("v", "s", F.lit(turn))).alias("l"))
-                met = now.join(written(pick, "leaders"), "s").where(F.col("c") != F.col("l.c")).select("v", "n", "pos", "s", F.col("l.v").alias("v2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-                met = met.where(_fits("n", "n2", "pos", "pos2", percent))
-                met = met.withColumn("k", F.row_number().over(W.partitionBy("v").orderBy(F.xxhash64("s", F.lit(turn)), "s"))).where(f"k <= {leaders}")
-                new = met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+                # first the class with the fewest shingles of its own: it is nearest to all; then any
+                first = F.struct((F.col("n") - F.col("m") if turn == 0 else F.lit(0)).alias("own"), F.xxhash64("v", "s", F.lit(turn)).alias("h"))
+                leader = F.min_by(F.struct("v", "n", "m", "pos", "c"), first)
+                pick = written(open_.groupBy("s").agg(leader.alias("l")).select("s", "l.*"), "leaders")
+                met = _side(open_, 1).join(_side(pick, 2), "s").where(_fits(percent) & (F.col("c1") != F.col("c2")))
+                met = met.withColumn("k", F.row_number().over(W.partitionBy("v1").orderBy(F.xxhash64("s", F.lit(turn)), "s"))).where(f"k <= {leaders}")
+                new = met.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
             else:  # every pair across components: the lesser part of each list against all of it
-                sizes = now.join(mixed, "s").groupBy("s", "c").agg(F.count("*").alias("size"))
+                sizes = open_.groupBy("s", "c").agg(F.count("*").alias("size"))
                 main = written(sizes.groupBy("s").agg(F.max_by("c", F.struct("size", "c")).alias("main")), "main")
-                known = now.join(main, "s")
-                new = _pairs(known.where("c != main").drop("main"), known.drop("main"), percent, F.col("c1") != F.col("c2"))
-            new = new.join(reduce(DataFrame.unionByName, tested).select("a", "b"), ["a", "b"], "left_anti")
-            new = written(_range_filter(new, classes, percent), "pairs")
-            if turn < rounds and new.isEmpty():
+                known = open_.join(main, "s")
+                new = _pairs(known.where("c != main").drop("main"), known.drop("main"), percent, "c1 != c2")
+            new = written(new.join(all_tested().select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if new.isEmpty():
                 continue
             tested.append(_verify(new, sets, percent))
-            label = components(links().unionByName(label))
+            label = components(_links(tested[-1]).unionByName(label.toDF("u", "v")))
     named = cut.select("_id", "v", "n").join(label.toDF("v", "root"), "v", "left").withColumn("c", F.coalesce("root", "v"))
     least = named.where("n > 0").groupBy("c").agg(F.min("_id").alias("least"))
     return named.join(least, "c", "left").select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
