@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_array(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.expr("cast(array() as array<string>)")
 
@@ -71,10 +76,15 @@ def hashed_embedding(text: Column, synonyms: dict[str, str], dims: int = 32) ->
     """Unit vector of token counts by bucket; the bucket is taken from the token's md5."""
     table = F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair)) if synonyms else F.expr("cast(map() as map<string,string>)")
     bucket = lambda t: F.conv(F.left(F.md5(F.coalesce(F.element_at(table, t), t)), F.lit(8)), 16, 10).cast("long") % dims
-    at = F.transform(tokenise(text), bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda b: b == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-    return F.when(norm == 0, counts).otherwise(F.transform(counts, lambda c: c / norm))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
+        return let(norm, lambda n: F.when(n == 0, counts).otherwise(F.transform(counts, lambda c: c / n)))
+
+    def counted(at: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda b: b == d)).cast("double")), unit)
+
+    return let(F.transform(tokenise(text), bucket), counted)
 
 
 def keywords(text: Column, stop, limit: int = 10) -> Column:

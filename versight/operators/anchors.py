@@ -34,7 +34,7 @@ def canonical(name: Column, table=L.CANONICAL) -> Column:
 def extract(text: Column, target: Column) -> Column:
     """All anchors of a text as one struct."""
     aim = canonical(F.coalesce(target, F.lit("")))
-    people = F.array_distinct(F.transform(find_terms(text, L.ANCHOR_CHARACTERS), canonical))
+    people = F.array_distinct(F.transform(find_terms(text, L.ANCHOR_CHARACTERS), lambda n: canonical(n)))
     groups = F.array(*(F.struct(F.lit(g).alias("g"), find_terms(text, v).alias("v")) for g, v in L.VERB_GROUPS.items()))
     phrases = F.filter(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), lambda p: (F.length(p) > 2) & ~F.lower(p).isin("the", "and"))
     return F.struct(

@@ -31,9 +31,9 @@ def event_overlap(types: Column, events: Column, text: Column, signals=L.SIGNALS
     for name, (categories, terms) in signals.items():
         hit = F.arrays_overlap(said, T.literal_array(list(dict.fromkeys((name, *categories)))))
         pairs += [F.lit(name), reduce(lambda a, b: a | b, (low.contains(t) for t in terms), hit)]
-    table, wanted = F.create_map(*pairs), F.array_distinct(F.transform(types, lambda t: F.lower(t)))
-    hit = lambda t: F.coalesce(F.element_at(table, t), F.array_contains(said, t) | low.contains(t))
-    return F.when(F.size(wanted) > 0, F.least(F.size(F.filter(wanted, hit)) / F.size(wanted), F.lit(1.0))).otherwise(0.0)
+    wanted = F.array_distinct(F.transform(types, lambda t: F.lower(t)))
+    hits = T.let(F.create_map(*pairs), lambda table: F.size(F.filter(wanted, lambda t: F.coalesce(F.element_at(table, t), F.array_contains(said, t) | low.contains(t)))))
+    return F.when(F.size(wanted) > 0, F.least(hits / F.size(wanted), F.lit(1.0))).otherwise(0.0)
 
 
 def source_score(channel: Column) -> Column:

@@ -55,7 +55,16 @@ def temporal_cue(text: Column, terms=L.TEMPORAL_CUES) -> Column:
     return F.least(F.size(F.array_intersect(T.tokenise(text), T.literal_array(terms))) / 3.0, F.lit(1.0))
 
 
-def score_items(items: DataFrame, chunks: DataFrame, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS) -> DataFrame:
+def score_items(items: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """Scores of all items, in blocks of at most about ``BROADCAST_ITEMS`` (they are counted)."""
+    blocks = -(-items.count() // BROADCAST_ITEMS)
+    if blocks <= 1:
+        return _score_block(items, chunks, **options)
+    parts = (items.where(F.pmod(F.xxhash64(*ITEM), F.lit(blocks)) == b) for b in range(blocks))
+    return reduce(DataFrame.unionByName, (_score_block(p, chunks, **options) for p in parts))
+
+
+def _score_block(items: DataFrame, chunks: DataFrame, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS) -> DataFrame:
     """Narrow rows (item, chunk, parts, final_score) with a positive score.
 
     ``flags`` switches parts off: lexical, semantic, character, event, timeline. BM25 and
@@ -67,7 +76,7 @@ def score_items(items: DataFrame, chunks: DataFrame, *, strict_characters: bool
     items = items.withColumn("item_key", item_key)
     tf, df, stats = bm25.index(chunks, key="chunk_index_global")
     lexical = bm25.scores(tf, df, stats, bm25.query_tokens(items, key="item_key", text_col="query"), decimals=None).toDF("item_key", "chunk_index_global", "bm25")
-    features = chunks.select("chunk_index_global", "book_name", "text", "character_mentions", "event_mentions", F.least(F.col("plot_density_score") / 50.0, F.lit(1.0)).alias("density"), (temporal_cue(F.col("text")) if on["timeline"] else F.lit(0.0)).alias("temporal"), chunk_signals(F.col("event_mentions"), F.col("text"), signals).alias("signals"), T.hashed_embedding(F.col("text"), synonyms).alias("vec"))
+    features = chunks.select("chunk_index_global", F.lower("text").alias("text"), "character_mentions", "event_mentions", F.least(F.col("plot_density_score") / 50.0, F.lit(1.0)).alias("density"), (temporal_cue(F.col("text")) if on["timeline"] else F.lit(0.0)).alias("temporal"), chunk_signals(F.col("event_mentions"), F.col("text"), signals).alias("signals"), T.hashed_embedding(F.col("text"), synonyms).alias("vec")).repartition("chunk_index_global")
     asked = items.select("item_key", *ITEM, "character", "channel", "incompatible_event_types", F.when(F.size("event_types") > 0, F.col("event_types")).otherwise(inferred_types(F.col("query"), signals)).alias("types"), F.when(F.size("incompatible_event_types") > 0, F.col("incompatible_event_types")).otherwise(inferred_types(F.col("query"), signals)).alias("against"), T.hashed_embedding(F.col("query"), synonyms).alias("qvec"))
     pairs = features.crossJoin(F.broadcast(asked)).join(lexical if on["lexical"] else lexical.limit(0), ["item_key", "chunk_index_global"], "left")
     against = F.col("channel").startswith("contradiction") | F.col("channel").startswith("incompatible")

@@ -61,7 +61,7 @@ def cooccurrence(chunks: DataFrame, canonical=A.canonical) -> DataFrame:
     Nearby pairs take the lesser name from a chunk and the other from at most two chunks
     before or after in the chapter.
     """
-    rows = chunks.select("book_name", "chapter_id", "chunk_index_in_chapter", "chunk_id", F.transform("character_mentions", canonical).alias("names"))
+    rows = chunks.select("book_name", "chapter_id", "chunk_index_in_chapter", "chunk_id", F.transform("character_mentions", lambda m: canonical(m)).alias("names"))
 
     def pairs(frame: DataFrame, left: str, right: str, name: str) -> DataFrame:
         each = frame.select(*[c for c in ("n",) if c in frame.columns], F.explode(left).alias("left"), F.col(right).alias("rs"))
