@@ -109,7 +109,7 @@ def test_bundles_round_trip(spark):
 
 def test_blocks():
     html = '<body><nav><ul><li><a href="x">A &amp; b</a></ul></nav><script>var t="</p>";</script><p>one\n two<br>three<p>four<!-- x --></body>'
-    assert [(p[-1], t) for p, t, _ in html_blocks.blocks_of(html)] == [("a", "A & b"), ("p", "one two three"), ("p", "four")]
+    assert [(p[-1], t) for p, t, _ in html_blocks.blocks_of(html)] == [("li", "A & b"), ("p", "one two three"), ("p", "four")]
 
 
 def test_labeller_held_out_accuracy_and_pages(spark):
