@@ -95,12 +95,12 @@ def tune_threshold(scored: DataFrame, *, least_recall: float | None = None) -> D
     else:
         cand = by.select("score")
     up = W.orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, 0)
-    whole = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    whole = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     x = by.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumns({"tp": F.sum("p").over(up), "pp": F.sum("n").over(up)}).join(cand.distinct(), "score").crossJoin(F.broadcast(whole))
     f1 = lambda tp, pp, ap: F.coalesce(F.try_divide(2 * tp, pp + ap), F.lit(0.0))
-    tn = (F.col("N") - F.col("P")) - (F.col("pp") - F.col("tp"))
-    macro = (f1(F.col("tp"), F.col("pp"), F.col("P")) + f1(tn, F.col("N") - F.col("pp"), F.col("N") - F.col("P"))) / 2
-    x = x.select("score", macro.alias("macro_f1"), F.coalesce(F.try_divide("tp", "P"), F.lit(0.0)).alias("recall"))
+    tn = (F.col("all_n") - F.col("all_p")) - (F.col("pp") - F.col("tp"))
+    macro = (f1(F.col("tp"), F.col("pp"), F.col("all_p")) + f1(tn, F.col("all_n") - F.col("pp"), F.col("all_n") - F.col("all_p"))) / 2
+    x = x.select("score", macro.alias("macro_f1"), F.coalesce(F.try_divide("tp", "all_p"), F.lit(0.0)).alias("recall"))
     good = x if least_recall is None else x.where(F.col("recall") >= least_recall)
     return good.orderBy(F.desc("macro_f1"), "score").limit(1).select(F.col("score").alias("threshold"), "macro_f1")
 
