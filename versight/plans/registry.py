@@ -413,7 +413,7 @@ def _pipeline(spark, sf, **options):
     """Claims from the benchmark met with annotated chunks: retrieval, re-ranking, verdicts."""
     items = table(spark, sf, "benchmark")
     examples = items.select(F.col("item_id").cast("string").alias("id"), F.lit("book").alias("book_name"), F.lit("that").alias("character"), F.col("text").alias("content"))
-    plans = planning.plan_claims(examples, max_claims=1)
+    plans = planning.plan_claims(examples)
     chunks = annotated(spark, sf)
     work = planning.work_items(plans, planning.families(plans), max_families=4)
     found = retrieval.retrieve(work, chunks, k=10, **options)
@@ -431,4 +431,7 @@ def flagship_pipeline(spark, sf):
 
 QUERIES["flagship_pipeline"] = flagship_pipeline
 QUERIES["ret_17_hybrid"] = lambda spark, sf: _pipeline(spark, sf)[2].select("example_id", "claim_id", "rank", "chunk_id", "channel", "source", "final_score")
+QUERIES["evl_10_diagnostics"] = lambda spark, sf: verify.diagnostics(
+    (lambda p: p[2].join(p[0].select("example_id", "claim_id", "character", "expected_event_types", "incompatible_event_types"), ["example_id", "claim_id"]).join(p[1].select("chunk_index_global", "character_mentions", "event_mentions"), "chunk_index_global"))(_pipeline(spark, sf))
+)
 QUERIES["cst_01_profiles"] = lambda spark, sf: timeline.profiles(annotated(spark, sf), NAMES)
