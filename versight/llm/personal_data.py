@@ -8,22 +8,26 @@ that long runs cost linear time.
 
 Bootstrapping:
 
-1. Instances: fixed forms, and other words that look like identifiers (they hold a digit).
-   Only these enter the graph.
+1. Seeds are the fixed forms. Instances are these, and every word or run of up to ``RUN``
+   words that stands at a candidate pattern and overlaps no fixed form.
 2. Patterns: the word before and the word after an instance, lower-cased, digits as 0, for
-   each kind: (before, after), (before, any) and (any, after).
+   each kind: (before, after), (before, any) and (any, after). Runs of several words count at
+   (before, after); at the other two, whose far end is open, only whole runs of words that
+   hold digits do.
 3. Scores: an instance that is a seed of the kind counts 1, a seed of another kind 0,
    others start at 0. A pattern's confidence is (sum of its distinct instances' scores) /
    (number of them + ``prior``); an instance's score is 1 - product of (1 - confidence) of
-   its high-confidence patterns. Both are computed again in each of ``rounds`` rounds; the
-   graph holds distinct (pattern, instance) edges, with their mentions counted before the
-   shuffle.
-4. Mentions of unseen identifiers at a pattern with confidence of ``confidence`` at least and
-   ``support`` distinct seeds become spans of the pattern's kind, where they overlap no
-   other span.
+   its confident patterns. A pattern is confident at ``confidence`` with ``support`` distinct
+   instances that score as much. Scores only grow, so rounds end when no pattern is new.
+4. A candidate is a pattern that has ``support`` such instances. The texts are read for the
+   distinct (candidate, instance) edges, which are aggregated before the shuffle; for the
+   contexts of what was discovered, which may give more candidates; and last for mentions at
+   confident patterns. These become spans of the pattern's kind; of overlapping ones the
+   longest, then the first.
 
 A frequent context (a third of all rows) is one pattern with many instances; sums are
 aggregated before the shuffle, and joins on patterns are split by adaptive execution.
+Words that hold the character NUL are taken for parts of fixed forms.
 """
 
 from __future__ import annotations
@@ -42,8 +46,9 @@ PATTERNS = {
 #: Cheap tests that a text may hold the kind at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": "+"}
 
-#: A word that holds a digit.
-IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+WORD = r"[^\x20\x09-\x0D]+"
+#: Words in a run, at most.
+RUN = 4
 #: Characters of a gap that are looked at for the word next to a match.
 CONTEXT = 64
 BLOCK = 256
@@ -141,52 +146,117 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(i, k) for i, k in enumerate(KINDS)))
 
 
-def other_spans(text: Column, base: Column) -> Column:
-    """Words like identifiers that overlap no fixed form."""
-    found = F.filter(spans_of(text, IDENTIFIER), lambda x: (F.length(x["m"]) >= 6) & (F.regexp_count(x["m"], F.lit("[0-9]")) >= 4) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with NUL for each character of the fixed forms."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(acc["at"], x["start"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit("\0"), x["end"] - start))
+        return F.when(x["end"] > acc["at"], F.struct(x["end"].alias("at"), more.alias("out"))).otherwise(acc)
 
-def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _k (hash of the text), base, other of each row; the texts are read once."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    found = let(base_spans(text), lambda b: F.struct(b.alias("base"), other_spans(text, b).alias("other")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.select("_id", F.xxhash64("_text").alias("_k"), found.alias("f")).select("_id", "_k", "f.base", "f.other")
+    places = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(places, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))))
 
 
-def _edges(rows: DataFrame) -> DataFrame:
-    """(p, inst, kind, _id, _k, start, end): mentions by pattern; kind is null for unseen words."""
-    none = F.lit(None).cast("int")
-    fields = ("start", "end", "m", "before", "after")
-    both = F.concat(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), *(x[f].alias(f) for f in fields))), F.transform("other", lambda x: F.struct(none.alias("kind"), *(x[f].alias(f) for f in fields))))
-    mention = rows.where((F.size("base") > 0) | (F.size("other") > 0)).select("_id", "_k", F.explode(both).alias("x")).select("_id", "_k", "x.*").where("before != '' or after != ''")
-    patterns = F.array(F.xxhash64(F.lit(0), "before", "after"), F.when(F.col("before") != "", F.xxhash64(F.lit(1), "before")), F.when(F.col("after") != "", F.xxhash64(F.lit(2), "after")))
-    return mention.select(F.explode(patterns).alias("p"), F.xxhash64(F.lower("m")).alias("inst"), "kind", "_id", "_k", "start", "end").where("p is not null")
+def _pattern(before: Column, after: Column) -> list[Column]:
+    """Keys of the three patterns, from hashes of the words (null: no word)."""
+    return [F.when(before.isNotNull() | after.isNotNull(), F.xxhash64(F.lit(0), before, after)), F.when(before.isNotNull(), F.xxhash64(F.lit(1), before)), F.when(after.isNotNull(), F.xxhash64(F.lit(2), after))]
 
 
-def discover(rows: DataFrame, *, rounds: int = 2, confidence: float = 0.8, support: int = 5, prior: float = 1.0) -> DataFrame:
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _k (hash of the text), base of each row."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.select("_id", F.xxhash64("_text").alias("_k"), base_spans(F.coalesce("_text", F.lit(""))).alias("base"))
+
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    """Distinct (p, inst, kind) of the fixed forms."""
+    mention = rows.where(F.size("base") > 0).select(F.explode("base").alias("x")).select("x.*")
+    word = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
+    inst = F.xxhash64(F.lower("m")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col("m").rlike("[0-9]"), 1).otherwise(0).cast("long"))
+    return mention.select(F.explode(F.array(*_pattern(word("before"), word("after")))).alias("p"), inst.alias("inst"), "kind").where("p is not null").distinct()
+
+
+def _slots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _k, i, l, inst, ps): words and runs outside fixed forms by the number of their first word, and their patterns."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(WORD))
+    low = F.lower(_masked(F.col("_text"), base_spans(F.col("_text"))))
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    # the last bit of a word's hash tells whether it holds a digit
+    plain = lambda x: F.translate(x, "123456789", "000000000")
+    own = lambda x: F.when(~x.contains("\0"), F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(plain(x).contains("0"), 1).otherwise(0).cast("long")))
+    made = F.transform(words, lambda x: F.struct(own(x).alias("g"), F.xxhash64(plain(F.right(x, F.lit(CONTEXT)))).alias("b"), F.xxhash64(plain(F.left(x, F.lit(CONTEXT)))).alias("a")))
+    one = lambda w: F.transform(w, lambda x, i: F.struct(i.alias("i"), F.get(w, i - 1)["b"].alias("b"), F.get(w, i - 1)["g"].alias("gb"), x["g"].alias("g0"), *(F.get(w, i + n)[f].alias(f"{f}{n}") for n in range(1, RUN + 1) for f in "ga")))
+    x = rows.select("_id", F.xxhash64("_text").alias("_k"), F.explode(let(made, one)).alias("x")).select("_id", "_k", "x.*").where("g0 is not null")
+    digit = lambda c: F.coalesce(F.col(c).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    runs, none = [], F.lit(None).cast("long")
+    for n in range(1, RUN + 1):
+        both, *open_ = _pattern(F.col("b"), F.col(f"a{n}"))
+        inst, whole, numbers = F.col("g0"), F.lit(True), ~digit("gb") & ~digit(f"g{n}")
+        for m in range(n):
+            whole, numbers = whole & F.col(f"g{m}").isNotNull(), numbers & digit(f"g{m}")
+        if n > 1:
+            inst = F.xxhash64(*(F.col(f"g{m}") for m in range(n)))
+            both, open_ = F.when(F.col("b").isNotNull() & F.col(f"a{n}").isNotNull() | numbers, both), [F.when(numbers, o) for o in open_]
+        runs.append(F.when(whole, F.struct(F.lit(n).alias("l"), inst.alias("inst"), F.array(both, *open_).alias("ps"))))
+    return x.select("_id", "_k", "i", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("_id", "_k", "i", "r.*")
+
+
+def _met(slots: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Mentions at the given patterns: (p, inst, _id, _k, i, l)."""
+    found = slots.select("_id", "_k", "i", "l", "inst", F.explode("ps").alias("p")).where("p is not null")
+    few = patterns.select("p").distinct()
+    return found.join(F.broadcast(few) if few.count() <= 50 * BROADCAST_ROWS else few, "p")
+
+
+def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, confidence: float = 0.8, support: int = 5, prior: float = 1.0) -> DataFrame:
     """(_id, _k, kind, start, end) of mentions that confident patterns find, each place once."""
-    mentions = written(_edges(rows), "mentions")
-    edges = written(mentions.select("p", "inst", "kind").distinct(), "graph")
-    total = edges.groupBy("p").agg(F.count_distinct("inst").alias("n"))
-    seeds = edges.where("kind is not null").select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores, good = seeds, None
-    for _ in range(rounds):
-        met = edges.select("p", "inst").distinct().join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.sum(F.when(F.col("score") == 1.0, 1).otherwise(0)).alias("seeds"))
-        good = written(met.where(f"seeds >= {support}").join(total, "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
-        if good.isEmpty():
+    seeds = written(_seeds(rows), "seeds")
+    known = seeds.select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
+    slots = _slots(docs, id_col, text_col)
+    enough = lambda edges, scores: edges.join(scores.where(f"score >= {confidence}"), "inst").groupBy("p", "kind").agg(F.count_distinct("inst").alias("c")).where(f"c >= {support}").select("p").distinct()
+    candidates = written(enough(seeds.select("p", "inst").distinct(), known), "candidates")
+    fresh, edges, contexts, asked, n_good, good, scores = candidates, seeds.select("p", "inst").distinct(), seeds.select("p", "inst").distinct(), None, 0, None, known
+    while not fresh.isEmpty():
+        edges = written(edges.unionByName(_met(slots, fresh).select("p", "inst")).distinct(), "graph")
+        total = edges.groupBy("p").agg(F.count("*").alias("n")).join(candidates, "p", "left_semi")
+        while True:  # scores over the candidates' edges
+            met = edges.join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confidence).alias("c")).where(f"c >= {support}")
+            good = written(met.join(total, "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
+            unseen = edges.join(good, "p").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+            scores = written(known.unionByName(unseen.join(known.select("inst").distinct(), "inst", "left_anti")), "scores")
+            if (n := good.count()) == n_good:
+                break
+            n_good = n
+        # contexts of what was discovered since may be candidates too
+        found = scores.where(f"score >= {confidence}").select("inst").distinct().join(known.select("inst"), "inst", "left_anti")
+        new = written(found if asked is None else found.join(asked, "inst", "left_anti"), "found")
+        if new.isEmpty():
             break
-        unseen = edges.where("kind is null").select("p", "inst").distinct().join(good, "p").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-        scores = written(seeds.unionByName(unseen.join(seeds.select("inst").distinct(), "inst", "left_anti").where("score < 1.0")), "scores")
-    hits = mentions.where("kind is null").drop("kind", "inst").join(good, "p").groupBy("_id", "_k", "start", "end").agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))
-    return written(hits.select("_id", "_k", "kind", "start", "end"), "discovered")
-
-
-def _all_spans(rows: DataFrame) -> DataFrame:
+        asked = new if asked is None else asked.unionByName(new)
+        few = F.broadcast(new) if new.count() <= 50 * BROADCAST_ROWS else new
+        contexts = written(contexts.unionByName(slots.join(few, "inst").select(F.explode("ps").alias("p"), "inst").where("p is not null")).distinct(), "contexts")
+        fresh = written(enough(contexts, scores).join(candidates, "p", "left_anti"), "candidates")
+        candidates = candidates.unionByName(fresh)
+    if not n_good:
+        return docs.sparkSession.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
+    best = F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind")
+    hits = written(_met(slots, good).join(F.broadcast(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
+    places = hits.groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("i", -F.col("l"), "l", "kind"))).alias("at"))
+    texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).dropDuplicates(["_i", "_h"])
+    placed = places.join(texts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")))
+    spans = let(spans_of(F.col("_text"), WORD), lambda w: F.transform("at", lambda x: F.struct(F.get(w, x["i"])["start"].alias("start"), F.get(w, x["i"] + x["l"] - 1)["end"].alias("end"), x["kind"].alias("kind"))))
+    # longest first among overlapping ones: a span goes if a longer one, or an earlier one as long, is kept over it
+    order = F.array_sort(F.transform(spans, lambda x: F.struct((x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    kept = F.aggregate(order, F.expr("cast(array() as array<struct<n:int,start:int,end:int,kind:int>>)"), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return written(placed.select("_id", "_k", F.explode(kept).alias("x")).select("_id", "_k", "x.kind", "x.start", "x.end"), "discovered")
+
+
+def _all_spans(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rows with ``spans``: fixed forms and discovered ones, by kind, then start."""
     place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    new = discover(rows)
+    new = discover(docs, rows, id_col=id_col, text_col=text_col)
     if new.isEmpty():
         return rows.withColumn("spans", F.transform("base", place))
     more = new.groupBy(F.col("_id").alias("_i"), F.col("_k").alias("_h")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"))
@@ -207,7 +277,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spans (the digest is that of the empty string); null ids are carried; repeated rows
     repeat; an empty table gives an empty result. Only the two named columns are read.
     """
-    rows = _all_spans(written(_scan(docs, id_col, text_col), "spans"))
+    rows = _all_spans(docs, written(_scan(docs, id_col, text_col), "spans"), id_col, text_col)
     counts = [F.size(F.expr(f"filter(base, x -> x.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(F.col("_id").alias(id_col), *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"))
 
@@ -218,8 +288,8 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     Fixed forms are replaced where the row stands. Discovered spans are joined to it: by a
     broadcast if they are few (``BROADCAST_ROWS`` at most, counted), else by a shuffle.
     """
-    rows = written(_scan(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("other") > 0)), "spans")
-    new = discover(rows)
+    rows = written(_scan(docs, id_col, text_col).where(F.size("base") > 0), "spans")
+    new = discover(docs, rows, id_col=id_col, text_col=text_col)
     place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
     text, out = F.col(text_col), docs
     extra = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
