@@ -2,11 +2,11 @@
 
 A line's quote level is the number of ``>`` it starts with (blanks between are allowed).
 Runs of consecutive lines of one level are passages. Normalised passages and lines (A-Z
-lower-cased, white space as single blanks, at least ``min_words`` words) are hashed, and
+lower-cased, white space as single blanks, with a letter or digit) are hashed, and
 hashes of quotes are joined, within a conversation, to the *first* message that says the
 same without a quote: originals are aggregated to one row for each hash first, so a line
 that everybody repeats costs one row and no pairs. A message replies to the latest of the
-earlier messages that its level-1 passages quote. Roots and depths follow by pointer
+earlier messages that its passages quote at the lowest level that links. Roots and depths follow by pointer
 doubling over replies, each round written, so the number of rounds is the logarithm of the
 deepest thread; messages are never gathered by conversation.
 """
@@ -20,6 +20,8 @@ from versight.llm.shared import let, written
 MARK = r"\A(?:[\x20\x09]*>)+[\x20\x09]?"
 #: The line that introduces a quote.
 INTRODUCTION = r"(?i)\A[\x20\x09]*(?:on\x20.+\x20wrote|am\x20.+\x20schrieb.*|le\x20.+\x20a\x20écrit|el\x20.+\x20escribió)[\x20\x09]*:[\x20\x09\x0D]*\z"
+#: A passage needs a word.
+WORD = r"[\p{L}\p{N}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +64,7 @@ def _rooted(replies: DataFrame) -> DataFrame:
         now = now.drop("_moved")
 
 
-def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_words: int = 3) -> DataFrame:
+def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """One row per message: its ids and role, clean_text, formatted, n_quotes, max_level, parent_turn, root_turn, depth.
 
     Ordered by (conversation, root_turn, turn), threads stand together and each message
@@ -75,7 +77,7 @@ def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col:
     text = F.coalesce(F.col("_x"), F.lit(""))
     rows = messages.select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.col(role_col).alias("_r"), F.col(text_col).alias("_x"))
     lines = rows.select("_c", "_t", "_r", let(_lines(text), lambda a: F.struct(a.alias("lines"), F.exists(a, lambda x: x["level"] > 0).alias("quotes"))).alias("l"))
-    quoting = lines.where("l.quotes and _c is not null and _t is not null").select("_c", "_t", F.explode(_passages(F.col("l.lines"))).alias("p")).where(f"p.level > 0 and size(split(p.text, ' ')) >= {min_words}")
+    quoting = lines.where("l.quotes and _c is not null and _t is not null").select("_c", "_t", F.explode(_passages(F.col("l.lines"))).alias("p")).where(f"p.level > 0 and size(split(p.text, ' ')) >= {min_words}").where(F.col("p.text").rlike(WORD))
     quoted = written(quoting.select("_c", "_t", "p.level", F.md5("p.text").alias("_h")).distinct(), "quotes")
     clean = F.trim(F.array_join(F.transform(F.filter("l.lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \t\r\n"))
     levels = F.transform("l.lines", lambda x: F.greatest(x["level"], F.lit(0)))
@@ -86,9 +88,10 @@ def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col:
     else:
         wanted = quoted.select("_c").distinct()
         said = lines.where("_c is not null and _t is not null").join(written(wanted, "conversations"), "_c", "left_semi")
-        said = said.select("_c", "_t", F.explode(_passages(F.col("l.lines"))).alias("p")).where(f"p.level = 0 and size(split(p.text, ' ')) >= {min_words}")
+        said = said.select("_c", "_t", F.explode(_passages(F.col("l.lines"))).alias("p")).where(f"p.level = 0 and size(split(p.text, ' ')) >= {min_words}").where(F.col("p.text").rlike(WORD))
         first = said.groupBy("_c", F.md5("p.text").alias("_h")).agg(F.min("_t").alias("_o"))
-        replies = quoted.where("level = 1").join(first, ["_c", "_h"]).where("_o < _t").groupBy("_c", "_t").agg(F.max("_o").alias("_p"))
+        linked = quoted.join(first, ["_c", "_h"]).where("_o < _t")
+        replies = linked.groupBy("_c", "_t").agg(F.max_by("_o", F.struct(-F.col("level"), "_o")).alias("_p"))
         replies = written(replies, "parents")
         out = shown.join(replies, ["_c", "_t"], "left").join(_rooted(replies), ["_c", "_t"], "left")
     return out.select(
