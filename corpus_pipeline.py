@@ -22,13 +22,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id; of repeated ids one row.
+    """Keeps of each group of near copies one row: of the smallest id, and of its texts the one with the smallest hash.
 
-    Documents without an id or without words are in no group and stay.
+    Rows are told apart by id and text, so another text of the same id stays, and of rows that
+    repeat both one stays. Documents without an id or without words are in no group and stay.
     """
-    found = ngram_jaccard.near_duplicates(docs)
-    gone = found.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    h = F.xxhash64("text")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", h.alias("h"))).alias("key"), "text")
+    found = shared.written(ngram_jaccard.near_duplicates(keyed, id_col="key").where("n_shingles > 0 and key is not null"), "groups")
+    rows, on = docs.select(*COLUMNS, h.alias("h")), ["doc_id", "h"]
+    kept = rows.join(found.where("component_id < key").select("key.*").distinct(), on, "left_anti")
+    repeated = shared.written(found.where("component_id = key").groupBy("key").count().where("count > 1").select("key.*"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, on, "left_semi").groupBy(*on).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(repeated, on, "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
