@@ -240,6 +240,26 @@ def ret_07_keyword_overlap(spark, sf):
     return pairs.select("item_id", "doc_id", retrieval.keyword_overlap(F.col("q"), F.col("text")).cast("long").alias("n_hits")).where("n_hits > 15")
 
 
+@query()
+def ret_02_document_frequency_whole(spark, sf):
+    """The frequency of every token; the query above and its SQL leave out those of one chunk. Tests compare with brute force."""
+    return _bm25(spark, sf)[1].select("token", "df")
+
+
+@query()
+def ret_11_normalised_whole(spark, sf):
+    """Every normalised score, not only those from 0.8."""
+    return bm25.normalised(bm25.scores(*_bm25(spark, sf)), per="query").select("query", "doc", F.round("norm", 4).alias("norm"))
+
+
+@query()
+def ret_07_keyword_overlap_whole(spark, sf):
+    """Every pair of item and document, not only those of more than 15 hits."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
+    pairs = _docs(spark, sf).crossJoin(F.broadcast(items))
+    return pairs.select("item_id", "doc_id", retrieval.keyword_overlap(F.col("q"), F.col("text")).cast("long").alias("n_hits"))
+
+
 _COS = "CASE WHEN sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) = 0 THEN 0 ELSE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))) END"
 
 
