@@ -193,6 +193,26 @@ def pln_16_work_items(spark, sf):
     return planning.work_items(plans, planning.families(plans)).groupBy("example_id", F.col("claim_id").cast("long").alias("claim_id")).agg(F.count("*").alias("n_items"))
 
 
+def _benchmark_examples(spark, sf) -> DataFrame:
+    items = table(spark, sf, "benchmark")
+    return items.select(F.col("item_id").cast("string").alias("id"), F.lit("book").alias("book_name"), F.lit("that").alias("character"), F.col("text").alias("content"))
+
+
+@query()
+def pln_13_claims_and_families_whole(spark, sf):
+    """The query above over all of benchmark; tests compare with brute force."""
+    plans = planning.plan_claims(_benchmark_examples(spark, sf))
+    n = planning.families(plans).groupBy("example_id", "claim_id").agg(F.count("*").alias("n_families"))
+    return plans.join(n, ["example_id", "claim_id"]).select("example_id", F.col("claim_id").cast("long").alias("claim_id"), "claim_type", "n_families", F.size("incompatible_states").cast("long").alias("n_states"))
+
+
+@query()
+def pln_16_work_items_whole(spark, sf):
+    """Work items of every claim of benchmark."""
+    plans = planning.plan_claims(_benchmark_examples(spark, sf))
+    return planning.work_items(plans, planning.families(plans)).groupBy("example_id", F.col("claim_id").cast("long").alias("claim_id")).agg(F.count("*").alias("n_items"))
+
+
 _INDEX = f"""
 {CHUNKS},
 k AS (SELECT doc_id * 10000 + i AS doc, {TOKENS.format('text')} AS t FROM chunks),
@@ -431,9 +451,7 @@ def snk_15_cache_misses(spark, sf):
 
 def _pipeline(spark, sf, **options):
     """Claims from the benchmark met with annotated chunks: retrieval, re-ranking, verdicts."""
-    items = table(spark, sf, "benchmark")
-    examples = items.select(F.col("item_id").cast("string").alias("id"), F.lit("book").alias("book_name"), F.lit("that").alias("character"), F.col("text").alias("content"))
-    plans = planning.plan_claims(examples)
+    plans = planning.plan_claims(_benchmark_examples(spark, sf))
     chunks = annotated(spark, sf)
     work = planning.work_items(plans, planning.families(plans), max_families=4)
     found = retrieval.retrieve(work, chunks, k=10, **options)
