@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from versight.llm import block_labeller, components, decontamination, html_blocks, ngram_jaccard, warc_bundles
@@ -56,6 +57,33 @@ def test_near_duplicates_with_large_lists(spark):
     assert ngram_jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def variants(n, edits, seed, with_base=True):
+    """Copies of a text with a few words replaced, dropped or put in."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, n):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1, 1, 2])] = [f"y{rng.randrange(40)}"] * rng.choice([0, 1, 1, 1, 2])
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("edits", "full_list", "with_base"), [((0, 1, 2, 3, 4), 8, True), ((1, 2, 2, 3, 4), 48, False), ((2, 3, 3, 4), 8, False)])
+def test_near_duplicates_of_large_groups(spark, edits, full_list, with_base):
+    rows = variants(300, edits, full_list, with_base) + [(k + 5000, t + " and so on it goes") for k, t in variants(60, edits, 9)]
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), full_list=full_list)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
+
+
+def test_near_duplicates_ignore_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "A b c d e f", 2, "y"), (2, "A b c d e f", 2, "y"), (3, None, 0, None)]
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id long, n string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(5, 5), (None, 3)]
     got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from versight.llm.shared import written
+from versight.llm.shared import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,9 +22,10 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(u, v): v is the least node of u's component, for each node u that is not the least.
 
     ``edges`` has columns u and v of one orderable type; nulls and loops are ignored.
-    Each round is one job whose result is written to the shared folder; minima are
-    aggregated before the shuffle, so a hub costs no unbounded group. Rounds grow with
-    the logarithm of the number of nodes; ``max_rounds`` only guards against an error and
+    Each round is one job whose result is written to the shared folder, and whose
+    predecessor's files go. Minima are aggregated before the shuffle; a hub's edges meet
+    its minimum in a join of one row with many, which adaptive execution splits. Rounds
+    grow with the logarithm of the number of nodes; ``max_rounds`` only guards against an error and
     raises when reached.
     """
     now = written(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
@@ -33,7 +34,8 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             return now
-        now = written(_star(_star(now, True), False), "edges")
+        last, now = now, written(_star(_star(now, True), False), "edges")
+        discard(last)
         after = mark(now)
         if after == before:
             return now
