@@ -49,8 +49,6 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a run, at most.
 RUN = 4
-#: Characters of a gap that are looked at for the word next to a match.
-CONTEXT = 64
 BLOCK = 256
 BROADCAST_ROWS = 10_000
 
@@ -79,11 +77,15 @@ def _valid(kind: str, m: Column) -> Column:
 SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 
 
+def _plain(x: Column) -> Column:
+    """Lower-cased, digits as 0."""
+    return F.translate(F.lower(x), "123456789", "000000000")
+
+
 def _near(gap: Column, last: bool) -> Column:
-    """The last or first word of a gap (of its nearest ``CONTEXT`` characters), lower-cased, digits as 0."""
-    part = F.right(gap, F.lit(CONTEXT)) if last else F.left(gap, F.lit(CONTEXT))
-    word = F.regexp_extract(part, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z" if last else r"\A[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    return F.regexp_replace(F.lower(word), "[0-9]", "0")
+    """The last or first word of a gap; linear in its length."""
+    word = F.regexp_extract(F.reverse(gap) if last else gap, r"\A[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)
+    return _plain(F.reverse(word) if last else word)
 
 
 def _placed(parts: Column) -> Column:
@@ -122,8 +124,7 @@ def spans_of(text: Column, pattern: str) -> Column:
 
         def around(m: Column, i: Column) -> Column:
             before, after = _near(F.get(gaps, i), True), _near(F.get(gaps, i + 1), False)
-            word = lambda x: F.regexp_replace(F.lower(F.right(x, F.lit(CONTEXT))), "[0-9]", "0")
-            return F.struct(F.get(gaps, i).alias("g"), m.alias("m"), F.when(before == "", F.coalesce(word(F.get(found, i - 1)), F.lit(""))).otherwise(before).alias("before"), F.when(after == "", F.coalesce(word(F.get(found, i + 1)), F.lit(""))).otherwise(after).alias("after"))
+            return F.struct(F.get(gaps, i).alias("g"), m.alias("m"), F.when(before == "", F.coalesce(_plain(F.get(found, i - 1)), F.lit(""))).otherwise(before).alias("before"), F.when(after == "", F.coalesce(_plain(F.get(found, i + 1)), F.lit(""))).otherwise(after).alias("after"))
 
         return let(F.transform(found, around), _placed)
 
@@ -171,82 +172,108 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """Distinct (p, inst, kind) of the fixed forms."""
+    """Distinct (p, inst, kind, hb) of the fixed forms; hb is the word before, for patterns of both sides."""
     mention = rows.where(F.size("base") > 0).select(F.explode("base").alias("x")).select("x.*")
     word = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
     inst = F.xxhash64(F.lower("m")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col("m").rlike("[0-9]"), 1).otherwise(0).cast("long"))
-    return mention.select(F.explode(F.array(*_pattern(word("before"), word("after")))).alias("p"), inst.alias("inst"), "kind").where("p is not null").distinct()
+    return _edges(mention.select(F.array(*_pattern(word("before"), word("after"))).alias("ps"), word("before").alias("b"), inst.alias("inst"), "kind")).distinct()
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """A row for each pattern of ``ps``, as p and hb, with the other columns."""
+    others = [c for c in found.columns if c not in ("ps", "b")]
+    return found.select(*others, "b", F.posexplode("ps").alias("t", "p")).where("p is not null").select("p", *others, F.when(F.col("t") == 0, F.col("b")).alias("hb"))
 
 
-def _slots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _k, i, l, inst, ps): words and runs outside fixed forms by the number of their first word, and their patterns."""
+def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: DataFrame | None = None) -> DataFrame:
+    """(_id, _k, i, l, inst, b, ps): words, or longer runs, outside fixed forms by the number of their first word, and their patterns.
+
+    ``befores``: hashes of the words before runs that matter; runs of words with digits are
+    kept anyway. Neighbours are zipped arrays, so what follows runs row by row in generated code.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(WORD))
     low = F.lower(_masked(F.col("_text"), base_spans(F.col("_text"))))
-    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
-    # the last bit of a word's hash tells whether it holds a digit
-    plain = lambda x: F.translate(x, "123456789", "000000000")
-    own = lambda x: F.when(~x.contains("\0"), F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(plain(x).contains("0"), 1).otherwise(0).cast("long")))
-    made = F.transform(words, lambda x: F.struct(own(x).alias("g"), F.xxhash64(plain(F.right(x, F.lit(CONTEXT)))).alias("b"), F.xxhash64(plain(F.left(x, F.lit(CONTEXT)))).alias("a")))
-    one = lambda w: F.transform(w, lambda x, i: F.struct(i.alias("i"), F.get(w, i - 1)["b"].alias("b"), F.get(w, i - 1)["g"].alias("gb"), x["g"].alias("g0"), *(F.get(w, i + n)[f].alias(f"{f}{n}") for n in range(1, RUN + 1) for f in "ga")))
-    x = rows.select("_id", F.xxhash64("_text").alias("_k"), F.explode(let(made, one)).alias("x")).select("_id", "_k", "x.*").where("g0 is not null")
-    digit = lambda c: F.coalesce(F.col(c).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    runs, none = [], F.lit(None).cast("long")
-    for n in range(1, RUN + 1):
+    words = lambda x: F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), "")
+    rows = rows.select("_id", F.xxhash64("_text").alias("_k"), low.alias("low")).select("_id", "_k", words(F.col("low")).alias("w"), words(F.translate("low", "123456789", "000000000")).alias("c"))
+    size = F.size("w")
+    shift = lambda c, j: F.slice(c, j + 1, size).alias(f"{c}{j}") if j else F.col(c).alias(f"{c}0")
+    last = RUN if longer else 1
+    parts = [F.sequence(F.lit(0), size).alias("i"), F.concat(F.array(F.lit(None).cast("string")), F.col("c")).alias("b"), *(shift("w", j) for j in range(last)), *(shift("c", j) for j in range(last + 1))]
+    x = rows.select("_id", "_k", F.inline(F.arrays_zip(*parts))).toDF("_id", "_k", "i", "b", *(f"w{j}" for j in range(last)), *(f"c{j}" for j in range(last + 1)))
+    digit = lambda c: F.coalesce(F.col(c).contains("0") & ~F.col(c).contains("\0"), F.lit(False))
+    x = x.where("w0 is not null").where(~F.col("w0").contains("\0"))
+    word = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c)))
+    inst = lambda j: F.when(~F.col(f"w{j}").contains("\0"), F.xxhash64(F.col(f"w{j}")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col(f"c{j}").contains("0"), 1).otherwise(0).cast("long")))
+    if not longer:
+        x = x.select("_id", "_k", "i", inst(0).alias("inst"), word("b").alias("b"), word("c1").alias("a"))
+        return x.select("_id", "_k", "i", F.lit(1).alias("l"), "inst", "b", F.array(*_pattern(F.col("b"), F.col("a"))).alias("ps"))
+    numbers = digit("c0") & digit("c1")
+    if befores is not None:
+        few = befores.count() <= 50 * BROADCAST_ROWS
+        x = x.withColumn("hb", word("b")).join(F.broadcast(befores) if few else befores, "hb", "left").where(F.col("wanted").isNotNull() | numbers)
+    runs = []
+    x = x.select("_id", "_k", "i", word("b").alias("b"), (~digit("b")).alias("d"), *(inst(j).alias(f"g{j}") for j in range(last)), *(word(f"c{j}").alias(f"a{j}") for j in range(2, last + 1)), *(digit(f"c{j}").alias(f"d{j}") for j in range(last + 1)))
+    for n in range(2, RUN + 1):
         both, *open_ = _pattern(F.col("b"), F.col(f"a{n}"))
-        inst, whole, numbers = F.col("g0"), F.lit(True), ~digit("gb") & ~digit(f"g{n}")
+        whole, digits = F.lit(True), F.col("d") & ~F.col(f"d{n}")
         for m in range(n):
-            whole, numbers = whole & F.col(f"g{m}").isNotNull(), numbers & digit(f"g{m}")
-        if n > 1:
-            inst = F.xxhash64(*(F.col(f"g{m}") for m in range(n)))
-            both, open_ = F.when(F.col("b").isNotNull() & F.col(f"a{n}").isNotNull() | numbers, both), [F.when(numbers, o) for o in open_]
-        runs.append(F.when(whole, F.struct(F.lit(n).alias("l"), inst.alias("inst"), F.array(both, *open_).alias("ps"))))
-    return x.select("_id", "_k", "i", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("_id", "_k", "i", "r.*")
-
-
-def _met(slots: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Mentions at the given patterns: (p, inst, _id, _k, i, l)."""
-    found = slots.select("_id", "_k", "i", "l", "inst", F.explode("ps").alias("p")).where("p is not null")
-    few = patterns.select("p").distinct()
-    return found.join(F.broadcast(few) if few.count() <= 50 * BROADCAST_ROWS else few, "p")
+            whole, digits = whole & F.col(f"g{m}").isNotNull(), digits & F.col(f"d{m}")
+        ps = F.array(F.when(F.col("b").isNotNull() & F.col(f"a{n}").isNotNull() | digits, both), *(F.when(digits, o) for o in open_))
+        runs.append(F.when(whole, F.struct(F.lit(n).alias("l"), F.xxhash64(*(F.col(f"g{m}") for m in range(n))).alias("inst"), ps.alias("ps"))))
+    return x.select("_id", "_k", "i", "b", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("_id", "_k", "i", "r.l", "r.inst", "b", "r.ps")
 
 
 def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, confidence: float = 0.8, support: int = 5, prior: float = 1.0) -> DataFrame:
     """(_id, _k, kind, start, end) of mentions that confident patterns find, each place once."""
+    some = lambda df: F.broadcast(df) if df.count() <= 50 * BROADCAST_ROWS else df
+    words, pair = _slots(docs, id_col, text_col, False), ["p", "inst"]
+
+    def met(patterns: DataFrame) -> DataFrame:
+        """Mentions at the given patterns (p): (p, inst, _id, _k, i, l)."""
+        befores = written(heads.join(patterns.select("p"), "p", "left_semi").select("hb").distinct().withColumn("wanted", F.lit(True)), "befores")
+        one = some(patterns.select("p").distinct())
+        runs = _slots(docs, id_col, text_col, True, befores)
+        return _edges(words).join(one, "p").unionByName(_edges(runs).join(one, "p"))
+
     seeds = written(_seeds(rows), "seeds")
+    heads = seeds.where("hb is not null").select("p", "hb").distinct()
     known = seeds.select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
-    slots = _slots(docs, id_col, text_col)
     enough = lambda edges, scores: edges.join(scores.where(f"score >= {confidence}"), "inst").groupBy("p", "kind").agg(F.count_distinct("inst").alias("c")).where(f"c >= {support}").select("p").distinct()
-    candidates = written(enough(seeds.select("p", "inst").distinct(), known), "candidates")
-    fresh, edges, contexts, asked, n_good, good, scores = candidates, seeds.select("p", "inst").distinct(), seeds.select("p", "inst").distinct(), None, 0, None, known
+    contexts = edges = seeds.select(*pair).distinct()
+    candidates = fresh = written(enough(contexts, known), "candidates")
+    asked, n_good, good, scores = None, 0, None, known
     while not fresh.isEmpty():
-        edges = written(edges.unionByName(_met(slots, fresh).select("p", "inst")).distinct(), "graph")
-        total = edges.groupBy("p").agg(F.count("*").alias("n")).join(candidates, "p", "left_semi")
+        edges = written(edges.unionByName(met(fresh).select(*pair)).distinct(), "graph")
+        total = edges.join(candidates, "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
         while True:  # scores over the candidates' edges
-            met = edges.join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confidence).alias("c")).where(f"c >= {support}")
-            good = written(met.join(total, "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
-            unseen = edges.join(good, "p").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-            scores = written(known.unionByName(unseen.join(known.select("inst").distinct(), "inst", "left_anti")), "scores")
+            graded = edges.join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confidence).alias("c")).where(f"c >= {support}")
+            good = written(graded.join(total, "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
             if (n := good.count()) == n_good:
                 break
             n_good = n
+            unseen = edges.join(good, "p").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+            scores = written(known.unionByName(unseen.join(known.select("inst").distinct(), "inst", "left_anti")), "scores")
         # contexts of what was discovered since may be candidates too
         found = scores.where(f"score >= {confidence}").select("inst").distinct().join(known.select("inst"), "inst", "left_anti")
         new = written(found if asked is None else found.join(asked, "inst", "left_anti"), "found")
         if new.isEmpty():
             break
         asked = new if asked is None else asked.unionByName(new)
-        few = F.broadcast(new) if new.count() <= 50 * BROADCAST_ROWS else new
-        contexts = written(contexts.unionByName(slots.join(few, "inst").select(F.explode("ps").alias("p"), "inst").where("p is not null")).distinct(), "contexts")
+        few = some(new)
+        at = lambda slots: _edges(slots.select("inst", "b", "ps").join(few, "inst"))
+        more = written(at(words).unionByName(at(_slots(docs, id_col, text_col, True))).distinct(), "contexts")
+        heads = heads.unionByName(more.where("hb is not null").select("p", "hb")).distinct()
+        contexts = written(contexts.unionByName(more.select(*pair)).distinct(), "contexts")
         fresh = written(enough(contexts, scores).join(candidates, "p", "left_anti"), "candidates")
         candidates = candidates.unionByName(fresh)
     if not n_good:
         return docs.sparkSession.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
     best = F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind")
-    hits = written(_met(slots, good).join(F.broadcast(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
+    hits = written(met(good).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
     places = hits.groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("i", -F.col("l"), "l", "kind"))).alias("at"))
     texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).dropDuplicates(["_i", "_h"])
     placed = places.join(texts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")))
-    spans = let(spans_of(F.col("_text"), WORD), lambda w: F.transform("at", lambda x: F.struct(F.get(w, x["i"])["start"].alias("start"), F.get(w, x["i"] + x["l"] - 1)["end"].alias("end"), x["kind"].alias("kind"))))
+    spans = let(spans_of(_masked(F.col("_text"), base_spans(F.col("_text"))), WORD), lambda w: F.transform("at", lambda x: F.struct(F.get(w, x["i"])["start"].alias("start"), F.get(w, x["i"] + x["l"] - 1)["end"].alias("end"), x["kind"].alias("kind"))))
     # longest first among overlapping ones: a span goes if a longer one, or an earlier one as long, is kept over it
     order = F.array_sort(F.transform(spans, lambda x: F.struct((x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     kept = F.aggregate(order, F.expr("cast(array() as array<struct<n:int,start:int,end:int,kind:int>>)"), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
