@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from versight.llm import line_cleaning, url_filter
+from versight.llm import line_cleaning, quotations, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,7 @@ def op6_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from versight.llm.quotations import link_quotations
-
-    return link_quotations(table(spark, sf_dir, "conversations"))
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +84,4 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op3_line_cleaning"] = line_cleaning.oracle()
 ORACLE_SQL["op6_url_verdicts"] = url_filter.oracle()
+ORACLE_SQL["op2_quotation_links"] = quotations.oracle()

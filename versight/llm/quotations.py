@@ -9,6 +9,9 @@ that everybody repeats costs one row and no pairs. A message replies to the late
 earlier messages that its passages quote at the lowest level that links. Roots and depths follow by pointer
 doubling over replies, each round written, so the number of rounds is the logarithm of the
 deepest thread; messages are never gathered by conversation.
+
+Conversations are built by ``reply_ordered``: rows sorted by (conversation, root, turn) over
+range partitions, so a conversation of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from versight.llm.shared import let, written
 
-MARK = r"\A(?:[\x20\x09]*>)+[\x20\x09]?"
+# possessive: a run of a million marks needs no stack
+MARK = r"\A(?:[\x20\x09]*+>)++[\x20\x09]?"
 #: The line that introduces a quote.
 INTRODUCTION = r"(?i)\A[\x20\x09]*(?:on\x20.+\x20wrote|am\x20.+\x20schrieb.*|le\x20.+\x20a\x20écrit|el\x20.+\x20escribió)[\x20\x09]*:[\x20\x09\x0D]*\z"
 #: A passage needs a word.
@@ -106,3 +110,44 @@ def link_quotations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col:
         F.coalesce(F.col("_root"), F.col("_t")).cast("long").alias("root_turn"),
         F.coalesce(F.col("_depth"), F.lit(0)).cast("long").alias("depth"),
     )
+
+
+def reply_ordered(linked: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """The rows of ``link_quotations`` as conversations: threads one after another, each message after what it replies to.
+
+    Rows are dealt by ranges of (conversation, root_turn, turn) and sorted; written files
+    keep that order. A conversation that holds a third of all rows spans many ranges.
+    Null conversations and turns come first; repeated rows stand together.
+    """
+    keys = [conv_col, "root_turn", turn_col]
+    return linked.repartitionByRange(*keys).sortWithinPartitions(*keys, "depth")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query: passages as text, first sayers, and a recursive walk up the replies."""
+    q = lambda s: s.replace("'", "''")
+    mark = MARK.replace("*+", "*").replace(")++", ")+")
+    ends = "' ' || chr(9) || chr(13) || chr(10)"
+    return rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+split AS (SELECT rid, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM m),
+marked AS (SELECT rid, i, raw, regexp_extract(raw, '{mark}') AS mark FROM split),
+lv AS (SELECT rid, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(raw, length(mark) + 1) AS line FROM marked),
+l AS (SELECT rid, i, CASE WHEN level = 0 AND lead(level) OVER (PARTITION BY rid ORDER BY i) > 0 AND regexp_matches(line, '{q(INTRODUCTION)}') THEN -1 ELSE level END AS level, line,
+  trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[ 	-
+]+', ' ', 'g')) AS norm FROM lv),
+b AS (SELECT *, norm <> '' AND (lag(level) OVER w IS NULL OR lag(level) OVER w <> level OR lag(norm) OVER w = '') AS start, greatest(level, 0) > 0 AND coalesce(greatest(lag(level) OVER w, 0) <> greatest(level, 0), true) AS quote FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+runs AS (SELECT *, sum(start::int) OVER (PARTITION BY rid ORDER BY i) AS run FROM b),
+pass AS (SELECT rid, max(level) FILTER (norm <> '') AS level, string_agg(norm, ' ' ORDER BY i) FILTER (norm <> '') AS txt FROM runs WHERE run > 0 GROUP BY rid, run
+  UNION SELECT rid, level, norm FROM l WHERE norm <> ''),
+p AS (SELECT DISTINCT conv_id, turn, level, txt FROM pass JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND regexp_matches(txt, '{WORD}')),
+said AS (SELECT conv_id, txt, min(turn) AS o FROM p WHERE level = 0 GROUP BY ALL),
+parents AS (SELECT conv_id, turn, arg_max(o, -level * 1e9 + o) AS parent FROM p JOIN said USING (conv_id, txt) WHERE level > 0 AND o < turn GROUP BY ALL),
+up AS (SELECT conv_id, turn, parent AS top, 1 AS depth FROM parents UNION ALL SELECT up.conv_id, up.turn, r.parent, depth + 1 FROM up JOIN parents r ON up.conv_id = r.conv_id AND up.top = r.turn),
+roots AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(top, depth) AS root FROM up GROUP BY ALL),
+shown AS (SELECT rid, max(level) > 0 AS quotes, trim(string_agg(line, chr(10) ORDER BY i), {ends}) AS whole, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), {ends}), '') AS own, sum(quote::int) AS n, greatest(max(level), 0) AS deepest FROM b GROUP BY rid),
+out AS (SELECT m.*, CASE WHEN quotes THEN own ELSE whole END AS clean_text, n, deepest FROM m JOIN shown USING (rid))
+SELECT conv_id, turn, role, clean_text, '<|' || coalesce(role, 'user') || '|>' || chr(10) || clean_text AS formatted, n::bigint AS n_quotes, deepest::bigint AS max_level,
+  parent::bigint AS parent_turn, coalesce(root, turn)::bigint AS root_turn, coalesce(depth, 0)::bigint AS depth
+FROM out LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn)
+"""
