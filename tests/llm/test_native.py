@@ -55,10 +55,26 @@ def test_url_verdicts_oracle_and_aliases(spark):
     assert verdicts[1] == verdicts[3] == ("block", "alias") and verdicts[2] == ("block", "rule") and verdicts[8] == ("allow", "alias") and verdicts[None] == ("block", "rule")
     compare(got, url_filter.oracle(), pages=pages.toArrow())
     real = spark.read.parquet(f"{SF}/pages.parquet")
+    clashing = pages.selectExpr("*", "'q' as host", "1 as u", "2 as _node")
+    assert sorted(map(repr, url_filter.judge_urls(clashing).collect())) == sorted(map(repr, got.collect()))
     compare(url_filter.judge_urls(real), url_filter.oracle(), pages=real.toArrow())
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_relative_links(spark):
+    """(link, absolute): against https://a.net/x/y.html?q=1, by the rules of URL references."""
+    cases = [("z.html", "https://a.net/x/z.html"), ("./z", "https://a.net/x/z"), ("../z", "https://a.net/z"), ("../../../z", "https://a.net/z"), ("?id=3", "https://a.net/x/y.html?id=3"), ("/q/../r/.", "https://a.net/r/"), ("#top", None), ("//b.org", "https://b.org/"), ("HTTP://B.org/a/./b?c=/../d", "http://b.org/a/b?c=/../d"), ("mailto:x@y.z", None), ("..", "https://a.net/")]
+    pages = spark.createDataFrame([(i, "https://a.net/x/y.html?q=1", f'<link rel="canonical" href="{t}">') for i, (t, _) in enumerate(cases)], "page_id long, url string, html string")
+    for (_, want), row in zip(cases, pages.orderBy("page_id").collect(), strict=True):
+        got = [r.v for r in url_filter.alias_edges(spark.createDataFrame([row], pages.schema)).collect()]
+        assert got == ([want] if want else [])
+    based = spark.createDataFrame([(1, "https://c.net/p", '<BASE href="sub/"><link rel=canonical href=z>'), (2, "https://c.net/p2", "<base href='https://example.org/es/'><meta http-equiv=refresh content='0;url=z'>"), (3, "https://example.org/es/z", None)], pages.schema)
+    assert {r.v for r in url_filter.alias_edges(based).collect()} == {"https://c.net/sub/z", "https://example.org/es/z"}
+    both = pages.unionByName(based)
+    compare(url_filter.judge_urls(both), url_filter.oracle(), pages=both.toArrow())
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(based).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -1,7 +1,8 @@
 """URL rules whose block decisions reach aliases. Built-in functions only.
 
-Redirects and canonical links are edges between URLs (scheme and host lower-cased, the
-fragment cut off). Connected components over them are the groups of aliases. A URL that a
+Redirects and canonical links are edges between URLs (scheme and host lower-cased, dot
+segments resolved, the fragment cut off). Relative links are resolved against the page's
+URL, or its ``base`` element. Connected components over them are the groups of aliases. A URL that a
 rule fits is judged by its longest rule. Another URL takes its group's decision: allow if
 any member is explicitly allowed, else block if any is blocked, else allow.
 """
@@ -18,6 +19,12 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = (r"(?is)<link\b[^>]*?\brel\s*=\s*[\x22\x27]?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)")
+#: A page's own base for its links.
+BASE = (r"(?is)<base\b[^>]*>", CANONICAL[1])
+SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
+ORIGIN = r"(?s)\A(.*?://[^/?#]*)"
+FOLDER = r"(?s)\A(.*/)"
+NODE = r"(?s)\A(.*?://[^/?#]*)([^?#]*)([^#]*)"
 REFRESH = (r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)")
 
 
@@ -45,27 +52,47 @@ def _decision(rule: Column, rules) -> Column:
     return out
 
 
+def _no_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, r"/[^/]*\z", "")).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x))
+    walked = F.aggregate(F.slice(F.split(path, "/", -1), 2, F.length(path) + 1), F.lit(""), step)
+    return F.when(path.contains("/."), F.concat(walked, F.when(path.rlike(r"/\.\.?\z"), "/").otherwise(""))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The URL as a node: no fragment, lower-cased scheme and host; null if it is none."""
-    whole = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)([^#]*)", 1)
-    rest = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)([^#]*)", 2)
-    return F.when(whole != "", F.concat(F.translate(whole, UPPER, LOWER), F.when(rest == "", "/").otherwise(rest)))
+    """The URL as a node: no fragment, lower-cased scheme and host, no dot segments; null if it is none."""
+    part = lambda i: F.regexp_extract(url, NODE, i)
+    path = F.when(part(2) == "", "/").otherwise(_no_dots(part(2)))
+    return F.when(part(1) != "", F.concat(F.translate(part(1), UPPER, LOWER), path, part(3)))
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """A link as an absolute URL; null if it is empty or only a fragment."""
+    part = lambda pattern: F.regexp_extract(base, pattern, 1)
+    folder = F.regexp_extract(path_of(base), FOLDER, 1)
+    return (
+        F.when((link == "") | link.startswith("#"), None)
+        .when(link.rlike(SCHEME), link)
+        .when(link.startswith("//"), F.concat(part(r"(?s)\A(.*?:)//"), link))
+        .when(link.startswith("/"), F.concat(part(ORIGIN), link))
+        .when(link.startswith("?"), F.concat(part(r"(?s)\A(.*?://[^?#]*)"), link))
+        .otherwise(F.concat(part(ORIGIN), F.when(folder == "", "/").otherwise(folder), link))
+    )
 
 
-def _target(html: Column, patterns: tuple[str, str], url: Column) -> Column:
-    """The first link of a kind, made absolute if it starts at the host."""
-    link = F.regexp_extract(F.regexp_extract(html, patterns[0], 0), patterns[1], 1)
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(url, r"(?s)\A(.*?:)//", 1)
-    return F.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).otherwise(link)
+def _link(html: Column, patterns: tuple[str, str]) -> Column:
+    """The first link of a kind, as written."""
+    return F.replace(F.regexp_extract(F.regexp_extract(html, patterns[0], 0), patterns[1], 1), F.lit("&amp;"), F.lit("&"))
 
 
 def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(u, v): canonical links and immediate refreshes of the pages, and the (source, target) redirects."""
+    """(u, v): canonical links and refreshes of the pages, and the (source, target) redirects."""
     url, html = F.col(url_col), F.col(html_col)
-    links = F.filter(F.array(F.when(html.rlike(r"(?i)canonical"), _target(html, CANONICAL, url)), F.when(html.rlike(r"(?i)http-equiv"), _target(html, REFRESH, url))), lambda x: x.isNotNull())
-    found = pages.select(node_of(url).alias("u"), F.explode(links).alias("t")).select("u", node_of(F.col("t")).alias("v"))
+    own = lambda kind, hint: F.when(html.rlike(hint), _link(html, kind))
+    base = own(BASE, r"(?i)<base")
+    written_as = F.filter(F.array(own(CANONICAL, r"(?i)canonical"), own(REFRESH, r"(?i)http-equiv")), lambda x: x.isNotNull() & (x != ""))
+    found = pages.select(url.alias("u"), base.alias("b"), F.explode(written_as).alias("t"))
+    found = found.select("u", F.coalesce(resolve(F.col("b"), F.col("u")), F.col("u")).alias("b"), "t").select(node_of(F.col("u")).alias("u"), node_of(resolve(F.col("t"), F.col("b"))).alias("v"))
     if redirects is not None:
         found = found.unionByName(redirects.select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v")))
     return found.where("u is not null and v is not null and u != v").distinct()
@@ -121,17 +148,28 @@ def oracle(rules=RULES) -> str:
 
     decision = lambda r: f"CASE {' '.join(f"WHEN {r} = '{x}' THEN '{d}'" for d, x in rules)} END"
 
+    def bare(p):
+        walked = f"list_reduce(string_split({p}, '/'), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END)"
+        return rf"CASE WHEN contains({p}, '/.') THEN {walked} || CASE WHEN regexp_matches({p}, '/\.\.?$') THEN '/' ELSE '' END ELSE {p} END"
+
     def node(u):
-        pattern = r"(?s)\A(.*?://[^/?#]*)([^#]*)"
-        a, b = (f"regexp_extract({u}, '{pattern}', {i})" for i in (1, 2))
-        return f"CASE WHEN {a} <> '' THEN translate({a}, '{UPPER}', '{LOWER}') || CASE WHEN {b} = '' THEN '/' ELSE {b} END END"
+        a, b, c = (f"regexp_extract({u}, '{NODE}', {i})" for i in (1, 2, 3))
+        return f"CASE WHEN {a} <> '' THEN translate({a}, '{UPPER}', '{LOWER}') || CASE WHEN {b} = '' THEN '/' ELSE {bare(b)} END || {c} END"
+
+    def link(patterns):
+        return f"replace(regexp_extract(regexp_extract(html, '{q(patterns[0])}', 0), '{q(patterns[1])}', 1), '&amp;', '&')"
 
-    def target(patterns):
-        link = f"replace(regexp_extract(regexp_extract(html, '{q(patterns[0])}', 0), '{q(patterns[1])}', 1), '&amp;', '&')"
-        return rf"CASE WHEN starts_with({link}, '//') THEN regexp_extract(url, '(?s)\A(.*?:)//', 1) || {link} WHEN starts_with({link}, '/') THEN regexp_extract(url, '(?s)\A(.*?://[^/?#]*)', 1) || {link} ELSE {link} END"
+    def absolute(t, b):
+        part = lambda pattern: f"regexp_extract({b}, '{pattern}', 1)"
+        folder = f"regexp_extract({path(b)}, '{FOLDER}', 1)"
+        return rf"""CASE WHEN {t} = '' OR starts_with({t}, '#') THEN NULL WHEN regexp_matches({t}, '{SCHEME}') THEN {t} WHEN starts_with({t}, '//') THEN {part(r"(?s)\A(.*?:)//")} || {t}
+    WHEN starts_with({t}, '/') THEN {part(ORIGIN)} || {t} WHEN starts_with({t}, '?') THEN {part(r"(?s)\A(.*?://[^?#]*)")} || {t} ELSE {part(ORIGIN)} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {t} END"""
 
     return f"""
-WITH RECURSIVE links AS (SELECT {node("url")} AS u, {node("t")} AS v FROM (SELECT url, unnest([{target(CANONICAL)}, {target(REFRESH)}]) AS t FROM pages)),
+WITH RECURSIVE found AS (SELECT url, {link(BASE)} AS own, unnest([{link(CANONICAL)}, {link(REFRESH)}]) AS t FROM pages),
+based AS (SELECT url, coalesce({absolute("own", "url")}, url) AS base, t FROM found),
+full_ AS (SELECT url, {absolute("t", "base")} AS t FROM based),
+links AS (SELECT {node("url")} AS u, {node("t")} AS v FROM full_),
 e AS (SELECT u, v FROM links WHERE u IS NOT NULL AND v IS NOT NULL AND u <> v UNION SELECT v, u FROM links WHERE u IS NOT NULL AND v IS NOT NULL AND u <> v),
 reach AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
 near AS (SELECT u, {decision(rule(host("v"), path("v")))} AS d FROM reach),
