@@ -19,8 +19,11 @@ Verification, on words: an item's question and answer must each be covered to
 ``overlap_percent`` by the item's k-word shingles that the passage has. The answer is what
 follows an answer mark; without one, the second half of the words.
 
-The index is built on the driver and sent to the tasks only in shards of at most
-``shard_bytes`` of item text; more items take more passes over the texts.
+Document frequencies, the number of items, their mean length and the longest are taken
+over all items by one distributed count. The index is built on the driver and sent to the
+tasks in shards of at most ``shard_bytes`` of item text, each with the frequencies of its
+own terms, so scores don't depend on the shards. More items take more passes over the
+texts; each pass is written before the next shard is sent, and its broadcast is dropped.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from versight.llm import textscan
+from versight.llm.shared import written
 
 ANSWER_MARK = re.compile(rb"(?:^|\s)(?:answer|a|antwort|r\xc3\xa9ponse|respuesta)\s*:\s+", re.IGNORECASE)
 K1, B = 1.2, 0.75
@@ -75,8 +79,50 @@ def _words(raw: bytes) -> np.ndarray:
     return next(textscan.word_hashes([raw], lower=True))[1][0]
 
 
-def build_index(rows: list[tuple[object, str]], k: int, block: int) -> Index:
-    """The index of (item id, text) rows; texts without words are left out."""
+@dataclass
+class Statistics:
+    """Of all items with words: their number, words and longest; and a table (term, df)."""
+
+    items: int
+    words: int
+    longest: int
+    terms: DataFrame | None = None
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        """df of the given terms, sorted by hash."""
+        wanted = self.terms.sparkSession.createDataFrame(pa.table({"term": terms.view(np.int64)}))
+        found = self.terms.join(wanted, "term").toArrow()
+        key = found["term"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        if not np.array_equal(key[order], terms):
+            raise ValueError("a term of the items has no frequency")
+        return found["df"].to_numpy()[order]
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Of the distinct items (k, t)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = _words(text.encode("utf-8", "surrogatepass"))
+                if len(words):
+                    terms = np.unique(words).view(np.int64)
+                    # the length goes with the first term, so that it is counted once
+                    n = np.zeros(len(terms), np.int64)
+                    n[0] = len(words)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "n"])
+
+    terms = written(rows.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("n") > 0).alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")), "item-terms")
+    total = terms.agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    return Statistics(total[0] or 0, total[1] or 0, total[2] or 0, terms.select("term", "df"))
+
+
+def build_index(rows: list[tuple[object, str]], k: int, block: int, whole: Statistics | None = None) -> Index:
+    """The index of (item id, text) rows; texts without words are left out.
+
+    ``whole`` has the statistics of all items, where ``rows`` are a shard.
+    """
     made = []
     for key, text in rows:
         raw = text.encode("utf-8", "surrogatepass")
@@ -94,9 +140,11 @@ def build_index(rows: list[tuple[object, str]], k: int, block: int) -> Index:
     owner = np.repeat(np.arange(len(made)), lengths.astype(int))
     pair, tf = np.unique(inverse * max(1, len(made)) + owner, return_counts=True)
     term, item = pair // max(1, len(made)), pair % max(1, len(made))
-    df = np.bincount(term, minlength=len(term_of))
-    idf = np.log(1 + (len(made) - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(1.0, lengths.mean() if len(made) else 1.0)))
+    if whole is None:
+        whole = Statistics(len(made), int(lengths.sum()), int(lengths.max()) if made else 0)
+    df = whole.frequencies(term_of) if whole.terms is not None and made else np.bincount(term, minlength=len(term_of))
+    idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(1.0, whole.words / max(1, whole.items))))
     own = np.bincount(item, impact, minlength=len(made))
     impact = impact / own[item]
     n_blocks = -(-len(made) // block) or 1
@@ -106,7 +154,7 @@ def build_index(rows: list[tuple[object, str]], k: int, block: int) -> Index:
     upper = np.zeros(len(term_of))
     np.maximum.at(upper, term, impact)
     edges = lambda t: np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(term_of)))]).astype(np.int64)
-    return Index(term_of, upper, edges(term), item, impact, edges(cell // n_blocks), cell % n_blocks, most, len(made), block, [x[2] for x in made], [_grams(x[3], k) for x in made], [x[4] for x in made], [x[0] for x in made], int(lengths.max()) if len(made) else 0)
+    return Index(term_of, upper, edges(term), item, impact, edges(cell // n_blocks), cell % n_blocks, most, len(made), block, [x[2] for x in made], [_grams(x[3], k) for x in made], [x[4] for x in made], [x[0] for x in made], whole.longest)
 
 
 def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +251,15 @@ def find_leaks(index: Index, texts: list[str | None], k: int, threshold: float,
             at = end
 
 
-def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Iterator[list[tuple]]:
-    """The items' (id, text) in lists of about ``shard_bytes`` of text at most."""
+def indexes(items: DataFrame, id_col: str, text_col: str, k: int, block: int, shard_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes of about ``shard_bytes`` of item text at most, and whether there are several."""
     rows = items.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(-(-total // shard_bytes)) or 1
+    whole = statistics(rows) if n > 1 else None
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == i) if n > 1 else rows
-        yield [(r[0], r[1]) for r in part.toLocalIterator()]
+        yield build_index([(r[0], r[1]) for r in part.toLocalIterator()], k, block, whole), n > 1
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", k: int = 5, threshold: float = 0.5, overlap_percent: int = 80, passage_words: int = 128, block: int = 8, shard_bytes: int = 32 << 20) -> DataFrame:
@@ -225,8 +274,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_id_col].dataType
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for shard in item_shards(items, item_id_col, item_text_col, shard_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(shard, k, block))
+    for built, several in indexes(items, item_id_col, item_text_col, k, block, shard_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -241,6 +290,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
                     )
 
         part = rows.mapInArrow(scan, f"_id {id_type.simpleString()}, _item {item_type.simpleString()}, score double, question_overlap double, answer_overlap double, n_passages long")
+        if several:
+            part = written(part, "leaks")
+            index.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"_id": id_col, "_item": item_id_col})
 
@@ -248,8 +300,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", k: int = 5, threshold: float = 0.5, overlap_percent: int = 80, passage_words: int = 128, block: int = 8, shard_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns; no shuffle."""
     out = docs
-    for shard in item_shards(items, item_id_col, item_text_col, shard_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(shard, k, block))
+    for built, several in indexes(items, item_id_col, item_text_col, k, block, shard_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -260,6 +312,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(scan, docs.schema)
+        if several:
+            out = written(out, "unleaked")
+            index.unpersist()
     return out
 
 
