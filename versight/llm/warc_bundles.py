@@ -11,7 +11,8 @@ Of records with equal payloads one kind is stored: those with the largest id are
 ``response`` records, the others are ``revisit`` records that name it. The largest id of a
 payload is found by an aggregate on the payload's digest that shuffles digests and ids
 only. The table of repeated digests is broadcast when it has ``BROADCAST_ROWS`` rows at most
-(it is counted); beyond that rows are joined to it by a shuffle.
+(it is counted); beyond that rows are joined to it by a shuffle in which adaptive execution
+splits the rows of a frequent payload, since the table has one row for it.
 
 Bundles are written by the tasks to a folder that all executors share, under a name of
 their own for each attempt; the name is part of the index, so only files of attempts that
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from versight.llm.shared import scratch, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-BROADCAST_ROWS = 2_000
+BROADCAST_ROWS = 100_000
+#: Bytes of records that one reading task takes.
+TASK_BYTES = 32 << 20
 RECORD = "record_id string, bundle string, frame int, offset long, length long"
 
 
@@ -153,7 +156,7 @@ def write_bundles(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     ``null`` and counts as smaller than all others; null urls are left out. An empty table
     gives an empty index and no file.
     """
-    digest = F.sha1(F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8"))
+    digest = F.unhex(F.sha1(F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")))
     repeated = pages.select(F.col(id_col).alias("_id"), digest.alias("_d")).groupBy("_d").agg(F.max("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_d", "_first")
     repeated = written(repeated, "repeated")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(payload_col).alias("_p"), digest.alias("_d"))
@@ -189,9 +192,12 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
     Columns: record_id, record_type, refers_to, url, payload_bytes, payload_digest,
     payload (null for revisits). A response's digest and length are computed from what was
-    read and must equal those in its headers. Each frame is read once, by one task.
+    read and must equal those in its headers. Each frame is read once, by one task; the
+    number of tasks follows the bytes of the records, since the index itself is small.
     """
-    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
+    total, n_frames = index.agg(F.sum("length"), F.count_distinct("bundle", "frame")).first()
+    tasks = max(1, min(n_frames, -(-(total or 0) // TASK_BYTES)))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, list] = {}
