@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from versight.llm import textscan
-from versight.llm.html_blocks import blocks_of
+from versight.llm.html_blocks import Path, blocks_of
 
 PATH_DIMS, WORD_DIMS, NUMBERS = 96, 48, 6
 DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
@@ -38,13 +39,30 @@ def _step_dims(step: str) -> tuple[int, ...]:
     return (crc32(tag.encode()) % PATH_DIMS, *(crc32(b"." + w.encode()) % PATH_DIMS for w in STEP.findall(names)))
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One row per block."""
+def _path_sums(path: Path | None) -> np.ndarray | float:
+    """How often each dimension occurs along the path, kept on its steps so that each is added once."""
+    todo: list[Path] = []
+    while path is not None and path.sums is None:
+        todo.append(path)
+        path = path.parent
+    sums = np.zeros(PATH_DIMS, np.float32) if path is None else path.sums
+    for at in reversed(todo):
+        sums = sums.copy()
+        for d in _step_dims(at.step):
+            sums[d] += 1
+        at.sums = sums
+    return sums
+
+
+def vectors(blocks: list[tuple[Path | None, str, int]]) -> np.ndarray:
+    """One row per block; the last three steps of its path count twice."""
     x = np.zeros((len(blocks), DIMS), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
-        for depth, step in enumerate(reversed(path)):
-            for d in _step_dims(step):
-                x[i, d] += 1.0 if depth < 3 else 0.5
+        if path is not None:
+            x[i, :PATH_DIMS] = _path_sums(path) / 2
+            for step in islice(path.steps(), 3):
+                for d in _step_dims(step):
+                    x[i, d] += 0.5
         n = len(text)
         x[i, -NUMBERS:] = (np.log1p(n) / 6, linked / n, text.count(" ") / 64 if n < 4096 else 1.0, min(1.0, 10 * sum(text.count(c) for c in ".,;!?") / n), text[-1] in ".!?:;\"'”»", 1.0)
     for first, group in textscan.word_hashes([t.encode("utf-8", "surrogatepass") for _, t, _ in blocks], lower=True):
@@ -194,8 +212,12 @@ def training_page(rng: np.random.Generator) -> str:
     link = lambda: f'<a href="/{word()}">{words(1, 5)}</a>'
 
     def comments():
-        each = lambda: f'<div class="{pick(["comment", "comment-body", "reply"])}"><b>{word()}</b>: {pick([para, str])(sentences(1, 3))}</div>'
-        return box(["comments", "comment-list", "reader comments", "responses", "discussion"], f"<h3>{words(1, 3)}</h3>" + "".join(each() for _ in range(int(rng.integers(1, 5)))), "div")
+        tag, item = pick([("div", "div"), ("div", "div"), ("section", "div"), ("section", "p"), ("ol", "li"), ("div", "p")])
+        names = pick(["comment", "comment-body", "reply", ""])
+        body = lambda: pick([para, str])(sentences(1, 3)) if item != "p" else sentences(1, 3)
+        each = lambda: f"<{item}" + (f' class="{names}">' if names else ">") + pick([f"<b>{word()}</b>: ", f"<b>{word()}</b> ", ""]) + body() + f"</{item}>"
+        heading = pick([f"<h3>{words(1, 3)}</h3>", f"<h3>{words(1, 3)}</h3>", f"<h2>{words(1, 3)}</h2>", ""])
+        return box(["comments", "comment-list", "reader comments", "responses", "discussion"], heading + "".join(each() for _ in range(int(rng.integers(1, 5)))), tag)
 
     def junk():
         body = pick([sentences(1, 3), para(sentences(1, 2)), link() + " " + link(), words(1, 6)])
@@ -268,7 +290,7 @@ def training_rows(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]
 
 
 @lru_cache(maxsize=2)
-def trained(train_pages: int = 480, epochs: int = 8, seed: int = 3) -> Labeller:
+def trained(train_pages: int = 1200, epochs: int = 12, seed: int = 3) -> Labeller:
     model = Labeller()
     model.fit(*training_rows(train_pages, seed), epochs)
     return model

@@ -10,6 +10,8 @@ blank, and blocks without text are left out. Nothing is dropped for its length.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>", re.DOTALL)
@@ -21,13 +23,35 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+class Path:
+    """A tag path as its last step and a pointer to the rest, so that paths share what they have in common.
+
+    A step is the tag and, after dots, its class, id and role words. ``sums`` is free for
+    what a reader adds up along the path.
+    """
+
+    __slots__ = ("parent", "step", "sums")
+
+    def __init__(self, parent: Path | None, step: str):
+        self.parent, self.step, self.sums = parent, step, None
+
+    def steps(self) -> Iterator[str]:
+        """From the last step to the first."""
+        at: Path | None = self
+        while at is not None:
+            yield at.step
+            at = at.parent
+
+
+def blocks_of(html: str | None) -> list[tuple[Path | None, str, int]]:
     """(tag path, text, characters inside links) of each block with text, in page order.
 
-    A path's steps are the tag and, after dots, its class, id and role words.
+    Memory grows with the page, however deep its elements are nested. The path is None
+    outside all elements.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
+    out: list[tuple[Path | None, str, int]] = []
+    stack: list[tuple[str, Path]] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     inside = 0  # open links
@@ -37,13 +61,14 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((tuple(s for _, s in stack), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else None, text, min(linked, len(text))))
             parts.clear()
             linked = 0
 
     def close(at: int):
         nonlocal inside
         inside -= sum(t == "a" for t, _ in stack[at:])
+        open_.subtract(t for t, _ in stack[at:])
         del stack[at:]
 
     at = 0
@@ -68,6 +93,8 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(" ")
             continue
         if m[1]:
+            if not open_[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -87,7 +114,8 @@ def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[i][0] in BLOCK and stack[i][0] != "li":
                     break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3])) if "=" in m[3] else ""
-        stack.append((tag, ".".join([tag, *names.lower().split()]) if names else tag))
+        stack.append((tag, Path(stack[-1][1] if stack else None, ".".join([tag, *names.lower().split()]) if names else tag)))
+        open_[tag] += 1
         inside += tag == "a"
     end_block()
     return out
