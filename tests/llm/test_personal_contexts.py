@@ -1,18 +1,20 @@
 """Words of any form are discovered at confident contexts."""
 
-import pytest
-
 from versight.llm import personal_data
 
 SEEDS = [(i, f"please contact email q{i}@z.com now thanks") for i in range(40)]
 
 
-@pytest.mark.parametrize("word", ["jane(at)example.org", "jane.doe@localhost", "x7", "0171 555 1234", "jane at example org"])
-def test_short_and_spaced_identifiers(spark, word):
-    docs = spark.createDataFrame([*SEEDS, (100, f"contact email {word} now please"), (101, "nothing here")], "doc_id long, text string")
+WORDS = ["jane(at)example.org", "jane.doe@localhost", "x7", "0171 555 1234", "jane at example org"]
+
+
+def test_short_and_spaced_identifiers(spark):
+    docs = spark.createDataFrame([*SEEDS, *((100 + i, f"contact email {w} now please") for i, w in enumerate(WORDS)), (200, "nothing here")], "doc_id long, text string")
     found = {r.doc_id: r.spans for r in personal_data.find_personal_data(docs).collect()}
-    assert found[100] == f"email:14:{14 + len(word)}" and found[101] == ""
-    assert {r.doc_id: r.text for r in personal_data.redact(docs).collect()}[100] == "contact email [EMAIL] now please"
+    redacted = {r.doc_id: r.text for r in personal_data.redact(docs.selectExpr("*", "1 as _vi", "'x' as _vk", "3 as _vnew")).collect()}
+    for i, w in enumerate(WORDS):
+        assert found[100 + i] == f"email:14:{14 + len(w)}" and redacted[100 + i] == "contact email [EMAIL] now please"
+    assert found[200] == "" and redacted[200] == "nothing here"
 
 
 def test_plain_words_lower_the_confidence(spark):

@@ -19,11 +19,11 @@ Bootstrapping:
    (number of them + ``prior``); an instance's score is 1 - product of (1 - confidence) of
    its confident patterns. A pattern is confident at ``confidence`` with ``support`` distinct
    instances that score as much. Scores only grow, so rounds end when no pattern is new.
-4. A candidate is a pattern that has ``support`` such instances. The texts are read for the
-   distinct (candidate, instance) edges, which are aggregated before the shuffle; for the
-   contexts of what was discovered, which may give more candidates; and last for mentions at
-   confident patterns. These become spans of the pattern's kind; of overlapping ones the
-   longest, then the first.
+4. A candidate is a pattern that has ``support`` such instances. Its distinct instances are
+   counted over the texts, aggregated before the shuffle, unless a bound shows that they are
+   too many (see ``discover``). What confident patterns discover is looked up in the texts for
+   its own contexts, which may make more candidates; at last mentions at confident patterns
+   become spans of the pattern's kind; of overlapping ones the longest, then the first.
 
 A frequent context (a third of all rows) is one pattern with many instances; sums are
 aggregated before the shuffle, and joins on patterns are split by adaptive execution.
@@ -172,24 +172,27 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """Distinct (p, inst, kind, hb) of the fixed forms; hb is the word before, for patterns of both sides."""
+    """Distinct (p, inst, kind, hb, ha) of the fixed forms; hb and ha are the words around, for patterns of both sides."""
     mention = rows.where(F.size("base") > 0).select(F.explode("base").alias("x")).select("x.*")
     word = lambda c: F.when(F.col(c) != "", F.xxhash64(c))
     inst = F.xxhash64(F.lower("m")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col("m").rlike("[0-9]"), 1).otherwise(0).cast("long"))
-    return _edges(mention.select(F.array(*_pattern(word("before"), word("after"))).alias("ps"), word("before").alias("b"), inst.alias("inst"), "kind")).distinct()
+    return _edges(mention.select(F.array(*_pattern(word("before"), word("after"))).alias("ps"), word("before").alias("b"), word("after").alias("a"), inst.alias("inst"), "kind")).distinct()
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """A row for each pattern of ``ps``, as p and hb, with the other columns."""
-    others = [c for c in found.columns if c not in ("ps", "b")]
-    return found.select(*others, "b", F.posexplode("ps").alias("t", "p")).where("p is not null").select("p", *others, F.when(F.col("t") == 0, F.col("b")).alias("hb"))
+    """A row for each pattern of ``ps``, as p, hb and ha, with the other columns."""
+    others = [c for c in found.columns if c not in ("ps", "b", "a")]
+    both = lambda c: F.when(F.col("t") == 0, F.col(c)).alias(f"h{c}")
+    return found.select(*others, "b", "a", F.posexplode("ps").alias("t", "p")).where("p is not null").select("p", *others, both("b"), both("a"))
 
 
-def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: DataFrame | None = None) -> DataFrame:
-    """(_id, _k, i, l, inst, b, ps): words, or longer runs, outside fixed forms by the number of their first word, and their patterns.
+def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: DataFrame | None = None, firsts: DataFrame | None = None) -> DataFrame:
+    """(_id, _k, i, l, inst, w, b, a, ps): words, or longer runs, outside fixed forms by the number of their first word, and their patterns.
 
-    ``befores``: hashes of the words before runs that matter; runs of words with digits are
-    kept anyway. Neighbours are zipped arrays, so what follows runs row by row in generated code.
+    w, b and a are the hashes of the first word and of the words before and after. Longer runs are taken
+    where ``befores`` (h, afters) has the word before and one of the words after, and where the
+    words hold digits; or else where ``firsts`` (h) has the first word. Neighbours are
+    zipped arrays, so what follows runs row by row in generated code.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(WORD))
     low = F.lower(_masked(F.col("_text"), base_spans(F.col("_text"))))
@@ -206,11 +209,13 @@ def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: D
     inst = lambda j: F.when(~F.col(f"w{j}").contains("\0"), F.xxhash64(F.col(f"w{j}")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col(f"c{j}").contains("0"), 1).otherwise(0).cast("long")))
     if not longer:
         x = x.select("_id", "_k", "i", inst(0).alias("inst"), word("b").alias("b"), word("c1").alias("a"))
-        return x.select("_id", "_k", "i", F.lit(1).alias("l"), "inst", "b", F.array(*_pattern(F.col("b"), F.col("a"))).alias("ps"))
-    numbers = digit("c0") & digit("c1")
+        return x.select("_id", "_k", "i", F.lit(1).alias("l"), "inst", F.col("inst").alias("w"), "b", "a", F.array(*_pattern(F.col("b"), F.col("a"))).alias("ps"))
+    few = lambda df: F.broadcast(df) if df.count() <= 50 * BROADCAST_ROWS else df
     if befores is not None:
-        few = befores.count() <= 50 * BROADCAST_ROWS
-        x = x.withColumn("hb", word("b")).join(F.broadcast(befores) if few else befores, "hb", "left").where(F.col("wanted").isNotNull() | numbers)
+        after = F.array(*(F.xxhash64(F.col(f"c{j}")) for j in range(2, last + 1)))
+        x = x.withColumn("h", word("b")).join(few(befores), "h", "left").where((F.coalesce(F.arrays_overlap("afters", after), F.lit(False)) | (digit("c0") & digit("c1")))).drop("h")
+    else:
+        x = x.withColumn("h", inst(0)).join(few(firsts), "h", "left_semi").drop("h")
     runs = []
     x = x.select("_id", "_k", "i", word("b").alias("b"), (~digit("b")).alias("d"), *(inst(j).alias(f"g{j}") for j in range(last)), *(word(f"c{j}").alias(f"a{j}") for j in range(2, last + 1)), *(digit(f"c{j}").alias(f"d{j}") for j in range(last + 1)))
     for n in range(2, RUN + 1):
@@ -219,57 +224,83 @@ def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: D
         for m in range(n):
             whole, digits = whole & F.col(f"g{m}").isNotNull(), digits & F.col(f"d{m}")
         ps = F.array(F.when(F.col("b").isNotNull() & F.col(f"a{n}").isNotNull() | digits, both), *(F.when(digits, o) for o in open_))
-        runs.append(F.when(whole, F.struct(F.lit(n).alias("l"), F.xxhash64(*(F.col(f"g{m}") for m in range(n))).alias("inst"), ps.alias("ps"))))
-    return x.select("_id", "_k", "i", "b", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("_id", "_k", "i", "r.l", "r.inst", "b", "r.ps")
+        runs.append(F.when(whole, F.struct(F.lit(n).alias("l"), F.xxhash64(*(F.col(f"g{m}") for m in range(n))).alias("inst"), F.col(f"a{n}").alias("a"), ps.alias("ps"))))
+    return x.select("_id", "_k", "i", F.col("g0").alias("w"), "b", F.explode(F.array(*runs)).alias("r")).where("r is not null").select("_id", "_k", "i", "r.l", "r.inst", "w", "b", "r.a", "r.ps")
 
 
-def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, confidence: float = 0.8, support: int = 5, prior: float = 1.0) -> DataFrame:
-    """(_id, _k, kind, start, end) of mentions that confident patterns find, each place once."""
+def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, confidence: float = 0.8, support: int = 5, prior: float = 1.0, probe: int = 32) -> DataFrame:
+    """(_id, _k, kind, start, end) of mentions that confident patterns find, each place once.
+
+    A pattern's sum of scores comes from the contexts of the instances that score, which are
+    all known; only the number of its distinct instances needs the texts. At a sum s it may
+    be s / confidence - prior at most. A ``probe``-th of the texts bounds the number from below,
+    and who is over the bound there can't be confident at this sum; the others are counted
+    over all texts. So the result is that of counting every pattern over all texts.
+    """
     some = lambda df: F.broadcast(df) if df.count() <= 50 * BROADCAST_ROWS else df
-    words, pair = _slots(docs, id_col, text_col, False), ["p", "inst"]
+    pair = ["p", "inst"]
 
-    def met(patterns: DataFrame) -> DataFrame:
-        """Mentions at the given patterns (p): (p, inst, _id, _k, i, l)."""
-        befores = written(heads.join(patterns.select("p"), "p", "left_semi").select("hb").distinct().withColumn("wanted", F.lit(True)), "befores")
+    def met(patterns: DataFrame, source: DataFrame) -> DataFrame:
+        """Mentions at the given patterns (p): (p, inst, w, _id, _k, i, l)."""
+        befores = written(heads.join(patterns.select("p"), "p", "left_semi").groupBy(F.col("hb").alias("h")).agg(F.collect_set("ha").alias("afters")), "befores")
         one = some(patterns.select("p").distinct())
-        runs = _slots(docs, id_col, text_col, True, befores)
-        return _edges(words).join(one, "p").unionByName(_edges(runs).join(one, "p"))
+        slots = (_slots(source, id_col, text_col, False), _slots(source, id_col, text_col, True, befores))
+        out = [_edges(x).join(one, "p").drop("hb", "ha") for x in slots]
+        return out[0].unionByName(out[1])
 
     seeds = written(_seeds(rows), "seeds")
-    heads = seeds.where("hb is not null").select("p", "hb").distinct()
-    known = seeds.select("inst", "kind").distinct().withColumn("score", F.lit(1.0))
-    enough = lambda edges, scores: edges.join(scores.where(f"score >= {confidence}"), "inst").groupBy("p", "kind").agg(F.count_distinct("inst").alias("c")).where(f"c >= {support}").select("p").distinct()
-    contexts = edges = seeds.select(*pair).distinct()
-    candidates = fresh = written(enough(contexts, known), "candidates")
-    asked, n_good, good, scores = None, 0, None, known
-    while not fresh.isEmpty():
-        edges = written(edges.unionByName(met(fresh).select(*pair)).distinct(), "graph")
-        total = edges.join(candidates, "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
-        while True:  # scores over the candidates' edges
-            graded = edges.join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confidence).alias("c")).where(f"c >= {support}")
-            good = written(graded.join(total, "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
-            if (n := good.count()) == n_good:
-                break
-            n_good = n
-            unseen = edges.join(good, "p").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-            scores = written(known.unionByName(unseen.join(known.select("inst").distinct(), "inst", "left_anti")), "scores")
-        # contexts of what was discovered since may be candidates too
-        found = scores.where(f"score >= {confidence}").select("inst").distinct().join(known.select("inst"), "inst", "left_anti")
-        new = written(found if asked is None else found.join(asked, "inst", "left_anti"), "found")
-        if new.isEmpty():
+    heads = seeds.where("hb is not null and ha is not null").select("p", "hb", "ha").distinct()
+    known = written(seeds.select("inst", "kind").distinct().withColumn("score", F.lit(1.0)), "known")
+    contexts, scores = written(seeds.select(*pair).distinct(), "contexts"), known
+    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(probe)) == 0)
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([], "p long, n long, exact boolean")
+    edges = spark.createDataFrame([], "p long, inst long, l int, w long")
+    asked, n_good, good = None, 0, None
+
+    def number(found: DataFrame, of: DataFrame) -> DataFrame:
+        """(p, n): distinct instances, those of the contexts included."""
+        return contexts.join(of.select("p"), "p", "left_semi").unionByName(found.select(*pair)).distinct().groupBy("p").agg(F.count("*").alias("n"))
+
+    while True:
+        sums = contexts.join(scores, "inst").groupBy("p", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= confidence).alias("c")).where(f"c >= {support}")
+        sums = written(sums, "sums")
+        most = sums.groupBy("p").agg((F.max("sum") / confidence - prior).alias("most"))
+        todo = written(most.join(bounds, "p", "left").where("n is null or (not exact and n <= most)").select("p", "most"), "candidates")
+        if not todo.isEmpty():
+            low = written(number(met(todo, part).select(*pair), todo), "bounds")
+            left = written(todo.join(low, "p", "left").where("n is null or n <= most").select("p"), "candidates")
+            whole = low.join(left, "p", "left_anti").withColumn("exact", F.lit(False))
+            if not left.isEmpty():
+                found = written(met(left, docs).select(*pair, "l", "w").distinct(), "graph")
+                edges = edges.unionByName(found)
+                whole = whole.unionByName(number(found, left).withColumn("exact", F.lit(True)))
+            bounds = written(bounds.join(todo, "p", "left_anti").unionByName(whole), "bounds")
+        good = written(sums.join(bounds.where("exact"), "p").withColumn("conf", F.col("sum") / (F.col("n") + prior)).where(f"conf >= {confidence}").select("p", "kind", "conf"), "patterns")
+        if (n := good.count()) == n_good:
             break
-        asked = new if asked is None else asked.unionByName(new)
-        few = some(new)
-        at = lambda slots: _edges(slots.select("inst", "b", "ps").join(few, "inst"))
-        more = written(at(words).unionByName(at(_slots(docs, id_col, text_col, True))).distinct(), "contexts")
-        heads = heads.unionByName(more.where("hb is not null").select("p", "hb")).distinct()
+        n_good = n
+        unseen = edges.join(good, "p").join(known.select("inst").distinct(), "inst", "left_anti")
+        scored = written(unseen.groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"), F.max("l").alias("l"), F.max("w").alias("w")), "scores")
+        scores = known.unionByName(scored.select("inst", "kind", "score"))
+        # all that scores does so by a confident pattern, so its score is at least ``confidence``
+        new = scored.select("inst", "l", "w").dropDuplicates(["inst"])
+        new = written(new if asked is None else new.join(asked, "inst", "left_anti"), "found")
+        if new.isEmpty():
+            continue
+        asked = new.select("inst") if asked is None else asked.unionByName(new.select("inst"))
+        few = some(new.select("inst"))
+        more = _edges(_slots(docs, id_col, text_col, False).join(few, "inst", "left_semi"))
+        if not new.where("l > 1").isEmpty():
+            firsts = written(new.where("l > 1").select(F.col("w").alias("h")).distinct(), "firsts")
+            more = more.unionByName(_edges(_slots(docs, id_col, text_col, True, None, firsts).join(few, "inst", "left_semi")))
+        more = written(more.select(*pair, "hb", "ha").distinct(), "contexts")
+        heads = heads.unionByName(more.where("hb is not null and ha is not null").select("p", "hb", "ha")).distinct()
         contexts = written(contexts.unionByName(more.select(*pair)).distinct(), "contexts")
-        fresh = written(enough(contexts, scores).join(candidates, "p", "left_anti"), "candidates")
-        candidates = candidates.unionByName(fresh)
     if not n_good:
-        return docs.sparkSession.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
+        return spark.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
     best = F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind")
-    hits = written(met(good).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
+    hits = written(met(good, docs).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
     places = hits.groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("i", -F.col("l"), "l", "kind"))).alias("at"))
     texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).dropDuplicates(["_i", "_h"])
     placed = places.join(texts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")))
@@ -318,13 +349,16 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     rows = written(_scan(docs, id_col, text_col).where(F.size("base") > 0), "spans")
     new = discover(docs, rows, id_col=id_col, text_col=text_col)
     place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-    text, out = F.col(text_col), docs
+    text, out = F.col(f"`{text_col}`"), docs
+    # names that no column of the input has
+    free = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    vi, vk, vnew = (f"{free}{x}" for x in ("vi", "vk", "vnew"))
     extra = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     if not new.isEmpty():
-        more = new.groupBy(F.col("_id").alias("_vi"), F.col("_k").alias("_vk")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("_vnew"))
+        more = new.groupBy(F.col("_id").alias(vi), F.col("_k").alias(vk)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(vnew))
         more = F.broadcast(more) if new.count() <= BROADCAST_ROWS else more
-        out = docs.join(more, F.col(id_col).eqNullSafe(F.col("_vi")) & F.xxhash64(text).eqNullSafe(F.col("_vk")), "left")
-        extra = F.coalesce("_vnew", extra)
+        out = docs.join(more, F.col(id_col).eqNullSafe(F.col(vi)) & F.xxhash64(text).eqNullSafe(F.col(vk)), "left")
+        extra = F.coalesce(vnew, extra)
 
     def replaced(spans: Column) -> Column:
         # where spans overlap, the first stands and the rest of the others goes with it
