@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from versight.operators import verify
-from versight.plans import registry
+from versight.plans import ablation, registry
 
 ITEMS = {
     0: "The captain sailed north in spring. A lighthouse keeper kept the brass lantern burning. The harbour froze that winter; merchants waited for the thaw.",
@@ -58,5 +59,83 @@ def test_flagship_labels_by_all_claims(spark, small, monkeypatch):
 
 
 def test_diagnostics_of_every_claim(spark, small):
-    got = {(r.example_id, r.claim_id): (r.num_retrieved, r.target_character_hit) for r in registry.QUERIES["evl_10_diagnostics"](spark, small).collect()}
-    assert got == {c: (4, True) for c in WANT}
+    rows = registry.QUERIES["evl_10_diagnostics"](spark, small).collect()
+    assert {(r.example_id, r.claim_id): (r.num_retrieved_chunks, r.has_target_character_chunk) for r in rows} == {c: (4, True) for c in WANT}
+    assert all((r.has_custody_incompatible_candidate is None) == (r.claim_type != "custody_status") for r in rows)
+    m = registry.QUERIES["evl_11_diagnostic_metrics"](spark, small).first()
+    assert (m.num_dev_examples, m.num_claims, m.avg_claims_per_example, m.target_character_hit_rate, m.avg_retrieved_chunks_per_claim) == (4, 12, 3.0, 1.0, 4.0)
+
+
+def test_records_of_a_run(spark, small):
+    import json
+
+    rows = {r.example_id: r for r in registry.QUERIES["snk_07_pipeline_trace"](spark, small).collect()}
+    assert {k: r.n_claims for k, r in rows.items()} == {str(i): len(claims_of(t)) for i, t in ITEMS.items()}
+    record = json.loads(rows["0"].record)
+    claim = record["claims"][0]
+    assert claim["num_retrieved_chunks"] == 4 and len(claim["verifier_chunk_ids"]) == 4 and claim["retrieved_chunks"][0]["rank"] == 1
+    assert claim["prompt_char_estimate"] == len(claim["claim_plan"]["claim_text"]) + sum(map(len, DOCS.values()))
+    assert record["final_aggregation"]["predicted_label"] in ("consistent", "contradict")
+
+
+def test_ablation_sweep(spark, small):
+    e, chunks = registry._benchmark_examples(spark, small), registry.annotated(spark, small)
+    gold = e.select("id", F.lit("consistent").alias("label"))
+    some = {k: ablation.CONFIGS[k] for k in ("lexical_only", "plus_reranker")} | {"broken": None}
+    got = [tuple(r)[:4] for r in ablation.ablate(e, chunks, gold, configs={k: v for k, v in some.items() if v}).collect()]
+    labels = {r.example_id: r.predicted_label for r in registry.QUERIES["flagship_pipeline"](spark, small).collect()}
+    assert [g[:3] for g in got] == [("lexical_only", "ok", 4), ("plus_reranker", "ok", 4)]
+    assert got[1][3] == sum(v == "consistent" for v in labels.values()) / 4
+    bad = ablation.ablate(e, chunks, gold.limit(0), configs={k: ablation.CONFIGS[k] for k in ("lexical_only", "semantic_only")}, fail_fast=True).collect()
+    assert [(r.config, r.status) for r in bad] == [("lexical_only", "failed")]
+
+
+def scored_by_hand(spark, small, k):
+    """Every pair's score with the expressions of the parts, and the best k of each claim."""
+    from versight import lexicons as L
+    from versight.functions import text as T
+    from versight.operators import bm25, planning, retrieval
+
+    chunks = registry.annotated(spark, small)
+    plans = planning.plan_claims(registry._benchmark_examples(spark, small))
+    items = planning.work_items(plans, planning.families(plans)).withColumn("key", F.struct("example_id", "claim_id", "item_idx"))
+    tokens = bm25.query_tokens(items.select("key", F.col("query").alias("text")), key="key")
+    lexical = bm25.scores(*bm25.index(chunks, key="chunk_index_global"), tokens, decimals=None).toDF("key", "chunk_index_global", "lexical")
+    types = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(retrieval.inferred_types(F.col("query")))
+    x = items.crossJoin(chunks.drop("book_name")).join(lexical, ["key", "chunk_index_global"], "left").withColumn("signals", retrieval.chunk_signals(F.col("event_mentions"), F.col("text")))
+    event = lambda t: retrieval.event_score(t, F.col("signals"), F.col("event_mentions"), F.col("text"))
+    x = x.select("key", "chunk_index_global", F.coalesce("lexical", F.lit(0.0)).alias("l"), T.cosine(T.hashed_embedding(F.col("query"), L.SYNONYMS), T.hashed_embedding(F.col("text"), L.SYNONYMS)).alias("s"), retrieval.character_score(F.col("character"), F.col("character_mentions"), F.col("text")).alias("character"), event(types("event_types")).alias("event"), F.when(F.col("channel").rlike("^(contradiction|incompatible)"), event(types("incompatible_event_types"))).otherwise(0.0).alias("incompatible"), F.least(F.col("plot_density_score") / 50, F.lit(1.0)).alias("density"), retrieval.temporal_cue(F.col("text")).alias("temporal"))
+    rows = [r.asDict(recursive=True) for r in x.collect()]
+    most = {}
+    for r in rows:
+        key = tuple(r["key"].values())
+        b, s = most.get(key, (0.0, 0.0))
+        most[key] = max(b, r["l"]), max(s, r["s"])
+    best = {}
+    for r in rows:
+        key = tuple(r["key"].values())
+        b, s = most[key]
+        r |= {"bm25": r["l"] / b if b > 0 else 0.0, "semantic": max(r["s"] / s, 0.0) if s > 0 else 0.0}
+        total = round(sum(w * r[p] for p, w in L.WEIGHTS.items()), 6)
+        if total > 0:
+            best.setdefault(key[:2], {}).setdefault(r["chunk_index_global"], []).append((-total, key[2]))
+    out = {}
+    for claim, found in best.items():
+        order = sorted((min(v)[0], min(i for _, i in v), at, min(v)[1]) for at, v in found.items())
+        out[claim] = [(at, item, -t) for t, _, at, item in order[:k]]
+    return items, chunks, out
+
+
+def test_matrix_scores_equal_expressions(spark, small):
+    from versight.operators import retrieval
+
+    items, chunks, want = scored_by_hand(spark, small, 3)
+    got = {}
+    for r in retrieval.best_chunks(items, chunks, 3).orderBy("rank").collect():
+        got.setdefault((r.example_id, r.claim_id), []).append((r.chunk_index_global, r.item_idx, r.final_score))
+    assert set(got) == set(want)
+    for claim, rows in want.items():
+        assert [x[:2] for x in got[claim]] == [x[:2] for x in rows] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got[claim], rows, strict=True))
+    assert retrieval.best_chunks(items.limit(0), chunks, 3).count() == 0 and retrieval.best_chunks(items, chunks.limit(0), 3).count() == 0
+    one = retrieval.best_chunks(items.where("example_id = '0'"), chunks, 3, strict_characters=True, batch_cells=1).collect()
+    assert one and all(r.character_score > 0 for r in one)

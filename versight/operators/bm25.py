@@ -6,21 +6,44 @@ of them. Query tokens keep their multiplicity: a token that is asked twice count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from versight.functions import text as T
+from versight.functions.store import written
 
 K1, B = 1.5, 0.75
 
 
-def index(docs: DataFrame, *, key: str, text_col: str = "text", group: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index(docs: DataFrame, *, key: str, text_col: str = "text", group: str | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings with document length, document frequencies, statistics); per ``group`` if given."""
     by = [group] if group else []
-    toks = docs.select(*by, F.col(key).alias("doc"), T.tokenise(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("len", F.size("t"))
-    tf = toks.select(*by, "doc", "len", F.explode("t").alias("token")).groupBy(*by, "doc", "len", "token").agg(F.count("*").alias("tf"))
+    tf, own = postings(docs, key=key, text_col=text_col, group=group, asked=asked)
     df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    stats = toks.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")) if by else toks.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    return tf, df, stats
+    numbers = (F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return tf, df, own.groupBy(*by).agg(*numbers) if by else own.agg(*numbers)
+
+
+def postings(docs: DataFrame, *, key: str, text_col: str = "text", group: str | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc, len, token, tf) and (doc, len).
+
+    The texts are read once: tokens are counted within the row, and postings are written to
+    the shared folder, with a row without token for each document, which carries its length.
+    With ``asked`` (column token) only those tokens are kept, which is enough to score them.
+    """
+    by = [group] if group else []
+    tokens = T.tokenise(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(*by, F.col(key).alias("doc"), tokens.alias("t")).select(*by, "doc", F.size("t").alias("len"), F.explode(F.concat(T.let(F.array_sort("t"), _runs), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"))))).alias("x"))
+    rows = rows.select(*by, "doc", "len", "x.token", F.col("x.tf").cast("long").alias("tf"))
+    if asked is not None:
+        rows = rows.join(asked.select("token").distinct().withColumn("_asked", F.lit(True)), "token", "left").where("token is null or _asked").drop("_asked").select(*by, "doc", "len", "token", "tf")
+    rows = written(rows, "postings")
+    return rows.where("token is not null"), rows.where("token is null").select(*by, "doc", "len")
+
+
+def _runs(t: Column) -> Column:
+    """array<struct<token, tf>> of sorted tokens."""
+    starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1) != x), i)), lambda i: i.isNotNull())
+    return T.let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("tf"))))
 
 
 def query_tokens(queries: DataFrame, *, key: str, text_col: str = "text", group: str | None = None) -> DataFrame:
@@ -52,5 +75,39 @@ def top_k(scored: DataFrame, k: int, *, per: str = "query", by: str = "score", t
 
 def normalised(scored: DataFrame, *, per, value: str = "score") -> DataFrame:
     """Divided by the greatest of each query; what is not positive is 0."""
-    most = F.max(value).over(W.partitionBy(*([per] if isinstance(per, str) else per)))
-    return scored.withColumn("norm", F.when(most > 0, F.greatest(F.col(value) / most, F.lit(0.0))).otherwise(0.0))
+    keys = [per] if isinstance(per, str) else list(per)
+    rows = written(scored, "scored")
+    most = rows.groupBy(*keys).agg(F.max(value).alias("_most"))
+    return rows.join(most, keys).withColumn("norm", F.when(F.col("_most") > 0, F.greatest(F.col(value) / F.col("_most"), F.lit(0.0))).otherwise(0.0)).drop("_most")
+
+
+def pair_score(query: Column, document: Column) -> Column:
+    """BM25 of one query and one document that is the whole corpus (n = df = 1, average length its own)."""
+    idf = F.log(F.lit(1 + 0.5 / 1.5))
+
+    def total(doc: Column) -> Column:
+        own = lambda w: F.size(F.filter(doc, lambda t: t == w))
+        part = lambda w: T.let(own(w).cast("double"), lambda n: F.when(n > 0, idf * n * (K1 + 1) / (n + K1)).otherwise(0.0))
+        return F.aggregate(F.transform(T.tokenise(query), part), F.lit(0.0), lambda s, x: s + x)
+
+    return F.round(T.let(T.tokenise(document), total), 6)
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int) -> DataFrame:
+    """The k best chunks of each query (query, text, book_name, character) that fit its filters.
+
+    Filters come after the top-k, so fewer may be left: the book's name if the query has
+    one, and its character if the chunk mentions anybody. Chunks without a common token
+    score 0 and fill up the k in corpus order.
+    """
+    tokens = query_tokens(queries, key="query")
+    scored = scores(*index(chunks, key="chunk_index_global", asked=tokens), tokens)
+    # chunks that score nothing stand in corpus order: the first k of all suffice
+    filler = chunks.select(F.col("chunk_index_global").alias("doc")).orderBy("doc").limit(k)
+    rest = queries.select("query").crossJoin(F.broadcast(filler)).join(scored.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    best = top_k(scored.unionByName(rest), k).join(queries.select("query", F.col("book_name").alias("_book"), F.col("character").alias("_who")), "query")
+    met = best.join(chunks, best.doc == chunks.chunk_index_global)
+    said = F.transform("character_mentions", lambda m: F.lower(m))
+    fits = (F.coalesce("_book", F.lit("")) == "") | (T.book_key(F.col("_book")) == T.book_key(F.col("book_name")))
+    named = (F.coalesce("_who", F.lit("")) == "") | (F.size("character_mentions") == 0) | F.array_contains(said, F.lower("_who"))
+    return met.where(fits & named).drop("_book", "_who", "doc")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
+from versight.functions.store import written
 
 HEADING = r"(?i)^\s*chapter\s+([0-9]+|[ivxlcdm]+)\.?\s*(?:[-:.]\s*)?(.*\S)?\s*$"
 START = r"(?i)\*\*\*\s*START OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*\*\*"
@@ -71,7 +72,8 @@ def build_chunks(chapters_df: DataFrame, *, book: str = "book_name", chapter: st
     """One row per chunk with its ids and indices.
 
     ``chunk_index_global`` runs over all books in their order; numbers are offsets of
-    per-chapter counts, so no single task sees all chunks.
+    per-chapter counts. Chapters are dealt by ranges of (book, chapter); sums run within a
+    range and ranges are offset by their totals, so no task sees all chapters.
     """
     cut = chapters_df.select(F.col(book).alias("book_name"), F.col(chapter).alias("chapter_index"), *(["chapter_title"] if "chapter_title" in chapters_df.columns else [F.lit(None).cast("string").alias("chapter_title")]), chunk_array(F.col(text_col), size, overlap).alias("c"))
     chunks = cut.select("book_name", "chapter_index", "chapter_title", F.posexplode("c").alias("i", "text"))
@@ -80,10 +82,21 @@ def build_chunks(chapters_df: DataFrame, *, book: str = "book_name", chapter: st
     if not global_index:
         return out.drop("chapter_index")
     sizes = cut.groupBy("book_name", "chapter_index").agg(F.sum(F.size("c")).alias("n"))
-    offsets = sizes.select("book_name", "chapter_index", (F.sum("n").over(W.orderBy("book_name", "chapter_index")) - F.col("n")).alias("before"))
+    dealt = written(sizes.repartitionByRange("book_name", "chapter_index").withColumn("part", F.spark_partition_id()), "chapters")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("total"))
+    starts = parts.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("start"))
+    within = F.sum("n").over(W.partitionBy("part").orderBy("book_name", "chapter_index")) - F.col("n")
+    offsets = dealt.withColumn("within", within).join(F.broadcast(starts), "part").select("book_name", "chapter_index", (F.col("start") + F.col("within")).alias("before"))
     return out.join(offsets, ["book_name", "chapter_index"]).withColumn("chunk_index_global", F.col("before") + F.col("chunk_index_in_chapter")).drop("before", "chapter_index")
 
 
+def chunk_counts(books: DataFrame, *, book: str = "book_name", text_col: str = "text", size: int = 400, overlap: int = 100) -> DataFrame:
+    """(book, n_chunks): counted from the numbers of words; no chunk is made."""
+    n = F.size(T.words(F.coalesce(F.col(text_col), F.lit(""))))
+    chunks = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(size - overlap)) + 1)
+    return books.groupBy(book).agg(F.sum(chunks).cast("long").alias("n_chunks")).where("n_chunks > 0")
+
+
 def mentions(text: Column, names=L.CHARACTERS) -> Column:
     """Names that occur as whole phrases, in the lexicon's order."""
     return F.filter(F.array(*(F.when(T.any_phrase(text, [n]), n) for n in names)), lambda x: x.isNotNull())
@@ -124,3 +137,21 @@ def annotate(chunks: DataFrame, characters=L.CHARACTERS, events=L.EVENTS, tempor
 def substring_flags(text: Column, words, prefix: str) -> list[Column]:
     """A 0/1 column for each word that is part of the text, as raw substring."""
     return [F.contains(F.lower(text), F.lit(w.lower())).cast("int").alias(prefix + w.lower().replace(" ", "_").replace("-", "_")) for w in words]
+
+
+def records(chunks: DataFrame) -> DataFrame:
+    """Annotated chunks with the fields of a chunk file, in their order."""
+    path = F.col("source_path") if "source_path" in chunks.columns else F.lit(None).cast("string")
+    return chunks.select("chunk_id", "book_name", "chapter_id", "chapter_title", "chunk_index_global", "chunk_index_in_chapter", "text", "character_mentions", "event_mentions", "plot_density_score", path.alias("source_path"), "metadata")
+
+
+def split_chapters(text: Column, spark_rows: DataFrame | None = None, *, key: str = "book_name") -> DataFrame:
+    """(key, title, text) of the chapters of rows whose ``text`` column is given; see ``chapters``."""
+    if spark_rows is None:
+        raise ValueError("the rows that hold the text are needed")
+    return chapters(spark_rows.withColumn("_text", text), key=key, text_col="_text").select(key, "chapter_index", "chapter_title", "text")
+
+
+def chunk_words(text: Column, chunk_size: int = 400, chunk_overlap: int = 100) -> Column:
+    """``chunk_array`` under the names that older callers use."""
+    return chunk_array(text, chunk_size, chunk_overlap)

@@ -46,6 +46,11 @@ def plan_claims(examples: DataFrame, *, max_claims: int = 6) -> DataFrame:
     usable = sentences(text)
     chosen = F.slice(F.when(F.size(usable) > 0, usable).otherwise(F.array(F.trim(F.regexp_replace(text, r"\s+", " ")))), 1, max_claims)
     rows = examples.select("id", "book_name", "character", F.posexplode(chosen).alias("p", "claim_text"))
+    return plan_texts(rows)
+
+
+def plan_texts(rows: DataFrame) -> DataFrame:
+    """Plans of claims given as (id, book_name, character, p from 0, claim_text): type, queries and states."""
     c, b, k = F.coalesce("character", F.lit("")), F.coalesce("book_name", F.lit("")), F.col("claim_type")
     rows = rows.select(F.col("id").alias("example_id"), (F.col("p") + 1).alias("claim_id"), "book_name", "character", "claim_text", claim_type(F.col("claim_text")).alias("claim_type"), T.keywords(F.col("claim_text"), L.STOP_WORDS).alias("keywords"))
     generic_support = F.array(F.concat_ws(" ", c, "claim_text"), F.concat_ws(" ", b, c, F.array_join(F.slice("keywords", 1, 6), " ")))
@@ -107,6 +112,7 @@ def contradictions_of(text: Column, claim_id: Column) -> Column:
     return F.coalesce(F.element_at(F.from_json(text, "map<string,array<string>>"), claim_id.cast("string")), F.expr("cast(array() as array<string>)"))
 
 
-def exactly_three(found: Column, claim: Column) -> Column:
-    """Three contradictions: cut, or filled up with a template."""
-    return F.slice(F.concat(found, F.array_repeat(F.concat(F.lit("Evidence contradicting: "), claim), 3)), 1, 3)
+def claim_queries(claim: Column) -> Column:
+    """The default queries of a claim: its text, and what would contradict it, as array<struct<query_type, query_text>>."""
+    one = lambda kind, q: F.struct(F.lit(kind).alias("query_type"), q.alias("query_text"))
+    return F.array(one("support", claim), one("contradiction", F.concat(F.lit("Evidence that contradicts: "), claim)))

@@ -1,19 +1,27 @@
-"""Hybrid retrieval: lexical, vector, character, event, density and temporal parts in one plan.
+"""Hybrid retrieval: lexical, vector, character, event, density and temporal parts.
 
-Chunks are met with work items on narrow feature rows only; texts come back after the
-top-k. The exact score needs every pair (a chunk without a common token can still score),
-so items, which are few and are counted before, are broadcast to the chunks; beyond
-``BROADCAST_ITEMS`` they are taken in blocks.
+The exact score needs every pair of a work item and a chunk (a chunk without a common token can
+still score). Items are few: they are counted, and taken in blocks of ``BROADCAST_ITEMS`` at
+most. A block's items are matrices that go to the tasks; each task multiplies them with its
+chunks' features in Arrow batches and returns, for each claim, only its own k best chunks.
+So no pair is shuffled, and what is, is k rows a claim and task. A first pass takes the greatest
+lexical and vector score of each item, by which the second divides. Texts come back after
+the top-k.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
+from versight.functions.store import written
 from versight.operators import bm25
 
 BROADCAST_ITEMS = 20_000
@@ -55,67 +63,211 @@ def temporal_cue(text: Column, terms=L.TEMPORAL_CUES) -> Column:
     return F.least(F.size(F.array_intersect(T.tokenise(text), T.literal_array(terms))) / 3.0, F.lit(1.0))
 
 
-def score_items(items: DataFrame, chunks: DataFrame, **options) -> DataFrame:
-    """Scores of all items, in blocks of at most about ``BROADCAST_ITEMS`` (they are counted)."""
-    blocks = -(-items.count() // BROADCAST_ITEMS)
-    if blocks <= 1:
-        return _score_block(items, chunks, **options)
-    parts = (items.where(F.pmod(F.xxhash64(*ITEM), F.lit(blocks)) == b) for b in range(blocks))
-    return reduce(DataFrame.unionByName, (_score_block(p, chunks, **options) for p in parts))
+PARTS = tuple(L.WEIGHTS)
+#: The columns of the parts.
+SCORES = tuple(f"{p}_score" for p in PARTS)
 
 
-def _score_block(items: DataFrame, chunks: DataFrame, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS) -> DataFrame:
-    """Narrow rows (item, chunk, parts, final_score) with a positive score.
+def _event_names(items: DataFrame, signals) -> list[str]:
+    """All event types that items or the signal table name, lower-cased, in a fixed order."""
+    own = items.select(F.explode(F.concat("event_types", "incompatible_event_types")).alias("t")).select(F.lower("t").alias("t")).distinct().collect()
+    return sorted({r.t for r in own if r.t is not None} | set(signals))
 
-    ``flags`` switches parts off: lexical, semantic, character, event, timeline. BM25 and
-    vector scores are divided by their greatest value per item over all chunks, before any
-    filter on characters.
+
+def chunk_features(chunks: DataFrame, names: list[str], targets: list[str], *, signals=L.SIGNALS, synonyms=L.SYNONYMS) -> DataFrame:
+    """One narrow row per chunk: tokens, vector, density, temporal cue, a signal for each event name and a score for each target."""
+    events, text = F.col("event_mentions"), F.lower("text")
+    said = F.transform(events, lambda e: F.lower(e))
+
+    def one(table: Column) -> Column:
+        return F.array(*(table[n] if n in signals else F.when(F.array_contains(said, n), 1.0).otherwise(0.0) + F.when(text.contains(n), 0.6).otherwise(0.0) for n in names)) if names else F.expr("cast(array() as array<double>)")
+
+    met = F.array(*(character_score(F.lit(t), F.col("character_mentions"), text) for t in targets)) if targets else F.expr("cast(array() as array<double>)")
+    return chunks.select("chunk_index_global", T.tokenise(F.coalesce("text", F.lit(""))).alias("tokens"), T.hashed_embedding(F.col("text"), synonyms).alias("vec"), F.least(F.coalesce("plot_density_score", F.lit(0.0)) / 50.0, F.lit(1.0)).alias("density"), temporal_cue(F.coalesce("text", F.lit(""))).alias("temporal"), T.let(chunk_signals(events, F.col("text"), signals), one).alias("events"), met.alias("targets"))
+
+
+class _Block:
+    """The items of a block as matrices, and the scores of a batch of chunks against them."""
+
+    def __init__(self, rows: list, names: list[str], targets: list[str], idf: dict[str, float], average: float, on: dict[str, bool]):
+        self.on, self.average = on, average or 1.0
+        self.rows = sorted(rows, key=lambda r: (r.example_id, r.claim_id, r.item_idx))
+        n, column, place = len(self.rows), {x: i for i, x in enumerate(names)}, {x: i for i, x in enumerate(targets)}
+        self.vectors = np.array([r.qvec for r in self.rows])
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.wanted, self.against = np.zeros((n, len(names))), np.zeros((n, len(names)))
+        for matrix, field in ((self.wanted, "types"), (self.against, "against_types")):
+            for i, r in enumerate(self.rows):
+                for t in r[field]:
+                    matrix[i, column[t.lower()]] += 1
+        self.n_wanted, self.n_against = (np.maximum(1, m.sum(1)) for m in (self.wanted, self.against))
+        self.opposed = np.array([r.channel.startswith(("contradiction", "incompatible")) for r in self.rows])
+        self.target = np.array([place.get(r.character, -1) for r in self.rows])
+        # postings of the items' tokens: term -> (items, multiplicity * idf)
+        found: dict[str, dict[int, float]] = {}
+        for i, r in enumerate(self.rows):
+            for t in r.tokens:
+                if t in idf:
+                    own = found.setdefault(t, {})
+                    own[i] = own.get(i, 0.0) + idf[t]
+        self.terms = {t: (np.fromiter(x, np.int64, len(x)), np.fromiter(x.values(), float, len(x))) for t, x in found.items()}
+        keys = [(r.example_id, r.claim_id) for r in self.rows]
+        self.claims = list(dict.fromkeys(keys))
+        self.starts = np.array([i for i in range(n) if i == 0 or keys[i] != keys[i - 1]])
+
+    def lexical(self, tokens: list) -> np.ndarray:
+        out = np.zeros((len(tokens), len(self.rows)))
+        if not self.on["lexical"]:
+            return out
+        for row, own in zip(out, tokens, strict=True):
+            scale = bm25.K1 * (1 - bm25.B + bm25.B * len(own) / self.average)
+            for t, tf in Counter(t for t in own if t in self.terms).items():
+                at, weight = self.terms[t]
+                row[at] += weight * (tf * (bm25.K1 + 1) / (tf + scale))
+        return out
+
+    def semantic(self, vectors: np.ndarray) -> np.ndarray:
+        if not self.on["semantic"]:
+            return np.zeros((len(vectors), len(self.rows)))
+        norm = np.sqrt((vectors * vectors).sum(1))[:, None] * self.norms
+        return np.divide(vectors @ self.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0)
+
+    def scores(self, batch: dict, most: np.ndarray, strict: bool) -> dict[str, np.ndarray]:
+        """Each part and final_score, rounded, as (chunk, item); -1 where a strict filter on characters fails."""
+        size = len(batch["density"])
+        scaled = lambda x, m: np.maximum(np.divide(x, m, out=np.zeros_like(x), where=np.broadcast_to(m > 0, x.shape)), 0.0)
+        met = np.concatenate([batch["targets"], np.zeros((size, 1))], 1)[:, self.target]
+        none = np.zeros((size, len(self.rows)))
+        event = lambda w, n: np.minimum(batch["events"] @ w.T / n, 1.0)
+        parts = {
+            "bm25": scaled(self.lexical(batch["tokens"]), most[0]),
+            "semantic": scaled(self.semantic(batch["vec"]), most[1]),
+            "character": met if self.on["character"] else none,
+            "event": event(self.wanted, self.n_wanted) if self.on["event"] else none,
+            "incompatible": np.where(self.opposed, event(self.against, self.n_against), 0.0) if self.on["event"] else none,
+            "density": np.repeat(batch["density"][:, None], len(self.rows), 1),
+            "temporal": np.repeat(batch["temporal"][:, None], len(self.rows), 1) if self.on["timeline"] else none,
+        }
+        total = sum(L.WEIGHTS[p] * parts[p] for p in PARTS)
+        if strict:
+            total = np.where((met > 0) | (self.target < 0), total, -1.0)
+        return {p: np.round(x, 6) for p, x in parts.items()} | {"final_score": np.round(total, 6)}
+
+
+def _batch(b) -> dict:
+    matrix = lambda c: np.stack(b.column(c).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 0))
+    number = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+    return {"tokens": b.column("tokens").to_pylist(), "vec": matrix("vec"), "density": number("density"), "temporal": number("temporal"), "events": matrix("events").reshape(b.num_rows, -1), "targets": matrix("targets").reshape(b.num_rows, -1), "at": number("chunk_index_global")}
+
+
+def best_chunks(items: DataFrame, chunks: DataFrame, k: int, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS, batch_cells: int = 1 << 20) -> DataFrame:
+    """The k best chunks of each claim, of those with a positive score: ids, rank, item_idx, channel, the parts and final_score.
+
+    A chunk counts with the best of the claim's items, the earliest on ties; tied chunks keep
+    the order in which items first reach them, then the corpus order. ``flags`` switches parts
+    off: lexical, semantic, character, event, timeline. BM25 and vector scores are divided by
+    their greatest value per item over all chunks, before any filter on characters.
     """
     on = {"lexical": True, "semantic": True, "character": True, "event": True, "timeline": True} | (flags or {})
-    item_key = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in ITEM))
-    items = items.withColumn("item_key", item_key)
-    tf, df, stats = bm25.index(chunks, key="chunk_index_global")
-    lexical = bm25.scores(tf, df, stats, bm25.query_tokens(items, key="item_key", text_col="query"), decimals=None).toDF("item_key", "chunk_index_global", "bm25")
-    features = chunks.select("chunk_index_global", F.lower("text").alias("text"), "character_mentions", "event_mentions", F.least(F.col("plot_density_score") / 50.0, F.lit(1.0)).alias("density"), (temporal_cue(F.col("text")) if on["timeline"] else F.lit(0.0)).alias("temporal"), chunk_signals(F.col("event_mentions"), F.col("text"), signals).alias("signals"), T.hashed_embedding(F.col("text"), synonyms).alias("vec")).repartition("chunk_index_global")
-    asked = items.select("item_key", *ITEM, "character", "channel", "incompatible_event_types", F.when(F.size("event_types") > 0, F.col("event_types")).otherwise(inferred_types(F.col("query"), signals)).alias("types"), F.when(F.size("incompatible_event_types") > 0, F.col("incompatible_event_types")).otherwise(inferred_types(F.col("query"), signals)).alias("against"), T.hashed_embedding(F.col("query"), synonyms).alias("qvec"))
-    pairs = features.crossJoin(F.broadcast(asked)).join(lexical if on["lexical"] else lexical.limit(0), ["item_key", "chunk_index_global"], "left")
-    against = F.col("channel").startswith("contradiction") | F.col("channel").startswith("incompatible")
-    parts = {
-        "bm25_raw": F.coalesce("bm25", F.lit(0.0)),
-        "semantic_raw": T.cosine(F.col("qvec"), F.col("vec")) if on["semantic"] else F.lit(0.0),
-        "character_match": character_score(F.col("character"), F.col("character_mentions"), F.col("text")),
-        "event": event_score(F.col("types"), F.col("signals"), F.col("event_mentions"), F.col("text")) if on["event"] else F.lit(0.0),
-        "incompatible": F.when(against, event_score(F.col("against"), F.col("signals"), F.col("event_mentions"), F.col("text"))).otherwise(0.0) if on["event"] else F.lit(0.0),
-    }
-    narrow = pairs.select("item_key", *ITEM, "channel", "chunk_index_global", "density", "temporal", F.col("character").alias("target"), *(v.alias(k) for k, v in parts.items()))
-    most = {c: F.max(c).over(W.partitionBy("item_key")) for c in ("bm25_raw", "semantic_raw")}
-    norm = lambda c: F.when(most[c] > 0, F.greatest(F.col(c) / most[c], F.lit(0.0))).otherwise(0.0)
-    scored = narrow.withColumns({"bm25": norm("bm25_raw"), "semantic": norm("semantic_raw")})
-    if strict_characters:
-        scored = scored.where((F.col("character_match") > 0) | F.col("target").isNull() | (F.col("target") == ""))
-    scored = scored.withColumn("character", F.col("character_match") if on["character"] else F.lit(0.0))
-    total = reduce(lambda a, b: a + b, (F.lit(w) * F.col(c) for c, w in L.WEIGHTS.items()))
-    return scored.select(*ITEM, "channel", "chunk_index_global", *(F.round(c, 6).alias(c) for c in L.WEIGHTS), F.round(total, 6).alias("final_score")).where("final_score > 0")
-
-
-def best_chunks(scored: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each claim. The earliest item wins a tie for a chunk; tied chunks keep the
-    order in which items first reached them, then the corpus order."""
-    claim = ["example_id", "claim_id"]
-    best = scored.withColumn("first_item", F.min("item_idx").over(W.partitionBy(*claim, "chunk_index_global"))).withColumn("n", F.row_number().over(W.partitionBy(*claim, "chunk_index_global").orderBy(F.desc("final_score"), "item_idx"))).where("n = 1").drop("n")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(*claim).orderBy(F.desc("final_score"), "first_item", "chunk_index_global"))).where(F.col("rank") <= k)
+    spark, total = items.sparkSession, items.count()
+    tokens = items.select(F.explode(T.tokenise(F.coalesce("query", F.lit("")))).alias("token")).distinct()
+    names = _event_names(items, signals)
+    targets = sorted(r[0] for r in items.select("character").distinct().collect() if r[0])
+    types = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(inferred_types(F.col("query"), signals))
+    asked = items.select(*ITEM, "character", "channel", T.tokenise(F.coalesce("query", F.lit(""))).alias("tokens"), T.hashed_embedding(F.col("query"), synonyms).alias("qvec"), types("event_types").alias("types"), types("incompatible_event_types").alias("against_types"))
+    features = written(chunk_features(chunks, names, targets, signals=signals, synonyms=synonyms), "features")
+    lengths = features.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
+    df = features.select(F.explode(F.array_distinct("tokens")).alias("token")).join(F.broadcast(tokens) if total <= BROADCAST_ITEMS else tokens, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    idf = {r.token: math.log(1 + (lengths.n - r.df + 0.5) / (r.df + 0.5)) for r in df.toLocalIterator()}
+    blocks, out = -(-total // BROADCAST_ITEMS), None
+    kinds = dict(items.dtypes)
+    for b in range(blocks):
+        # a claim's items stay together
+        part = asked.where(F.pmod(F.xxhash64("example_id", "claim_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        block = _Block(part.collect(), names, targets, idf, lengths.avgdl, on)
+        if not block.rows:
+            continue
+        sent = spark.sparkContext.broadcast(block)
+        step = max(1, batch_cells // len(block.rows))
+
+        def greatest(batches, sent=sent, step=step):
+            most = np.full((2, len(sent.value.rows)), -np.inf)
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    x = _batch(whole.slice(at, step))
+                    most = np.maximum(most, [sent.value.lexical(x["tokens"]).max(0), sent.value.semantic(x["vec"]).max(0)])
+            seen = np.flatnonzero(np.isfinite(most[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(most[0][seen]), pa.array(most[1][seen])], names=["i", "b", "s"])
+
+        most = np.zeros((2, len(block.rows)))
+        for r in features.select("chunk_index_global", "tokens", "vec", "density", "temporal", "events", "targets").mapInArrow(greatest, "i long, b double, s double").groupBy("i").agg(F.max("b").alias("b"), F.max("s").alias("s")).collect():
+            most[:, r.i] = r.b, r.s
+
+        def pick(batches, sent=sent, step=step, most=most):
+            yield from _picked(batches, sent.value, step, most, strict_characters, k)
+
+        schema = f"claim int, item int, first_item int, chunk_index_global {kinds.get('chunk_index_global', 'long')}, " + ", ".join(f"{c} double" for c in (*SCORES, "final_score"))
+        near = features.mapInArrow(pick, schema)
+        order = W.partitionBy("claim").orderBy(F.desc("final_score"), "first_item", "chunk_index_global")
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        owner = spark.createDataFrame([(i, r.example_id, r.claim_id, r.item_idx, r.channel) for i, r in enumerate(block.rows)], f"item int, example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string")
+        done = written(near.join(F.broadcast(owner), "item").select("example_id", "claim_id", "item_idx", "channel", "chunk_index_global", *SCORES, "final_score", "rank"), "best")
+        sent.unpersist()
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        columns = ", ".join([f"example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string, chunk_index_global {dict(chunks.dtypes)['chunk_index_global']}", *(f"{c} double" for c in (*SCORES, "final_score")), "rank int"])
+        return spark.createDataFrame([], columns)
+    return out
+
+
+def _picked(batches, block: _Block, step: int, most: np.ndarray, strict: bool, k: int):
+    """The k best chunks of each claim among a task's chunks: a batch's candidates are merged with the best so far."""
+    kept = None
+    ends = np.append(block.starts[1:], len(block.rows))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            x = _batch(whole.slice(at, step))
+            s = block.scores(x, most, strict)
+            final = s["final_score"]
+            rows = []
+            for c, (lo, hi) in enumerate(zip(block.starts.tolist(), ends.tolist(), strict=True)):
+                own = final[:, lo:hi]
+                item = own.argmax(1)
+                best = own[np.arange(len(own)), item]
+                first = (own > 0).argmax(1)
+                hit = np.flatnonzero(best > 0)
+                if len(hit):
+                    hit = hit[np.lexsort((x["at"][hit], first[hit], -best[hit]))[:k]]
+                    rows.append(np.column_stack([np.full(len(hit), c), lo + item[hit], first[hit], hit]))
+            if not rows:
+                continue
+            found = np.concatenate(rows).astype(np.int64)
+            values = np.column_stack([s[p][found[:, 3], found[:, 1]] for p in (*PARTS, "final_score")])
+            fresh = (found[:, 0], found[:, 1], found[:, 2], x["at"][found[:, 3]], values)
+            kept = fresh if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, fresh, strict=True))
+            order = np.lexsort((kept[3], kept[2], -kept[4][:, -1], kept[0]))
+            claim = kept[0][order]
+            place = np.arange(len(order)) - np.searchsorted(claim, claim)
+            kept = tuple(a[order[place < k]] for a in kept)
+    if kept is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0].astype(np.int32)), pa.array(kept[1].astype(np.int32)), pa.array(kept[2].astype(np.int32)), pa.array(kept[3]), *(pa.array(kept[4][:, j]) for j in range(kept[4].shape[1]))], names=["claim", "item", "first_item", "chunk_index_global", *SCORES, "final_score"])
 
 
 def with_neighbours(top: DataFrame, chunks: DataFrame, factor: float = 0.65) -> DataFrame:
-    """Adds the chunks before and after in the chapter, each claimed by the best ranked that reaches it."""
+    """Adds the chunks before and after in the chapter, each claimed by the best ranked that reaches it.
+
+    A neighbour has the item of its parent and no score of its own parts.
+    """
     claim = ["example_id", "claim_id"]
+    item = [c for c in ("item_idx",) if c in top.columns]
+    parts = [c for c in SCORES if c in top.columns]
     place = chunks.select("chunk_index_global", "book_name", "chapter_id", "chunk_index_in_chapter")
-    reach = top.select(*claim, "channel", "rank", "final_score", F.col("chunk_index_global").alias("parent")).join(place.withColumnRenamed("chunk_index_global", "parent"), "parent")
-    reach = reach.select("*", F.explode(F.array(F.struct(F.lit(0).alias("o"), (F.col("chunk_index_in_chapter") - 1).alias("at")), F.struct(F.lit(1).alias("o"), (F.col("chunk_index_in_chapter") + 1).alias("at")))).alias("x")).select(*claim, "channel", "rank", "final_score", "parent", "book_name", "chapter_id", "x.*")
+    reach = top.select(*claim, *item, "channel", "rank", "final_score", F.col("chunk_index_global").alias("parent")).join(place.withColumnRenamed("chunk_index_global", "parent"), "parent")
+    reach = reach.select("*", F.explode(F.array(F.struct(F.lit(0).alias("o"), (F.col("chunk_index_in_chapter") - 1).alias("at")), F.struct(F.lit(1).alias("o"), (F.col("chunk_index_in_chapter") + 1).alias("at")))).alias("x")).select(*claim, *item, "channel", "rank", "final_score", "parent", "book_name", "chapter_id", "x.*")
     near = reach.join(place.withColumnRenamed("chunk_index_in_chapter", "at"), ["book_name", "chapter_id", "at"]).join(top.select(*claim, "chunk_index_global"), [*claim, "chunk_index_global"], "left_anti")
     near = near.withColumn("n", F.row_number().over(W.partitionBy(*claim, "chunk_index_global").orderBy("rank", "o"))).where("n = 1")
-    near = near.select(*claim, "chunk_index_global", F.concat("channel", F.lit(":neighbor")).alias("channel"), F.round(F.col("final_score") * factor, 6).alias("final_score"), F.lit("neighbor_expansion").alias("source"), "parent", F.col("rank").cast("long").alias("p1"), F.col("o").cast("long").alias("p2"))
-    own = top.select(*claim, "chunk_index_global", "channel", "final_score", F.lit("retrieval").alias("source"), F.lit(None).cast(dict(top.dtypes)["chunk_index_global"]).alias("parent"), F.col("rank").cast("long").alias("p1"), F.lit(-1).cast("long").alias("p2"))
+    near = near.select(*claim, *item, *(F.lit(None).cast("double").alias(c) for c in parts), "chunk_index_global", F.concat("channel", F.lit(":neighbor")).alias("channel"), F.round(F.col("final_score") * factor, 6).alias("final_score"), F.lit("neighbor_expansion").alias("source"), "parent", F.col("rank").cast("long").alias("p1"), F.col("o").cast("long").alias("p2"))
+    own = top.select(*claim, *item, *parts, "chunk_index_global", "channel", "final_score", F.lit("retrieval").alias("source"), F.lit(None).cast(dict(top.dtypes)["chunk_index_global"]).alias("parent"), F.col("rank").cast("long").alias("p1"), F.lit(-1).cast("long").alias("p2"))
     both = own.unionByName(near)
     order = [F.desc("final_score"), F.when(F.col("source") == "retrieval", 0).otherwise(1), "p1", "p2"]
     return both.withColumn("rank", F.row_number().over(W.partitionBy(*claim).orderBy(*order))).drop("p1", "p2")
@@ -123,14 +275,22 @@ def with_neighbours(top: DataFrame, chunks: DataFrame, factor: float = 0.65) ->
 
 def retrieve(items: DataFrame, chunks: DataFrame, *, k: int = 10, **options) -> DataFrame:
     """Top chunks of each claim with neighbours and, again, their texts."""
-    found = with_neighbours(best_chunks(score_items(items, chunks, **options), k), chunks)
+    found = with_neighbours(best_chunks(items, chunks, k, **options), chunks)
     return found.join(chunks.select("chunk_index_global", "chunk_id", "book_name", "chapter_id", "text"), "chunk_index_global")
 
 
 def keyword_overlap(query: Column, doc: Column) -> Column:
     """Words of the query (over two characters, repeats counted) that are substrings of the document."""
-    low = F.lower(doc)
-    return F.size(F.filter(T.words(F.lower(query)), lambda w: (F.length(w) > 2) & low.contains(w)))
+    return overlap(query_words(query), F.lower(doc))
+
+
+def query_words(query: Column) -> Column:
+    return F.filter(T.words(F.lower(query)), lambda w: F.length(w) > 2)
+
+
+def overlap(words: Column, low: Column) -> Column:
+    """How many of the words are part of a lower-cased text; both are made once, before pairs are."""
+    return T.let(low, lambda x: F.size(F.filter(words, lambda w: x.contains(w))))
 
 
 def top_structs(scored: DataFrame, keys: list[str], k: int, fields: list[str], *, by: str = "score", tie: str = "chunk_id") -> DataFrame:

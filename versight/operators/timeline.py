@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import anchors as A
+from versight.functions.store import written
+from versight.operators import anchors as A, bm25, planning
 
 LOCATION = r"\b(?:at|in|to|from|near)\s+([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*)*)"
 PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
@@ -99,8 +100,60 @@ def profiles(chunks: DataFrame, targets) -> DataFrame:
     return out
 
 
-def constraint_features(examples: DataFrame, profile: DataFrame, graph: DataFrame) -> DataFrame:
-    """The anchors' counts, hits near the target, mismatches and the unsupported score of each example."""
+#: The constraint features, in order.
+CONSTRAINTS = (
+    "num_secondary_anchors", "num_dates", "num_locations", "num_roles", "target_secondary_same_chunk_count", "target_secondary_same_chapter_count",
+    "missing_secondary_anchor_count", "claimed_date_mentioned_near_target", "claimed_location_mentioned_near_target", "claimed_role_mentioned_near_target",
+    "unsupported_specific_anchor_score", "contradiction_query_max_score", "support_query_max_score", "support_minus_contradiction_score",
+    "first_meeting_conflict_score", "role_mismatch_score", "temporal_mismatch_score", "location_mismatch_score",
+)
+
+
+def contradiction_queries(examples: DataFrame) -> DataFrame:
+    """(id, query): the incompatible states and family queries of all claims, or the whole text if there are none."""
+    plans = planning.plan_claims(examples)
+    states = plans.select(F.col("example_id").alias("id"), F.explode("incompatible_states").alias("query"))
+    found = states.unionByName(planning.families(plans).select(F.col("example_id").alias("id"), "query"))
+    none = examples.join(found.select("id").distinct(), "id", "left_anti").select("id", F.col("content").alias("query"))
+    return found.unionByName(none)
+
+
+def query_scores(examples: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, kind, best): the highest BM25 score of any query (id, kind, query) of an example over its chunks.
+
+    An example's corpus is its book's chunks that mention its character, or else all of the
+    book's; frequencies and lengths are those of this corpus. Examples of one book and
+    character share a corpus, which is a set of chunk numbers: the texts are tokenised once.
+    """
+    who = A.canonical(F.coalesce(F.col("character"), F.lit("")))
+    own = examples.select("id", F.struct(F.lower("book_name").alias("b"), F.lower(who).alias("t")).alias("g"))
+    said = F.transform("character_mentions", lambda m: F.lower(A.canonical(m)))
+    asked = written(bm25.query_tokens(queries.select(F.struct("id", "kind", "query").alias("q"), F.col("query").alias("text")).distinct(), key="q").join(own.select(F.col("id").alias("_id"), "g"), F.col("query.id") == F.col("_id")).select("g", "query", "token", "m"), "asked")
+    met = chunks.join(own.select("g").distinct().withColumn("_b", F.col("g.b")), F.lower("book_name") == F.col("_b"))
+    corpus = met.select("g", F.col("chunk_index_global").alias("doc"), (F.array_contains(said, F.col("g.t")) | F.lower("text").contains(F.col("g.t"))).alias("hit"))
+    whole = corpus.groupBy("g").agg(F.max("hit").alias("any"))
+    corpus = written(corpus.join(whole, "g").where("hit or not any").select("g", "doc"), "corpora")
+    tf, own_len = bm25.postings(chunks, key="chunk_index_global", asked=asked)
+    stats = corpus.join(own_len, "doc").groupBy("g").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    tf = written(corpus.join(tf, "doc"), "corpus-postings")
+    df = tf.groupBy("g", "token").agg(F.count("*").alias("df"))
+    scored = bm25.scores(tf, df, stats, asked, group="g", decimals=None)
+    best = scored.groupBy("query.id", "query.kind").agg(F.round(F.max("score"), 6).alias("best"))
+    return examples.select("id").crossJoin(F.broadcast(queries.select("kind").distinct())).join(best, ["id", "kind"], "left").select("id", "kind", F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
+def constraint_features(examples: DataFrame, profile: DataFrame, graph: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id and the columns ``CONSTRAINTS``): the anchors' counts, hits near the target, best query scores, mismatches.
+
+    examples: id, book_name, character, caption, content.
+    """
+    asked = examples.select("id", F.lit("support").alias("kind"), F.col("content").alias("query")).unionByName(contradiction_queries(examples).withColumn("kind", F.lit("contradiction")))
+    best = query_scores(examples, asked, chunks).groupBy("id").agg(*(F.max(F.when(F.col("kind") == k, F.col("best"))).alias(f"{k}_query_max_score") for k in ("support", "contradiction")))
+    return _anchor_features(examples, profile, graph).join(best, "id").withColumn("support_minus_contradiction_score", F.col("support_query_max_score") - F.col("contradiction_query_max_score")).select("id", *CONSTRAINTS)
+
+
+def _anchor_features(examples: DataFrame, profile: DataFrame, graph: DataFrame) -> DataFrame:
+    """The features that come from anchors, profiles and the graph."""
     text = F.concat_ws(" ", "book_name", "character", "caption", "content")
     e = examples.select("id", "content", A.extract(text, F.col("character")).alias("a"))
     pair = e.select("id", F.col("a.target_character").alias("t"), F.explode("a.secondary_characters").alias("s")).select("id", F.least("t", "s").alias("left"), F.greatest("t", "s").alias("right"))
@@ -109,7 +162,7 @@ def constraint_features(examples: DataFrame, profile: DataFrame, graph: DataFram
     low = lambda c: F.transform(F.coalesce(c, F.expr(A.EMPTY)), lambda v: F.trim(F.regexp_replace(F.lower(v), r"\s+", " ")))
     claimed = {k: F.array_distinct(low(F.col(f"a.{k}"))) for k in ("locations", "roles", "dates")}
     seen = {k: low(F.col(f"associated_{k}")) for k in claimed}
-    missing = {k: F.when(F.size(claimed[k]) > 0, F.size(F.array_except(claimed[k], seen[k])) / F.size(claimed[k])).otherwise(0.0) for k in claimed}
+    missing = {k: missing_ratio(claimed[k], seen[k]) for k in claimed}
     near = {k: F.arrays_overlap(claimed[k], seen[k]).cast("double") for k in claimed}
     n = lambda k: F.size(f"a.{k}").cast("double")
     sc, sh, miss = (F.coalesce(c, F.lit(0)).cast("double") for c in ("sc", "sh", "miss"))
@@ -127,12 +180,20 @@ def constraint_features(examples: DataFrame, profile: DataFrame, graph: DataFram
     )
 
 
+def missing_ratio(claimed: Column, seen: Column) -> Column:
+    """The share of the claimed values that are not seen; 0 if nothing is claimed."""
+    return F.when(F.size(claimed) > 0, F.size(F.array_except(claimed, seen)) / F.size(claimed)).otherwise(0.0)
+
+
 def rule_scores(examples: DataFrame, hard: DataFrame, soft: DataFrame) -> DataFrame:
-    """Hard rules (character, description, patterns: all must occur) and soft terms (character, term)."""
+    """Hard rules (character, description, patterns: all must occur) and soft terms (character, term).
+
+    Rules are joined by character; Spark broadcasts them only where they are small.
+    """
     text = F.lower(F.concat_ws(" ", "caption", "content"))
     e = examples.select("id", A.canonical(F.col("character")).alias("character"), text.alias("_x"))
-    h = e.join(F.broadcast(hard), "character").where(F.size("patterns") > 0).where(F.forall("patterns", lambda p: F.col("_x").contains(F.lower(p)))).groupBy("id").agg(F.count("*").alias("hard_constraint_hits"), F.array_sort(F.collect_list("description")).alias("hd"))
-    s = e.join(F.broadcast(soft), "character").where(F.col("_x").contains(F.lower("term"))).groupBy("id").agg(F.count("*").alias("soft_constraint_hits"), F.array_sort(F.collect_list("term")).alias("sd"))
+    h = e.join(hard, "character").where(F.size("patterns") > 0).where(F.forall("patterns", lambda p: F.col("_x").contains(F.lower(p)))).groupBy("id").agg(F.count("*").alias("hard_constraint_hits"), F.array_sort(F.collect_list("description")).alias("hd"))
+    s = e.join(soft, "character").where(F.col("_x").contains(F.lower("term"))).groupBy("id").agg(F.count("*").alias("soft_constraint_hits"), F.array_sort(F.collect_list("term")).alias("sd"))
     out = e.select("id").join(h, "id", "left").join(s, "id", "left").fillna(0, ["hard_constraint_hits", "soft_constraint_hits"])
     none = F.expr(A.EMPTY)
     return out.select("id", "hard_constraint_hits", "soft_constraint_hits", F.concat(F.coalesce("hd", none), F.coalesce("sd", none)).alias("matched_constraints"), F.least(F.lit(1.0), 0.5 * F.col("hard_constraint_hits") + 0.1 * F.col("soft_constraint_hits")).alias("constraint_risk_score"))

@@ -38,43 +38,28 @@ def null_verdicts(plans: DataFrame) -> DataFrame:
     return plans.select(*CLAIM, F.lit("INSUFFICIENT").alias("verdict"), F.lit("LOW").alias("confidence"), F.lit(None).cast("string").alias("evidence_chunk_id"), F.lit(None).cast("string").alias("quote"), F.lit(0).cast("long").alias("num_evidence"))
 
 
+QUOTES = "array<struct<chunk_id:string,quote:string>>"
 VERDICT_JSON = "struct<claim_id:int,verdict:string,evidence:array<struct<chunk_id:string,quote:string>>,confidence:string,reasoning_short:string>"
 
 
 def parse_verdicts(raw: DataFrame, retrieved: DataFrame, *, text_col: str = "response") -> DataFrame:
     """JSON answers checked against the chunks: known chunk ids, exact quotes, evidence where it is due.
 
-    ``valid`` is false for an answer that doesn't parse or fails a check; INSUFFICIENT needs no evidence.
+    The first JSON object of an answer counts, whatever stands around it. ``valid`` is false for
+    an answer without one, or that fails a check; INSUFFICIENT needs no evidence and keeps
+    none. ``quotes`` has the accepted quotes.
     """
-    p = raw.select(*CLAIM, F.from_json(F.col(text_col), VERDICT_JSON).alias("j"))
-    quotes = p.select(*CLAIM, F.explode("j.evidence").alias("e")).join(retrieved.select(*CLAIM, F.col("chunk_id").alias("_id"), "text"), [*CLAIM], "left").where(F.col("_id") == F.col("e.chunk_id"))
-    good = quotes.groupBy(*CLAIM).agg(F.count_if(F.col("text").contains(F.col("e.quote")) & (F.col("e.quote") != "")).alias("good"))
-    x = p.join(good, list(CLAIM), "left")
-    n = F.when(F.col("j.evidence").isNull(), 0).otherwise(F.size("j.evidence"))
-    known = F.coalesce(F.col("j.verdict").isin("SUPPORTED", "CONTRADICTED", "INSUFFICIENT") & F.col("j.confidence").isin("LOW", "MEDIUM", "HIGH"), F.lit(False))
-    ok = known & F.when(F.col("j.verdict") == "INSUFFICIENT", True).otherwise((n > 0) & (F.coalesce("good", F.lit(0)) == n))
-    return x.select(*CLAIM, ok.alias("valid"), F.when(ok, F.col("j.verdict")).otherwise("INSUFFICIENT").alias("verdict"), F.when(ok, F.col("j.confidence")).otherwise("LOW").alias("confidence"), F.when(ok & (F.col("j.verdict") != "INSUFFICIENT"), n).otherwise(0).cast("long").alias("num_evidence"))
-
-
-def ask(rows: DataFrame, client, *, prompt_col: str, out_col: str = "response", attempts: int = 2) -> DataFrame:
-    """Answers of an injected client (a picklable function prompt -> text), by partition; errors give null."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    schema = StructType([*rows.schema.fields, StructField(out_col, StringType())])
-
-    def run(frames):
-        for frame in frames:
-            def one(prompt):
-                for _ in range(attempts):
-                    try:
-                        return client(prompt)
-                    except Exception:  # a client may fail in any way
-                        continue
-                return None
+    from versight.operators.answers import lenient_json
 
-            yield frame.assign(**{out_col: [one(p) for p in frame[prompt_col]]})
-
-    return rows.mapInPandas(run, schema)
+    p = raw.select(*CLAIM, F.from_json(lenient_json(F.col(text_col)), VERDICT_JSON).alias("j"))
+    p = p.select(*CLAIM, F.upper("j.verdict").alias("v"), F.upper("j.confidence").alias("c"), F.coalesce("j.evidence", F.expr(f"cast(array() as {QUOTES})")).alias("e"))
+    quotes = p.select(*CLAIM, F.explode("e").alias("q")).join(retrieved.select(*CLAIM, F.col("chunk_id").alias("_id"), "text"), [*CLAIM], "left").where(F.col("_id") == F.col("q.chunk_id"))
+    good = quotes.groupBy(*CLAIM).agg(F.count_if(F.col("text").contains(F.col("q.quote")) & (F.col("q.quote") != "")).alias("good"))
+    x = p.join(good, list(CLAIM), "left")
+    known = F.coalesce(F.col("v").isin("SUPPORTED", "CONTRADICTED", "INSUFFICIENT") & F.col("c").isin("LOW", "MEDIUM", "HIGH"), F.lit(False))
+    ok = known & (F.coalesce("good", F.lit(0)) == F.size("e")) & ((F.col("v") == "INSUFFICIENT") | (F.size("e") > 0))
+    kept = F.when(ok & (F.col("v") != "INSUFFICIENT"), F.col("e")).otherwise(F.expr(f"cast(array() as {QUOTES})"))
+    return x.select(*CLAIM, ok.alias("valid"), F.when(ok, F.col("v")).otherwise("INSUFFICIENT").alias("verdict"), F.when(ok, F.col("c")).otherwise("LOW").alias("confidence"), F.size(kept).cast("long").alias("num_evidence"), kept.alias("quotes"))
 
 
 def prompt_chars(rows: DataFrame, *, key: list[str], limit: int = 900, top: int = 6) -> DataFrame:
@@ -175,13 +160,41 @@ def id_order(c: str) -> list[Column]:
     return [number.isNull().asc(), number.asc(), F.col(c).asc()]
 
 
+def hash_order(key: Column, seed: int = 42) -> Column:
+    """The seeded order of ids: their digest, then the id as text."""
+    return F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))).alias("h"), key.alias("key"))
+
+
+def least_by_group(rows: DataFrame, group: str, order: Column, number: DataFrame) -> DataFrame:
+    """(group, edge): the ``take``-th least order of each group, by halving ranges of the digest.
+
+    number: (group, take). Rows are only counted by group and the digest's first digits, so
+    no task sees a group; the digit's cell that holds the edge is then opened alone.
+    """
+    cells = rows.select(F.col(group), order.alias("o")).withColumn("cell", F.left("o.h", F.lit(3)))
+    counts = cells.groupBy(group, "cell").agg(F.count("*").alias("n"))
+    before = counts.withColumn("upto", F.sum("n").over(W.partitionBy(group).orderBy("cell"))).join(number, group)
+    edge = before.where("upto >= take and upto - n < take").select(group, "cell", (F.col("take") - F.col("upto") + F.col("n")).alias("k"))
+    inside = cells.join(F.broadcast(edge), [group, "cell"]).withColumn("r", F.row_number().over(W.partitionBy(group, "cell").orderBy("o")))
+    return inside.where("r = k").select(group, F.col("o").alias("edge"))
+
+
 def split(rows: DataFrame, *, key: str, label: str, dev_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_dev``: of each label a share, at least one and not all, chosen by a seeded hash."""
-    w = W.partitionBy(label)
-    n = F.count("*").over(w)
-    take = F.least(F.greatest(F.lit(1), F.bround(n * dev_size)), n - 1)
-    order = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    return rows.withColumn("is_dev", order <= take)
+    """Adds ``is_dev``: of each label a share, at least one and not all, chosen by a seeded hash.
+
+    The share's last digest is found by counts (``least_by_group``), and rows are compared
+    with it where they stand. Keys are taken to be distinct within a label.
+    """
+    order = hash_order(F.col(key), seed)
+    n = rows.groupBy(label).agg(F.count("*").alias("n"))
+    take = n.select(label, F.least(F.greatest(F.lit(1), F.bround(F.col("n") * dev_size)), F.col("n") - 1).cast("long").alias("take"))
+    edge = least_by_group(rows, label, order, take)
+    return rows.join(F.broadcast(edge), label, "left").withColumn("is_dev", F.coalesce(order <= F.col("edge"), F.lit(False))).drop("edge")
+
+
+def histogram(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n)."""
+    return rows.groupBy(value).agg(F.count("*").alias("n"))
 
 
 def error_type(actual: Column, predicted: Column) -> Column:
@@ -192,14 +205,6 @@ def failure_layer(actual: Column, predicted: Column, contradicted: Column, insuf
     return F.when(actual == predicted, "none").when((contradicted == 0) & (insufficient == claims), "verifier_all_insufficient").when(~traced, "missing_trace").otherwise("retrieval_or_verifier_missed_contradiction")
 
 
-def diagnostics(retrieved: DataFrame) -> DataFrame:
-    """Per claim: whether any of the retrieved chunks has the character, an expected or an incompatible event."""
-    c = F.lower(F.coalesce("character", F.lit("")))
-    said = F.transform("character_mentions", lambda m: F.lower(m))
-    has = (c != "") & (F.array_contains(said, c) | F.lower("text").contains(c))
-    return retrieved.groupBy(*CLAIM).agg(F.count("*").alias("num_retrieved"), F.bool_or(has).alias("target_character_hit"), F.bool_or(F.arrays_overlap("event_mentions", "expected_event_types")).alias("expected_event_hit"), F.bool_or(F.arrays_overlap("event_mentions", "incompatible_event_types")).alias("incompatible_event_hit"))
-
-
 def cache_report(entries: DataFrame, key: str = "key") -> DataFrame:
     return entries.agg(F.count("*").alias("total"), F.count_distinct(key).alias("unique_keys")).withColumn("calls_avoided", F.col("total") - F.col("unique_keys"))
 

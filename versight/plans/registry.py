@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import bm25, ingest, planning, rerank as rr, retrieval, timeline, verify
+from versight.operators import bm25, ingest, planning, retrieval, timeline, vectors, verify
+from versight.plans import ablation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,58 +157,39 @@ def pln_03_keywords(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(T.keywords(F.col("text"), L.STOP_WORDS), " ").alias("keywords"))
 
 
-CLAIMS = (
-    ("a", "Book A", "Faria", "He died in prison. He was re-arrested and shipped to the island."),
-    ("b", "Book A", "Faria", "She will return home soon; Ayrton met Glenarvan at sea. No."),
-    ("c", "Book B", "Tom Ayrton", "He married the daughter of a spy under an assumed name."),
-    ("d", "Book B", "", "Nothing of note happened here at all."),
-    ("e", "Book B", "Noirtier", "short"),
-    ("f", "Book C", "Noirtier", "He rescued his brother and learned the secret. He wandered alone for years."),
-)
-
-
-def _examples(spark) -> DataFrame:
-    return spark.createDataFrame(list(CLAIMS), "id string, book_name string, character string, content string").withColumn("caption", F.lit(None).cast("string"))
-
-
-_EXPECTED = (
-    ("a", 1, "death_status", 3, 6), ("a", 2, "custody_status", 3, 6), ("b", 1, "possession_document", 2, 3), ("b", 2, "movement_location", 3, 2),
-    ("c", 1, "relationship_marriage", 2, 3), ("d", 1, "possession_document", 2, 3), ("e", 1, "generic", 1, 1), ("f", 1, "knowledge_secret", 2, 3), ("f", 2, "generic", 1, 1),
-)
-_VALUES = ", ".join(f"('{a}', {b}, '{c}', {d}, {e})" for a, b, c, d, e in _EXPECTED)
-
-
-@query(f"SELECT example_id, claim_id::BIGINT AS claim_id, claim_type, n_families::BIGINT AS n_families, n_states::BIGINT AS n_states FROM (VALUES {_VALUES}) AS t(example_id, claim_id, claim_type, n_families, n_states)")
-def pln_13_claims_and_families(spark, sf):
-    plans = planning.plan_claims(_examples(spark))
-    n = planning.families(plans).groupBy("example_id", "claim_id").agg(F.count("*").alias("n_families"))
-    return plans.join(n, ["example_id", "claim_id"]).select("example_id", F.col("claim_id").cast("long").alias("claim_id"), "claim_type", "n_families", F.size("incompatible_states").cast("long").alias("n_states"))
+def _benchmark_examples(spark, sf) -> DataFrame:
+    items = table(spark, sf, "benchmark")
+    return items.select(F.col("item_id").cast("string").alias("id"), F.lit("book").alias("book_name"), F.lit("that").alias("character"), F.col("text").alias("content"))
 
 
-_ITEMS = ", ".join(f"('{a}', {b}, {1 + 2 + d + e + 1})" for a, b, c, d, e in _EXPECTED)
+def _case(table: dict, value, default: int = 0) -> str:
+    return "CASE claim_type " + " ".join(f"WHEN '{k}' THEN {value(v)}" for k, v in table.items() if k != "generic") + f" ELSE {value(table['generic']) if 'generic' in table else default} END"
 
 
-@query(f"SELECT example_id, claim_id::BIGINT AS claim_id, n_items::BIGINT AS n_items FROM (VALUES {_ITEMS}) AS t(example_id, claim_id, n_items)")
-def pln_16_work_items(spark, sf):
-    plans = planning.plan_claims(_examples(spark))
-    return planning.work_items(plans, planning.families(plans)).groupBy("example_id", F.col("claim_id").cast("long").alias("claim_id")).agg(F.count("*").alias("n_items"))
+def _typed(low: str, tokens: str) -> str:
+    """The first claim type with a term in the text."""
+    q = lambda t: t.replace("'", "''")
+    hit = lambda terms: " OR ".join(f"contains({low}, '{q(t)}')" if " " in t else f"list_contains({tokens}, '{q(t)}')" for t in terms)
+    return "CASE " + " ".join(f"WHEN {hit(terms)} THEN '{k}'" for k, terms in L.CLAIM_TERMS.items()) + " ELSE 'generic' END"
 
 
-def _benchmark_examples(spark, sf) -> DataFrame:
-    items = table(spark, sf, "benchmark")
-    return items.select(F.col("item_id").cast("string").alias("id"), F.lit("book").alias("book_name"), F.lit("that").alias("character"), F.col("text").alias("content"))
+_CLAIMS = rf"""{_SENTENCES}, good AS (SELECT item_id, p, x FROM u WHERE len(string_split(x, ' ')) >= 3 AND length(x) >= 12 AND regexp_matches(x, '\p{{L}}')),
+c0 AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY p) AS claim_id, x FROM good UNION ALL SELECT item_id, 1, trim(regexp_replace(text, '\s+', ' ', 'g')) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM good)),
+c1 AS (SELECT *, lower(x) AS low, regexp_extract_all(lower(x), '[a-z0-9''-]+') AS tokens FROM c0 WHERE claim_id <= 6),
+claims AS (SELECT item_id::VARCHAR AS example_id, claim_id::BIGINT AS claim_id, x AS claim_text, {_typed("low", "tokens")} AS claim_type FROM c1)"""
+_FAMILIES, _STATES = _case(L.FAMILIES, lambda v: 1 + len(v), 1), _case(L.STATES, len)
 
 
-@query()
-def pln_13_claims_and_families_whole(spark, sf):
-    """The query above over all of benchmark; tests compare with brute force."""
+@query(f"WITH {_CLAIMS} SELECT example_id, claim_id, claim_type, ({_FAMILIES})::BIGINT AS n_families, ({_STATES})::BIGINT AS n_states FROM claims")
+def pln_13_claims_and_families(spark, sf):
+    """Type, families and states of every claim of benchmark."""
     plans = planning.plan_claims(_benchmark_examples(spark, sf))
     n = planning.families(plans).groupBy("example_id", "claim_id").agg(F.count("*").alias("n_families"))
     return plans.join(n, ["example_id", "claim_id"]).select("example_id", F.col("claim_id").cast("long").alias("claim_id"), "claim_type", "n_families", F.size("incompatible_states").cast("long").alias("n_states"))
 
 
-@query()
-def pln_16_work_items_whole(spark, sf):
+@query(f"WITH {_CLAIMS} SELECT example_id, claim_id, (1 + {_case(L.SUPPORT, len, 2)} + {_FAMILIES} + {_STATES} + 1)::BIGINT AS n_items FROM claims")
+def pln_16_work_items(spark, sf):
     """Work items of every claim of benchmark."""
     plans = planning.plan_claims(_benchmark_examples(spark, sf))
     return planning.work_items(plans, planning.families(plans)).groupBy("example_id", F.col("claim_id").cast("long").alias("claim_id")).agg(F.count("*").alias("n_items"))
@@ -226,14 +208,15 @@ sc AS (SELECT query, doc, round(sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * (t
 """
 
 
-def _bm25(spark, sf):
+def _bm25(spark, sf, whole: bool = False):
     chunks = _chunked(spark, sf).select((F.col("doc_id") * 10000 + F.col("i")).alias("doc_key"), "text")
-    return (*bm25.index(chunks, key="doc_key"), bm25.query_tokens(table(spark, sf, "benchmark"), key="item_id"))
+    tokens = bm25.query_tokens(table(spark, sf, "benchmark"), key="item_id")
+    return (*bm25.index(chunks, key="doc_key", asked=None if whole else tokens), tokens)
 
 
-@query(f"WITH {_INDEX} SELECT token, df FROM df WHERE df > 1")
+@query(f"WITH {_INDEX} SELECT token, df FROM df")
 def ret_02_document_frequency(spark, sf):
-    return _bm25(spark, sf)[1].where("df > 1").select("token", "df")
+    return _bm25(spark, sf, whole=True)[1].select("token", "df")
 
 
 @query(f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
@@ -247,37 +230,26 @@ def ret_05_bm25_topk(spark, sf):
     return bm25.top_k(bm25.scores(*_bm25(spark, sf)), 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_INDEX} SELECT query, doc, round(CASE WHEN mx > 0 THEN greatest(score / mx, 0) ELSE 0 END, 4) AS norm FROM (SELECT *, max(score) OVER (PARTITION BY query) AS mx FROM sc) WHERE score >= 0.8 * mx""")
+@query(f"""WITH {_INDEX} SELECT query, doc, round(CASE WHEN mx > 0 THEN greatest(score / mx, 0) ELSE 0 END, 4) AS norm FROM (SELECT *, max(score) OVER (PARTITION BY query) AS mx FROM sc)""")
 def ret_11_normalised(spark, sf):
-    return bm25.normalised(bm25.scores(*_bm25(spark, sf)), per="query").where("norm >= 0.8").select("query", "doc", F.round("norm", 4).alias("norm"))
-
+    return bm25.normalised(bm25.scores(*_bm25(spark, sf)), per="query").select("query", "doc", F.round("norm", 4).alias("norm"))
 
-@query(r"""SELECT item_id, doc_id, n_hits FROM (SELECT item_id, doc_id, len(list_filter(string_split(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND contains(lower(d.text), w)))::BIGINT AS n_hits
-FROM benchmark b, documents d) WHERE n_hits > 15""")
-def ret_07_keyword_overlap(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    pairs = _docs(spark, sf).crossJoin(F.broadcast(items))
-    return pairs.select("item_id", "doc_id", retrieval.keyword_overlap(F.col("q"), F.col("text")).cast("long").alias("n_hits")).where("n_hits > 15")
 
+#: Rows of the smaller side that are broadcast where every pair is asked for; more are joined in blocks by Spark.
+BROADCAST_ROWS = 20_000
 
-@query()
-def ret_02_document_frequency_whole(spark, sf):
-    """The frequency of every token; the query above and its SQL leave out those of one chunk. Tests compare with brute force."""
-    return _bm25(spark, sf)[1].select("token", "df")
 
+def _every_pair(big: DataFrame, small: DataFrame) -> DataFrame:
+    """A stated query set against all rows; the set is counted before it is broadcast."""
+    return big.crossJoin(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small)
 
-@query()
-def ret_11_normalised_whole(spark, sf):
-    """Every normalised score, not only those from 0.8."""
-    return bm25.normalised(bm25.scores(*_bm25(spark, sf)), per="query").select("query", "doc", F.round("norm", 4).alias("norm"))
 
-
-@query()
-def ret_07_keyword_overlap_whole(spark, sf):
-    """Every pair of item and document, not only those of more than 15 hits."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    pairs = _docs(spark, sf).crossJoin(F.broadcast(items))
-    return pairs.select("item_id", "doc_id", retrieval.keyword_overlap(F.col("q"), F.col("text")).cast("long").alias("n_hits"))
+@query(r"""SELECT item_id, doc_id, len(list_filter(string_split(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND contains(lower(d.text), w)))::BIGINT AS n_hits FROM benchmark b, documents d""")
+def ret_07_keyword_overlap(spark, sf):
+    """Every benchmark item against every document; words and lower-cased texts are made once, before the pairs."""
+    items = table(spark, sf, "benchmark").select("item_id", retrieval.query_words(F.col("text")).alias("q"))
+    docs = _docs(spark, sf).select("doc_id", F.lower("text").alias("low"))
+    return _every_pair(docs, items).select("item_id", "doc_id", retrieval.overlap(F.col("q"), F.col("low")).cast("long").alias("n_hits"))
 
 
 _COS = "CASE WHEN sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) = 0 THEN 0 ELSE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))) END"
@@ -288,8 +260,8 @@ SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q
 def ret_08_cosine_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     # a search: the stated query set is every id divisible by 20, against all rows
-    asked = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))
-    scored = e.crossJoin(asked).where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    scored = _every_pair(e, asked).where("vec_id <> query").select("query", F.col("vec_id").alias("doc"), F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     return bm25.top_k(scored, 10).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -323,11 +295,12 @@ def tml_01_timeline(spark, sf):
     return timeline.build(annotated(spark, sf)).groupBy("character", "event_type").agg(F.count("*").alias("n_frames"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
-@query("""SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_types FROM events e SEMI JOIN (SELECT user_id, min(ts) + INTERVAL 1 DAY AS after FROM events GROUP BY user_id) f ON e.user_id = f.user_id AND e.ts > f.after GROUP BY user_id""")
+_GLOBAL = f"{_ANNOTATED}, g AS (SELECT *, row_number() OVER (ORDER BY source, doc_id, i) AS place, source || ':ch' || lpad(doc_id::VARCHAR, 4, '0') || ':chunk' || lpad((i + 1)::VARCHAR, 4, '0') AS chunk_id FROM a)"
+
+
+@query(f"WITH {_GLOBAL} SELECT chunk_id, event_type FROM (SELECT place, chunk_id, names, unnest(events) AS event_type FROM g) WHERE list_contains(names, 'that') AND place > 100")
 def tml_03_events_after(spark, sf):
-    e = table(spark, sf, "events")
-    first = e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("after"))
-    return e.join(first, "user_id").where("ts > after").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("n_types"))
+    return timeline.events_after(timeline.build(annotated(spark, sf)), "That", 100).select("chunk_id", "event_type")
 
 
 @query(f"""WITH {_ANNOTATED}, n AS (SELECT doc_id, source, i, unnest(names) AS name FROM a WHERE names IS NOT NULL),
@@ -389,19 +362,19 @@ def agg_04_decisions(spark, sf):
 
 @query(f"WITH {_VERDICTS} SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
 def agg_05_histogram(spark, sf):
-    return _verdicts(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
+    return verify.histogram(_verdicts(spark, sf), "verdict")
 
 
-@query(f"WITH {CHUNKS} SELECT source, count(*) AS n_chunks FROM chunks GROUP BY source")
+@query(f"WITH {CHUNKS} SELECT source AS book_name, count(*) AS n_chunks FROM chunks GROUP BY source")
 def agg_06_chunks_per_book(spark, sf):
-    return _chunked(spark, sf).groupBy("source").agg(F.count("*").alias("n_chunks"))
+    return ingest.chunk_counts(_docs(spark, sf).select(F.col("source").alias("book_name"), "text"))
 
 
 @query("""SELECT d.doc_id, coalesce(string_agg(c.turn::VARCHAR, ',' ORDER BY c.turn), '') AS turns FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.doc_id""")
 def agg_07_nested(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn")
-    nested = c.groupBy("doc_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    return _docs(spark, sf).select("doc_id").join(nested, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.transform("turns", lambda t: t.cast("string")), ","), F.lit("")).alias("turns"))
+    nested = vectors.nested(_docs(spark, sf).select("doc_id"), c, ["doc_id"], ["turn"], "turns")
+    return nested.select("doc_id", F.array_join(F.transform("turns", lambda t: t["turn"].cast("string")), ",").alias("turns"))
 
 
 def _aligned(spark, sf) -> DataFrame:
@@ -449,27 +422,25 @@ def snk_15_cache_misses(spark, sf):
     return verify.cache_misses(c, c.where("conv_id % 2 = 0")).select("conv_id", "turn")
 
 
-def _pipeline(spark, sf, **options):
-    """Claims from the benchmark met with annotated chunks: retrieval, re-ranking, verdicts."""
-    plans = planning.plan_claims(_benchmark_examples(spark, sf))
-    chunks = annotated(spark, sf)
-    work = planning.work_items(plans, planning.families(plans), max_families=4)
-    found = retrieval.retrieve(work, chunks, k=10, **options)
-    return plans, chunks, found
+def pipeline_run(spark, sf, **options) -> dict[str, DataFrame]:
+    """Claims from the benchmark met with annotated chunks: retrieval, re-ranking, verdicts, labels."""
+    return ablation.run(_benchmark_examples(spark, sf), annotated(spark, sf), **options)
 
 
+@query()
 def flagship_pipeline(spark, sf):
-    """Examples to labels in one plan: claims, work items, hybrid top-k with neighbours, re-ranking, verdicts, labels."""
-    plans, chunks, found = _pipeline(spark, sf)
-    extra = found.join(plans.select("example_id", "claim_id", "character", "keywords", "expected_event_types", "incompatible_event_types"), ["example_id", "claim_id"])
-    extra = extra.join(chunks.select("chunk_index_global", "character_mentions", "event_mentions", (F.col("plot_density_score") / 50.0).alias("density")), "chunk_index_global")
-    verdicts = verify.verify(rr.rerank(extra), plans)
-    return verify.decide(verify.aggregate(verdicts))
-
-
-QUERIES["flagship_pipeline"] = flagship_pipeline
-QUERIES["ret_17_hybrid"] = lambda spark, sf: _pipeline(spark, sf)[2].select("example_id", "claim_id", "rank", "chunk_id", "channel", "source", "final_score")
-QUERIES["evl_10_diagnostics"] = lambda spark, sf: verify.diagnostics(
-    (lambda p: p[2].join(p[0].select("example_id", "claim_id", "character", "expected_event_types", "incompatible_event_types"), ["example_id", "claim_id"]).join(p[1].select("chunk_index_global", "character_mentions", "event_mentions"), "chunk_index_global"))(_pipeline(spark, sf))
-)
-QUERIES["cst_01_profiles"] = lambda spark, sf: timeline.profiles(annotated(spark, sf), NAMES)
+    """Examples to labels: claims, work items, hybrid top-k with neighbours, re-ranking, verdicts, labels."""
+    return pipeline_run(spark, sf)["decisions"]
+
+
+@query()
+def ret_17_hybrid(spark, sf):
+    return pipeline_run(spark, sf, rerank=False)["retrieved"].select("example_id", "claim_id", "rank", "chunk_id", "channel", "source", "final_score")
+
+
+@query()
+def cst_01_profiles(spark, sf):
+    return timeline.profiles(annotated(spark, sf), NAMES)
+
+
+from versight.plans import more  # noqa: E402, F401  (registers more queries)

@@ -1 +1 @@
-
+"""Streams: chunks as books arrive, and windowed counts of events."""
