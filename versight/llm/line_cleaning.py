@@ -164,9 +164,10 @@ def keep_clean(docs: DataFrame, *, text_col: str = "text", rules: LineRules = Li
     The verdict filters inside a generator, so that it is computed once and not again in
     a filter that is pushed down. Rejected rows, null and empty texts go.
     """
-    judged = let(measures(F.coalesce(F.col(text_col), F.lit("")), rules), lambda m: F.struct(_values(m, rules)["kept"].alias("kept"), m["l"]["clean_text"].alias("clean")))
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(F.filter(F.array(judged), lambda x: x["kept"])).alias("_line_verdict"))
-    return kept.select(*(F.col("_line_verdict.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    judged = let(measures(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), rules), lambda m: F.struct(_values(m, rules)["kept"].alias("kept"), m["l"]["clean_text"].alias("clean")))
+    found = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0)) + "verdict"  # no column of the input
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(F.filter(F.array(judged), lambda x: x["kept"])).alias(found))
+    return kept.select(*(F.col(f"{found}.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(rules: LineRules = LineRules()) -> str:

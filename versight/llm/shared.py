@@ -2,58 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from versight.functions.store import discard, scratch, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where none is named, a local session gets one under /tmp; a cluster has to name it,
-    since its executors don't share their disks.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file:///tmp/versight-shared"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
-    return path
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    Cuts the lineage; the files outlive executors, so a lost one costs at most
-    its running tasks.
-    """
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Removes the files of ``written`` frames that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "_scratch", None):
-            fs, at = _file_system(df.sparkSession, path)
-            fs.delete(at, True)
+__all__ = ["discard", "let", "scratch", "shared_dir", "written"]
 
 
 def let(value: Column, body) -> Column:
