@@ -297,7 +297,7 @@ def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, co
         more = written(more.select(*pair, "hb", "ha").distinct(), "contexts")
         heads = heads.unionByName(more.where("hb is not null and ha is not null").select("p", "hb", "ha")).distinct()
         contexts = written(contexts.unionByName(more.select(*pair)).distinct(), "contexts")
-    if not n_good:
+    if not n_good or edges.join(good.select("p").distinct(), "p", "left_semi").isEmpty():  # fixed forms alone stand at confident patterns
         return spark.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
     best = F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind")
     hits = written(met(good, docs).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
