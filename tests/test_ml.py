@@ -1,8 +1,11 @@
 """Folds, thresholds and one model on a tiny frame."""
 
-from pyspark.ml.feature import CountVectorizer
+import math
 
-from versight.operators import ml
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
+
+from versight.operators import ml, timeline
 
 
 def test_folds_and_scores(spark):
@@ -18,3 +21,46 @@ def test_folds_and_scores(spark):
 def test_threshold(spark):
     s = spark.createDataFrame([(0.1, 0), (0.4, 1), (0.35, 0), (0.8, 1)], "score double, label int")
     assert tuple(ml.tune_threshold(s).first()) == (0.4, 1.0)
+
+
+def test_term_weights_are_sublinear_and_whole(spark):
+    rows = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, []), (4, None)], "id int, t array<string>")
+    model = ml.TermWeights("t", "x").fit(rows)
+    number = {r.term: r.number for r in model.table.collect()}
+    assert sorted(number.values()) == [0, 1, 2] and set(number) == {"a", "b", "c"}
+    got = {r.id: r.x for r in model.transform(rows.unionByName(spark.createDataFrame([(5, ["zzz", "b"])], rows.schema))).collect()}
+    idf = lambda df: math.log(5 / (1 + df)) + 1
+    a, b = (1 + math.log(2)) * idf(2), idf(1)
+    norm = math.hypot(a, b)
+    assert abs(got[1][number["a"]] - a / norm) < 1e-9 and abs(got[1][number["b"]] - b / norm) < 1e-9
+    assert got[3].numNonzeros() == got[4].numNonzeros() == 0 and abs(got[5][number["b"]] - 1) < 1e-9
+
+
+def test_training_picks_the_best_model(spark):
+    rows = spark.createDataFrame([(i, float(i % 2), float(i % 3), i % 2) for i in range(24)], "id long, good double, noise double, label int")
+    model = lambda: LogisticRegression(weightCol="weight", maxIter=5)
+    stage = lambda c: [VectorAssembler(inputCols=[c], outputCol="features")]
+    made = ml.train(rows, {"one": model()}, stages=stage("good"))
+    assert made["name"] == "one" and made["reports"][0]["macro_f1"] == 1.0
+    assert all(r.label == ("contradict" if r.id % 2 else "consistent") for r in ml.predict(made, rows).collect())
+    worse = ml.train(rows, {"one": model()}, stages=stage("noise"))
+    assert worse["reports"][0]["macro_f1"] < 1
+
+
+def test_meta_features(spark):
+    examples = spark.createDataFrame([("1", "SRC0", "Faria", None, "In 1815 Faria met Noirtier in London with a letter."), ("2", "none", "Nobody", None, "nothing")], "id string, book_name string, character string, caption string, content string")
+    chunks = spark.createDataFrame([("c1", "src0", "ch", 1, 1, "Faria went to London in 1815 and escaped", ["Faria"], ["escape"], 3.0)], "chunk_id string, book_name string, chapter_id string, chunk_index_global long, chunk_index_in_chapter int, text string, character_mentions array<string>, event_mentions array<string>, plot_density_score double")
+    profiles, graph = timeline.profiles(chunks, ["Faria"]), timeline.cooccurrence(chunks)
+    constraints = timeline.constraint_features(examples, profiles, graph, chunks)
+    rules = timeline.rule_scores(examples, spark.createDataFrame([("Faria", "d", ["met", "london"])], "character string, description string, patterns array<string>"), spark.createDataFrame([], "character string, term string"))
+    scores = spark.createDataFrame([("1", 0.7)], "id string, score double")
+    got = {r.id: r for r in ml.meta_features(examples, constraints, profiles, rules, scores=scores).collect()}
+    assert len(got["1"]) == 1 + 16 + 18
+    one, two = got["1"], got["2"]
+    assert (one.supervised_score_contradict, one.constraint_hard_hits, one.constraint_risk_score, one.target_character_hit) == (0.7, 1.0, 0.5, 1.0)
+    assert (one.num_dates, one.num_locations, one.num_secondary_anchors, one.missing_secondary_anchor_count, one.first_meeting_conflict_score) == (1.0, 1.0, 1.0, 1.0, 1.0)
+    assert one.claimed_date_mentioned_near_target == one.claimed_location_mentioned_near_target == 1.0
+    # one chunk is the whole corpus: each shared token counts ln(1 + 0.5 / 1.5) * 2.5 / 2.5
+    assert abs(one.support_query_max_score - round(3 * math.log(1 + 0.5 / 1.5), 6)) < 1e-6
+    assert one.support_minus_contradiction_score == one.support_query_max_score - one.contradiction_query_max_score
+    assert all(v == 0 for v in tuple(two)[1:])

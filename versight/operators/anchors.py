@@ -31,6 +31,16 @@ def canonical(name: Column, table=L.CANONICAL) -> Column:
     return out
 
 
+def canonical_targets(names=L.ANCHOR_CHARACTERS) -> Column:
+    """The canonical names in the order of the list, each once."""
+    return F.array_distinct(F.transform(F.array(*(F.lit(n) for n in names)), lambda n: canonical(n)))
+
+
+def normal(name: Column) -> Column:
+    """Lower-cased, white space as single blanks, for comparisons."""
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
 def extract(text: Column, target: Column) -> Column:
     """All anchors of a text as one struct."""
     aim = canonical(F.coalesce(target, F.lit("")))

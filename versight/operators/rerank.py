@@ -77,3 +77,16 @@ def rerank_with_model(retrieved: DataFrame, scorer, *, query_col: str = "query")
     out = out.withColumn("rerank_score", F.round(F.when(high > low, (F.col("raw") - low) / (high - low)).otherwise(0.0), 6)).drop("raw")
     out = out.withColumn("final_score", F.round(F.col("final_score") + F.col("rerank_score"), 6))
     return out.withColumn("new_rank", F.row_number().over(w.orderBy(F.desc("final_score"), "rank", "chunk_id"))).drop("rank").withColumnRenamed("new_rank", "rank")
+
+
+def rerank_evidence(retrieved: DataFrame, mode: str = "heuristic", *, scorer=None, query_col: str = "query") -> DataFrame:
+    """By ``mode``: ``off`` leaves the order, ``heuristic``, or ``model`` with an injected scorer."""
+    if mode == "off":
+        return retrieved
+    if mode == "model":
+        if scorer is None:
+            raise ValueError("the mode model needs a scorer")
+        return rerank_with_model(retrieved, scorer, query_col=query_col)
+    if mode != "heuristic":
+        raise ValueError(f"unknown mode: {mode}")
+    return rerank(retrieved)

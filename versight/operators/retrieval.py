@@ -274,11 +274,17 @@ def with_neighbours(top: DataFrame, chunks: DataFrame, factor: float = 0.65) ->
 
 
 def retrieve(items: DataFrame, chunks: DataFrame, *, k: int = 10, **options) -> DataFrame:
-    """Top chunks of each claim with neighbours and, again, their texts."""
+    """Top chunks of each claim with neighbours: ids, rank, channel, scores, the item's query and family, and the chunk's text."""
     found = with_neighbours(best_chunks(items, chunks, k, **options), chunks)
+    found = found.join(items.select(*ITEM, "query", "family_name"), list(ITEM), "left")
     return found.join(chunks.select("chunk_index_global", "chunk_id", "book_name", "chapter_id", "text"), "chunk_index_global")
 
 
+def by_id(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of the rows of ``ids`` (chunk_id), by a join; ids without a chunk are left out."""
+    return ids.select("chunk_id").distinct().join(chunks, "chunk_id")
+
+
 def keyword_overlap(query: Column, doc: Column) -> Column:
     """Words of the query (over two characters, repeats counted) that are substrings of the document."""
     return overlap(query_words(query), F.lower(doc))

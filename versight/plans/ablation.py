@@ -37,8 +37,8 @@ def run(examples: DataFrame, chunks: DataFrame, *, max_claims: int = 6, max_fami
     fams = planning.families(plans)
     work = planning.work_items(plans, fams, max_families=max_families, use_families=families, use_timeline=timeline)
     found = written(signals(retrieval.retrieve(work, chunks, k=k, flags=flags), plans, chunks), "retrieved")
-    if rerank:
-        found = written(rr.rerank(found), "reranked")
+    found = rr.rerank_evidence(found, "heuristic" if rerank else "off")
+    found = written(found, "reranked") if rerank else found
     verdicts = written((verifier or verify.verify)(found, plans), "verdicts")
     summary = written(verify.aggregate(verdicts), "summary")
     return {"plans": plans, "families": fams, "work": work, "retrieved": found, "verdicts": verdicts, "summary": summary, "decisions": verify.decide(summary, mode=mode, **models)}
