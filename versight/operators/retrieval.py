@@ -133,11 +133,12 @@ class _Block:
         return np.divide(vectors @ self.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0)
 
     def scores(self, batch: dict, most: np.ndarray, strict: bool) -> dict[str, np.ndarray]:
-        """Each part and final_score, rounded, as (chunk, item); -1 where a strict filter on characters fails."""
+        """Each part, and final_score rounded, as (chunk, item); the score is -1 where a strict filter on characters fails."""
         size = len(batch["density"])
         scaled = lambda x, m: np.maximum(np.divide(x, m, out=np.zeros_like(x), where=np.broadcast_to(m > 0, x.shape)), 0.0)
         met = np.concatenate([batch["targets"], np.zeros((size, 1))], 1)[:, self.target]
-        none = np.zeros((size, len(self.rows)))
+        shape = (size, len(self.rows))
+        none = np.broadcast_to(0.0, shape)
         event = lambda w, n: np.minimum(batch["events"] @ w.T / n, 1.0)
         parts = {
             "bm25": scaled(self.lexical(batch["tokens"]), most[0]),
@@ -145,13 +146,13 @@ class _Block:
             "character": met if self.on["character"] else none,
             "event": event(self.wanted, self.n_wanted) if self.on["event"] else none,
             "incompatible": np.where(self.opposed, event(self.against, self.n_against), 0.0) if self.on["event"] else none,
-            "density": np.repeat(batch["density"][:, None], len(self.rows), 1),
-            "temporal": np.repeat(batch["temporal"][:, None], len(self.rows), 1) if self.on["timeline"] else none,
+            "density": np.broadcast_to(batch["density"][:, None], shape),
+            "temporal": np.broadcast_to(batch["temporal"][:, None], shape) if self.on["timeline"] else none,
         }
         total = sum(L.WEIGHTS[p] * parts[p] for p in PARTS)
         if strict:
             total = np.where((met > 0) | (self.target < 0), total, -1.0)
-        return {p: np.round(x, 6) for p, x in parts.items()} | {"final_score": np.round(total, 6)}
+        return parts | {"final_score": np.round(total, 6)}
 
 
 def _batch(b) -> dict:
@@ -242,7 +243,7 @@ def _picked(batches, block: _Block, step: int, most: np.ndarray, strict: bool, k
             if not rows:
                 continue
             found = np.concatenate(rows).astype(np.int64)
-            values = np.column_stack([s[p][found[:, 3], found[:, 1]] for p in (*PARTS, "final_score")])
+            values = np.round(np.column_stack([s[p][found[:, 3], found[:, 1]] for p in (*PARTS, "final_score")]), 6)
             fresh = (found[:, 0], found[:, 1], found[:, 2], x["at"][found[:, 3]], values)
             kept = fresh if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, fresh, strict=True))
             order = np.lexsort((kept[3], kept[2], -kept[4][:, -1], kept[0]))

@@ -350,3 +350,85 @@ def snk_07_pipeline_trace(spark, sf):
     rows = traces.predictions(e, made["summary"], made["decisions"])
     trace = traces.pipeline_trace(e, made["plans"], made["families"], made["retrieved"], made["verdicts"], rows)
     return trace.select("example_id", F.size("claims").alias("n_claims"), F.to_json(F.struct("*")).alias("record"))
+
+
+# --- chapters and the rest ------------------------------------------------------------------
+
+_START, _END = "*** START OF THE PROJECT GUTENBERG EBOOK A ***", "*** END OF THE PROJECT GUTENBERG EBOOK A ***"
+
+
+@query(f"""WITH w AS (SELECT doc_id, '{_START}' || chr(10) || text || chr(10) || '{_END}' || chr(10) || 'licence' AS w FROM documents)
+SELECT doc_id, md5(trim(left(substr(w, {len(_START)} + 1), strpos(w, '*** END') - 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM w""")
+def ing_01_boilerplate(spark, sf):
+    """Documents between markers; the end's place in the whole text is applied to what follows the start."""
+    whole = F.concat(F.lit(_START + "\n"), "text", F.lit("\n" + _END + "\nlicence"))
+    return R._docs(spark, sf).select("doc_id", F.md5(ingest.strip_boilerplate(whole)).alias("digest"))
+
+
+_HEADED = r"(?i)(^|\n)\s*chapter\s+([0-9]+|[ivxlcdm]+)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents WHERE NOT contains(text, chr(13)) AND NOT regexp_matches(text, '{_HEADED}'))
+SELECT doc_id, 1::INT AS chapter_index, 'The Sea' AS chapter_title, md5(body) AS digest FROM d WHERE body <> ''
+UNION ALL SELECT doc_id, CASE WHEN body = '' THEN 1 ELSE 2 END::INT, 'THE END', md5('last line') FROM d""")
+def ing_02_chapters(spark, sf):
+    """Each document as a chapter with a title, and after it one whose title is the line below the heading."""
+    rows = R._docs(spark, sf).where(~F.col("text").contains("\r") & ~F.col("text").rlike(_HEADED))
+    books = rows.select("doc_id", F.concat(F.lit("front\nChapter 1: The Sea\n"), "text", F.lit("\nCHAPTER II\nTHE END\nlast line\nChapter 3")).alias("text"))
+    return ingest.chapters(books, key="doc_id").select("doc_id", "chapter_index", "chapter_title", F.md5("text").alias("digest"))
+
+
+_FOUND = r"list_concat(regexp_extract_all(text, '\b(?:at|in|to|from|near)\s+([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*)*)', 1), regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FOUND} AS l FROM documents WHERE regexp_matches(text, {ASCII}))
+SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 12), '|') AS places FROM f""")
+def lex_16_locations(spark, sf):
+    """Location markers of the texts in ASCII."""
+    rows = R._docs(spark, sf).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    return rows.select("doc_id", F.array_join(timeline.location_markers(F.col("text")), "|").alias("places"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '["'']([^"'']{2,80})["'']', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE regexp_matches(text, """ + ASCII + r"""))
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS quoted FROM f""")
+def anc_05_quoted(spark, sf):
+    """Quoted phrases of the texts in ASCII."""
+    rows = R._docs(spark, sf).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    return rows.select("doc_id", F.array_join(A.extract(F.col("text"), F.lit(""))["quoted_phrases"], "|").alias("quoted"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN starts_with(upper(trim(x)), 'VALID') THEN 'VALID' WHEN starts_with(upper(trim(x)), 'INVALID') THEN 'INVALID' ELSE 'AMBIGUOUS' END AS gate FROM (SELECT *, CASE turn % 3 WHEN 0 THEN ' valid, ' || text WHEN 1 THEN 'Invalid: ' || text ELSE text END AS x FROM conversations)")
+def ver_10_claim_gate(spark, sf):
+    c = R.table(spark, sf, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" valid, "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Invalid: "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", verify.claim_gate(said).alias("gate"))
+
+
+@query("""WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM labels)
+SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id) AS place FROM i""")
+def evl_06_id_order(spark, sf):
+    """Ids in their order: integers by value, then text. A report's order, so one task numbers them."""
+    from pyspark.sql import Window as W
+
+    ids = R.table(spark, sf, "labels").select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("id"))
+    return ids.select("id", F.row_number().over(W.orderBy(*verify.id_order("id"))).cast("long").alias("place"))
+
+
+@query("SELECT conv_id, turn, (CASE turn % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 ELSE 0.4 END)::DOUBLE AS prior FROM conversations")
+def rrk_07_source_prior(spark, sf):
+    names = ("contradiction_family_query:neighbor", "incompatible_state_query", "support_keyword_query", "timeline_sensitive_query", "other")
+    channel = F.get(T.literal_array(names), (F.col("turn") % 5).cast("int"))
+    return R.table(spark, sf, "conversations").select("conv_id", "turn", rr.source_score(channel).alias("prior"))
+
+
+@query(f"""WITH {_TOP}, reach AS (SELECT example_id, rank, score, o, doc + CASE o WHEN 0 THEN -1 ELSE 1 END AS nb FROM seen, (VALUES (0), (1)) t(o)),
+near AS (SELECT *, row_number() OVER (PARTITION BY example_id, nb ORDER BY rank, o) AS n FROM reach JOIN chunks c ON c.doc_id * 10000 + c.i = nb WHERE (example_id, nb) NOT IN (SELECT example_id, doc FROM seen)),
+both_ AS (SELECT example_id, doc, score AS s, 0 AS k, rank AS p1, -1 AS p2 FROM seen UNION ALL SELECT example_id, nb, round(score * 0.65, 6), 1, rank, o FROM near WHERE n = 1)
+SELECT example_id, doc, k = 1 AS neighbour, row_number() OVER (PARTITION BY example_id ORDER BY s DESC, k, p1, p2) AS rank FROM both_""")
+def ret_18_neighbours(spark, sf):
+    """The five best chunks of each item with the chunks beside them."""
+    _, found = _best_chunks(spark, sf)
+    chunks = R._chunked(spark, sf).select((F.col("doc_id") * 10000 + F.col("i")).alias("chunk_index_global"), F.col("source").alias("book_name"), F.col("doc_id").cast("string").alias("chapter_id"), F.col("i").alias("chunk_index_in_chapter"))
+    top = found.withColumn("chunk_index_global", F.col("chunk_id").cast("long"))
+    out = retrieval.with_neighbours(top, chunks)
+    return out.select("example_id", F.col("chunk_index_global").alias("doc"), (F.col("source") == "neighbor_expansion").alias("neighbour"), F.col("rank").cast("long").alias("rank"))
