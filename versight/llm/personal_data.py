@@ -32,9 +32,11 @@ Words that hold the character NUL are taken for parts of fixed forms.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from versight.llm.shared import let, written
+from versight.llm.shared import discard, let, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -51,6 +53,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 RUN = 4
 BLOCK = 256
 BROADCAST_ROWS = 10_000
+#: Keys that texts are tested for before they are taken apart into rows; with more keys all texts are.
+HELD_KEYS = 20_000
 
 
 def _digits(m: Column) -> Column:
@@ -186,6 +190,39 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(*others, "b", "a", F.posexplode("ps").alias("t", "p")).where("p is not null").select("p", *others, both("b"), both("a"))
 
 
+def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text, w (lower-cased words, fixed forms as NUL) and c (the same with digits as 0) of rows with a word."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(WORD))
+    low = F.lower(_masked(F.col("_text"), base_spans(F.col("_text"))))
+    words = lambda x: F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), "")
+    return rows.select("_id", "_text", low.alias("low")).select("_id", "_text", words(F.col("low")).alias("w"), words(F.translate("low", "123456789", "000000000")).alias("c"))
+
+
+def _own(w: Column, c: Column) -> Column:
+    """Hash of a word; its last bit tells whether the word holds a digit."""
+    return F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(c.contains("0"), 1).otherwise(0).cast("long"))
+
+
+def _holding(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, patterns: bool) -> DataFrame:
+    """The ids and texts that hold one of the keys: of patterns, or of words. All of ``docs`` if the keys are many.
+
+    Keys of a text are arrays of hashes, so only texts that matter are taken apart into rows.
+    """
+    both = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
+    if wanted.count() > HELD_KEYS:
+        return both
+    keys = F.from_json(F.lit(json.dumps([r[0] for r in wanted.collect()])), "array<long>")
+
+    def of_patterns(h: Column) -> Column:
+        ends = F.concat(F.array(F.lit(None).cast("long")), h, F.array(F.lit(None).cast("long")))
+        pair = lambda b, a: F.xxhash64(F.lit(0), b, a)
+        around = lambda e: [F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - n - 1, F.lit(0))), F.slice(e, F.lit(n + 2), F.size(e)), pair) for n in range(1, RUN + 1)]
+        return let(ends, lambda e: F.concat(F.transform(h, lambda x: F.xxhash64(F.lit(1), x)), F.transform(h, lambda x: F.xxhash64(F.lit(2), x)), *around(e)))
+
+    own = let(F.transform("c", lambda x: F.xxhash64(x)), of_patterns) if patterns else F.zip_with("w", "c", _own)
+    return _split(docs, id_col, text_col).where(F.arrays_overlap(own, keys)).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col))
+
+
 def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: DataFrame | None = None, firsts: DataFrame | None = None) -> DataFrame:
     """(_id, _k, i, l, inst, w, b, a, ps): words, or longer runs, outside fixed forms by the number of their first word, and their patterns.
 
@@ -194,10 +231,7 @@ def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: D
     words hold digits; or else where ``firsts`` (h) has the first word. Neighbours are
     zipped arrays, so what follows runs row by row in generated code.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(WORD))
-    low = F.lower(_masked(F.col("_text"), base_spans(F.col("_text"))))
-    words = lambda x: F.array_remove(F.split(x, r"[\x20\x09-\x0D]+", -1), "")
-    rows = rows.select("_id", F.xxhash64("_text").alias("_k"), low.alias("low")).select("_id", "_k", words(F.col("low")).alias("w"), words(F.translate("low", "123456789", "000000000")).alias("c"))
+    rows = _split(docs, id_col, text_col).withColumn("_k", F.xxhash64("_text"))
     size = F.size("w")
     shift = lambda c, j: F.slice(c, j + 1, size).alias(f"{c}{j}") if j else F.col(c).alias(f"{c}0")
     last = RUN if longer else 1
@@ -206,7 +240,7 @@ def _slots(docs: DataFrame, id_col: str, text_col: str, longer: bool, befores: D
     digit = lambda c: F.coalesce(F.col(c).contains("0") & ~F.col(c).contains("\0"), F.lit(False))
     x = x.where("w0 is not null").where(~F.col("w0").contains("\0"))
     word = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c)))
-    inst = lambda j: F.when(~F.col(f"w{j}").contains("\0"), F.xxhash64(F.col(f"w{j}")).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col(f"c{j}").contains("0"), 1).otherwise(0).cast("long")))
+    inst = lambda j: F.when(~F.col(f"w{j}").contains("\0"), _own(F.col(f"w{j}"), F.col(f"c{j}")))
     if not longer:
         x = x.select("_id", "_k", "i", inst(0).alias("inst"), word("b").alias("b"), word("c1").alias("a"))
         return x.select("_id", "_k", "i", F.lit(1).alias("l"), "inst", F.col("inst").alias("w"), "b", "a", F.array(*_pattern(F.col("b"), F.col("a"))).alias("ps"))
@@ -272,7 +306,9 @@ def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, co
             left = written(todo.join(low, "p", "left").where("n is null or n <= most").select("p"), "candidates")
             whole = low.join(left, "p", "left_anti").withColumn("exact", F.lit(False))
             if not left.isEmpty():
-                found = written(met(left, docs).select(*pair, "l", "w").distinct(), "graph")
+                held = written(_holding(docs, id_col, text_col, left, True), "held")
+                found = written(met(left, held).select(*pair, "l", "w").distinct(), "graph")
+                discard(held)
                 edges = edges.unionByName(found)
                 whole = whole.unionByName(number(found, left).withColumn("exact", F.lit(True)))
             bounds = written(bounds.join(todo, "p", "left_anti").unionByName(whole), "bounds")
@@ -290,25 +326,30 @@ def discover(docs: DataFrame, rows: DataFrame, *, id_col: str, text_col: str, co
             continue
         asked = new.select("inst") if asked is None else asked.unionByName(new.select("inst"))
         few = some(new.select("inst"))
-        more = _edges(_slots(docs, id_col, text_col, False).join(few, "inst", "left_semi"))
+        held = written(_holding(docs, id_col, text_col, new.select("w").distinct(), False), "held")
+        more = _edges(_slots(held, id_col, text_col, False).join(few, "inst", "left_semi"))
         if not new.where("l > 1").isEmpty():
             firsts = written(new.where("l > 1").select(F.col("w").alias("h")).distinct(), "firsts")
-            more = more.unionByName(_edges(_slots(docs, id_col, text_col, True, None, firsts).join(few, "inst", "left_semi")))
+            more = more.unionByName(_edges(_slots(held, id_col, text_col, True, None, firsts).join(few, "inst", "left_semi")))
         more = written(more.select(*pair, "hb", "ha").distinct(), "contexts")
+        discard(held)
         heads = heads.unionByName(more.where("hb is not null and ha is not null").select("p", "hb", "ha")).distinct()
         contexts = written(contexts.unionByName(more.select(*pair)).distinct(), "contexts")
     if not n_good or edges.join(good.select("p").distinct(), "p", "left_semi").isEmpty():  # fixed forms alone stand at confident patterns
         return spark.createDataFrame([], f"_id {dict(rows.dtypes)['_id']}, _k long, kind int, start int, end int")
     best = F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind")
-    hits = written(met(good, docs).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
+    held = written(_holding(docs, id_col, text_col, good.select("p").distinct(), True), "held")
+    hits = written(met(good, held).join(some(good), "p").groupBy("_id", "_k", "i", "l").agg(best), "hits")
     places = hits.groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("i", -F.col("l"), "l", "kind"))).alias("at"))
-    texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).dropDuplicates(["_i", "_h"])
+    texts = held.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).dropDuplicates(["_i", "_h"])
     placed = places.join(texts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")))
     spans = let(spans_of(_masked(F.col("_text"), base_spans(F.col("_text"))), WORD), lambda w: F.transform("at", lambda x: F.struct(F.get(w, x["i"])["start"].alias("start"), F.get(w, x["i"] + x["l"] - 1)["end"].alias("end"), x["kind"].alias("kind"))))
     # longest first among overlapping ones: a span goes if a longer one, or an earlier one as long, is kept over it
     order = F.array_sort(F.transform(spans, lambda x: F.struct((x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     kept = F.aggregate(order, F.expr("cast(array() as array<struct<n:int,start:int,end:int,kind:int>>)"), lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return written(placed.select("_id", "_k", F.explode(kept).alias("x")).select("_id", "_k", "x.kind", "x.start", "x.end"), "discovered")
+    out = written(placed.select("_id", "_k", F.explode(kept).alias("x")).select("_id", "_k", "x.kind", "x.start", "x.end"), "discovered")
+    discard(held, hits)
+    return out
 
 
 def _all_spans(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
