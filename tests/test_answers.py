@@ -101,3 +101,12 @@ def test_label_passages(spark):
     got = {r.backstory: r.result.verdict for r in answers.label_passages(rows, lambda m: '{"verdict": "CONTRADICT", "contradictions": []}' if "chunk\nev" in m[1]["content"] else "?").collect()}
     assert got == {"back": "CONTRADICT", "other": "ERROR"}
     assert rows.select(F.lit(1)).count() == 2
+
+
+def test_numbered_passages(spark):
+    claims = spark.createDataFrame([("e", 1, "He fled"), ("e", 2, "He stayed")], "example_id string, claim_id int, claim_text string")
+    passages = spark.createDataFrame([("e", 1, ["a", "he fled by night"]), ("e", 2, ["b"])], "example_id string, claim_id int, texts array<string>")
+    said = json.dumps({"claim_id": "1", "verdict": "SUPPORTED", "evidence": [{"chunk_id": 1, "quote": "fled"}], "confidence": "HIGH", "justification": "it says so"})
+    client = lambda m: "So: " + said if "[1] he fled by night" in m[1]["content"] else said
+    got = {r.claim_id: (r.verdict, r.confidence, r.num_evidence) for r in answers.verify_numbered(claims, passages, client).collect()}
+    assert got == {1: ("SUPPORTED", "HIGH", 1), 2: ("INSUFFICIENT", "LOW", 0)}

@@ -78,7 +78,7 @@ def test_records_of_a_run(spark, small):
     assert record["final_aggregation"]["predicted_label"] in ("consistent", "contradict")
 
 
-def test_ablation_sweep(spark, small):
+def test_ablation_sweep(spark, small, tmp_path):
     e, chunks = registry._benchmark_examples(spark, small), registry.annotated(spark, small)
     gold = e.select("id", F.lit("consistent").alias("label"))
     some = {k: ablation.CONFIGS[k] for k in ("lexical_only", "plus_reranker")} | {"broken": None}
@@ -88,6 +88,8 @@ def test_ablation_sweep(spark, small):
     assert got[1][3] == sum(v == "consistent" for v in labels.values()) / 4
     bad = ablation.ablate(e, chunks, gold.limit(0), configs={k: ablation.CONFIGS[k] for k in ("lexical_only", "semantic_only")}, fail_fast=True).collect()
     assert [(r.config, r.status) for r in bad] == [("lexical_only", "failed")]
+    ablation.save(spark.createDataFrame(bad), str(tmp_path))
+    assert "| lexical_only | failed |" in (tmp_path / "ablation_report.md").read_text() and '"status": "failed"' in (tmp_path / "ablation_metrics.json").read_text()
 
 
 def scored_by_hand(spark, small, k):

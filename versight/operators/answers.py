@@ -197,9 +197,24 @@ def justified(raw: DataFrame, passages: DataFrame, *, text_col: str = "response"
     return x.select(*CLAIM, ok.alias("valid"), F.when(ok, j["verdict"]).otherwise("INSUFFICIENT").alias("verdict"), F.when(ok, j["confidence"]).otherwise("LOW").alias("confidence"), F.when(ok, F.size(j["evidence"])).otherwise(0).cast("long").alias("num_evidence"))
 
 
+def verify_numbered(claims: DataFrame, passages: DataFrame, client, *, top: int = 5, tries: int = 2) -> DataFrame:
+    """Verdicts on claims (ids, claim_text) over their first ``top`` numbered passages (ids, texts); INSUFFICIENT where no try is valid."""
+    own = passages.select(*CLAIM, F.slice("texts", 1, top).alias("texts"))
+    listing = F.array_join(F.transform("texts", lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), t)), "\n")
+    shape = '{"claim_id": "...", "verdict": "SUPPORTED|CONTRADICTED|INSUFFICIENT", "evidence": [{"chunk_id": 0, "quote": "..."}], "confidence": "LOW|MEDIUM|HIGH", "justification": "at most 40 words"}'
+    ask_for = F.array(_message("system", F.lit("Answer with JSON only: " + shape)), _message("user", F.concat(F.lit("Claim "), F.col("claim_id").cast("string"), F.lit(": "), "claim_text", F.lit("\nPassages:\n"), listing)))
+    left, good = written(claims.join(own, CLAIM).select(*CLAIM, ask_for.alias("messages")), "messages"), None
+    for _ in range(tries):
+        valid = written(justified(ask(left, client), own), "verdicts").where("valid").drop("valid")
+        good = valid if good is None else good.unionByName(valid)
+        left = left.join(valid.select(*CLAIM), CLAIM, "left_anti")
+    rows = claims.select(*CLAIM).join(good, CLAIM, "left")
+    return rows.select(*CLAIM, F.coalesce("verdict", F.lit("INSUFFICIENT")).alias("verdict"), F.coalesce("confidence", F.lit("LOW")).alias("confidence"), F.coalesce("num_evidence", F.lit(0)).cast("long").alias("num_evidence"))
+
+
 def insufficient(plans: DataFrame, reason: str) -> DataFrame:
     """The verdict of claims that failed, with why (500 characters at most)."""
     return V.null_verdicts(plans).withColumn("justification", F.lit(reason[:500]))
 
 
-__all__ = ["ask", "cached_ask", "fallback_contradictions", "find_json", "generate_claims", "generate_contradictions", "insufficient", "justified", "keyed", "label_passages", "lenient_json", "plan_with", "verifier_messages", "verify_with"]
+__all__ = ["ask", "cached_ask", "fallback_contradictions", "find_json", "generate_claims", "generate_contradictions", "insufficient", "justified", "keyed", "label_passages", "lenient_json", "plan_with", "verifier_messages", "verify_numbered", "verify_with"]

@@ -174,3 +174,10 @@ def latest_records(trace: DataFrame, order: str) -> DataFrame:
     """The last record of each example, where runs have appended several."""
     w = W.partitionBy("example_id").orderBy(F.desc(order))
     return trace.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def claim_view(retrieved: DataFrame, example_id: str, claim_id: int | None = None) -> DataFrame:
+    """What was retrieved for one example's claims, in order, with previews: for a look at a single case."""
+    rows = retrieved.where(F.col("example_id") == example_id)
+    rows = rows if claim_id is None else rows.where(F.col("claim_id") == claim_id)
+    return rows.select(*CLAIM, "rank", "chunk_id", "channel", "final_score", T.preview(F.col("text"), 240).alias("preview")).orderBy(*CLAIM, "rank")

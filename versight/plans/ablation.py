@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from versight.functions.store import written
 from versight.operators import planning, rerank as rr, retrieval, verify
+from versight.sources import io
 
 OFF = {"lexical": False, "semantic": False, "character": False, "event": False, "timeline": False}
 #: Name -> (parts that are on, families, timeline queries, re-ranking, note).
@@ -64,3 +67,9 @@ def ablate(examples: DataFrame, chunks: DataFrame, gold: DataFrame | None = None
     return examples.sparkSession.createDataFrame(rows, "config string, status string, num_examples long, accuracy double, macro_f1 double, notes string")
 
 
+def save(results: DataFrame, folder: str) -> None:
+    """ablation_report.md and ablation_metrics.json below ``folder``; a sweep has a row for each configuration."""
+    spark = results.sparkSession
+    rows = results.collect()
+    io.write_document(spark, io.report("Ablation Report", {"Results": spark.createDataFrame(rows, results.schema), "Note": "Metrics need gold labels for all predicted rows."}), f"{folder}/ablation_report.md")
+    io.write_document(spark, json.dumps([r.asDict() for r in rows], indent=2, sort_keys=True) + "\n", f"{folder}/ablation_metrics.json")
