@@ -86,9 +86,9 @@ def test_ablation_sweep(spark, small, tmp_path):
     labels = {r.example_id: r.predicted_label for r in registry.QUERIES["flagship_pipeline"](spark, small).collect()}
     assert [g[:3] for g in got] == [("lexical_only", "ok", 4), ("plus_reranker", "ok", 4)]
     assert got[1][3] == sum(v == "consistent" for v in labels.values()) / 4
-    bad = ablation.ablate(e, chunks, gold.limit(0), configs={k: ablation.CONFIGS[k] for k in ("lexical_only", "semantic_only")}, fail_fast=True).collect()
-    assert [(r.config, r.status) for r in bad] == [("lexical_only", "failed")]
-    ablation.save(spark.createDataFrame(bad), str(tmp_path))
+    bad = ablation.ablate(e, chunks, gold.limit(0), configs={k: ablation.CONFIGS[k] for k in ("lexical_only", "semantic_only")}, fail_fast=True)
+    assert [(r.config, r.status) for r in bad.collect()] == [("lexical_only", "failed")]
+    ablation.save(bad, str(tmp_path))
     assert "| lexical_only | failed |" in (tmp_path / "ablation_report.md").read_text() and '"status": "failed"' in (tmp_path / "ablation_metrics.json").read_text()
 
 
