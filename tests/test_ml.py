@@ -37,14 +37,10 @@ def test_term_weights_are_sublinear_and_whole(spark):
 
 
 def test_training_picks_the_best_model(spark):
-    rows = spark.createDataFrame([(i, float(i % 2), float(i % 3), i % 2) for i in range(24)], "id long, good double, noise double, label int")
-    model = lambda: LogisticRegression(weightCol="weight", maxIter=5)
-    stage = lambda c: [VectorAssembler(inputCols=[c], outputCol="features")]
-    made = ml.train(rows, {"one": model()}, stages=stage("good"))
+    rows = spark.createDataFrame([(i, float(i in (2, 5)), int(i in (2, 5))) for i in range(8)], "id long, good double, label int")
+    made = ml.train(rows, {"one": LogisticRegression(weightCol="weight", maxIter=5)}, stages=[VectorAssembler(inputCols=["good"], outputCol="features")])
     assert made["name"] == "one" and made["reports"][0]["macro_f1"] == 1.0
-    assert all(r.label == ("contradict" if r.id % 2 else "consistent") for r in ml.predict(made, rows).collect())
-    worse = ml.train(rows, {"one": model()}, stages=stage("noise"))
-    assert worse["reports"][0]["macro_f1"] < 1
+    assert all(r.label == ("contradict" if r.id in (2, 5) else "consistent") for r in ml.predict(made, rows).collect())
 
 
 def test_meta_features(spark):
