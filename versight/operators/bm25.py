@@ -32,7 +32,7 @@ def postings(docs: DataFrame, *, key: str, text_col: str = "text", group: str |
     """
     by = [group] if group else []
     tokens = T.tokenise(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(*by, F.col(key).alias("doc"), tokens.alias("t")).select(*by, "doc", F.size("t").alias("len"), F.explode(F.concat(T.let(F.array_sort("t"), _runs), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"))))).alias("x"))
+    rows = docs.select(*by, F.col(key).alias("doc"), tokens.alias("t")).select(*by, "doc", F.size("t").alias("len"), F.explode(F.concat(T.let(F.sort_array("t"), _runs), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"))))).alias("x"))
     rows = rows.select(*by, "doc", "len", "x.token", F.col("x.tf").cast("long").alias("tf"))
     if asked is not None:
         rows = rows.join(asked.select("token").distinct().withColumn("_asked", F.lit(True)), "token", "left").where("token is null or _asked").drop("_asked").select(*by, "doc", "len", "token", "tf")
