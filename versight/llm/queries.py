@@ -68,7 +68,14 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.tokenizer_alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op5_main_text": op5_main_text,
     "op2_quotation_links": op2_quotation_links,
     "op6_url_verdicts": op6_url_verdicts,
