@@ -74,7 +74,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.permutation_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES = {
+    "op12_permutation_index": op12_permutation_index,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op5_main_text": op5_main_text,
     "op2_quotation_links": op2_quotation_links,
