@@ -119,3 +119,21 @@ def test_hot_document_words(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same words here")).otherwise(F.concat(F.lit("same "), F.col("id").cast("string"))).alias("text"))
     found = ta.align(docs, A, B, slice_postings=100).select("doc_id", *COLUMNS).collect()
     compare(found, list(brute([(r.doc_id, r.text) for r in docs.collect()])))
+
+
+def test_plain_texts_are_split_alike():
+    """What goes the fast way has the ids of the tokenizers library: every plain code point in contexts, and whole texts."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    encode, _ = ta.byte_level(A)
+    slow = Tokenizer.from_file(A)
+    slow.encode_special_tokens = True
+    points = [chr(i) for i in [*range(0x250), *range(0x2000, 0x2070)]]
+    texts = [f"a{c}b {c} {c}{c}1{c}'s \n{c}\t {c}" for c in points] + pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    texts += ["<|endoftext|>'ll 日本", "é" * 399, "x" * 2000, " " * 2000, "٣٤ ᠎ x", "🙂" * 500]
+    texts = [t for t in texts if t]
+    plain = sum(not ta._PLAIN.search(t) for t in texts)
+    assert plain > 0.9 * len(texts)
+    expected = [e.ids for e in slow.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in encode(texts)] == expected

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ from pyspark.sql.types import StructType
 from versight.llm.shared import written
 
 #: Bounds of a block of documents that a task encodes at a time, and of the postings in a row.
-BLOCK_DOCS, BLOCK_BYTES, ROW_POSTINGS = 4096, 1 << 22, 512
+BLOCK_DOCS, BLOCK_BYTES, ROW_POSTINGS = 4096, 1 << 21, 512
 #: Postings of a slice, about 20 MB shuffled.
 SLICE_POSTINGS = 1 << 23
 #: Documents whose sums a task holds before it emits them.
@@ -56,24 +57,47 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Texts in these code points, without a run of this many letters or blanks, are split alike by both libraries (see the tests).
+_PLAIN = re.compile("[^\u0000-\u024f\u2000-\u206f]|\\S{400}|\\s{400}")
+#: The pattern of byte-level tokenizers (fixed value).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=2)
 def byte_level(path: str):
-    """(encode texts to ids, bytes of each id) of a byte-level .json tokenizer; special strings in texts are plain text."""
+    """(encode texts to ids, bytes of each id) of a byte-level .json tokenizer; special strings in texts are plain text.
+
+    Where merges are ranked by the ids of what they make, tiktoken gives the same ids several times as
+    fast; it takes the plain texts, ``tokenizers`` all others.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
-    at, known = byte_of_symbol(), json.loads(tokenizer.to_str())["added_tokens"]
-    added = {x["id"]: x["content"].encode() for x in known}
+    at, known = byte_of_symbol(), json.loads(tokenizer.to_str())
+    added = {x["id"]: x["content"].encode() for x in known["added_tokens"]}
     table = [b""] * tokenizer.get_vocab_size()
     for piece, i in tokenizer.get_vocab().items():
         table[i] = added[i] if i in added else bytes(at[c] for c in piece)
-    return (lambda texts: [e.ids for e in tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]), table
+    made = [tokenizer.token_to_id("".join(m)) for m in known["model"]["merges"]]
+    usual = known["normalizer"] is None and known["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and None not in made and made == sorted(set(made)) and known["model"]["type"] == "BPE"
+    fast = tiktoken.Encoding("plain", pat_str=_PATTERN, mergeable_ranks={x: i for i, x in enumerate(table) if i not in added}, special_tokens={}) if usual else None
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        for i, text in enumerate(texts):
+            plain = fast is not None and not _PLAIN.search(text)
+            ids = fast.encode_ordinary(f" {text}") if plain else tokenizer.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids
+            out[i] = np.array(ids, np.int32)
+        return out
+
+    return encode, table
 
 
 @lru_cache(maxsize=2)
@@ -82,8 +106,9 @@ def pieces(path: str):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    table = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) is not None]
-    return (lambda texts: model.encode(texts, num_threads=1)), table
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    table = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    return (lambda texts: [np.array(model.encode(t), np.int32) for t in texts]), table
 
 
 @lru_cache(maxsize=2)
@@ -91,8 +116,8 @@ def _told(n: int) -> list[str]:
     return [f"{i}{mark}" for i in range(n) for mark in ",|;"]
 
 
-def _joined(ids: list[int], table: list[bytes]) -> bytes:
-    return b"".join([table[i] for i in ids])
+def _spells(ids: np.ndarray, table: list[bytes], whole: bytes) -> bool:
+    return b"".join([table[i] for i in ids.tolist()]) == whole
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -106,13 +131,14 @@ class Block:
     sides never joins two texts: each ends where both have a cut.
     """
 
-    def __init__(self, a: list[list[int]], b: list[list[int]], a_table: list[bytes], b_table: list[bytes]):
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], a_table: list[bytes], b_table: list[bytes]):
         size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (a_table, b_table))
         self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        self.a, self.b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
+        self.a, self.b = (np.concatenate([np.empty(0, np.int32), *side]) for side in (a, b))
         end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
-        self.shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        cuts = np.union1d(end_a, end_b)
+        self.shared = end_a[end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a] if len(end_b) else end_b
+        cuts = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        cuts = cuts[np.diff(cuts, prepend=-1) > 0]
         of = np.cumsum(self.n_a) - 1
         self.text_ends = end_a[of] if len(end_a) else np.empty(0, np.int64)
         self.link_a, self.link_b = self.a[np.searchsorted(end_a, cuts)], self.b[np.searchsorted(end_b, cuts)]
@@ -137,7 +163,7 @@ class Block:
     def postings(self, n_b: int):
         """(pair code, text, times) of each pair of ids and text, sorted."""
         texts = max(1, len(self.n_a))
-        key = np.sort((self.link_a * n_b + self.link_b) * texts + self.link_text)
+        key = np.sort((self.link_a.astype(np.int64) * n_b + self.link_b) * texts + self.link_text)
         new = np.flatnonzero(np.diff(key, prepend=-1))
         return key[new] // texts, key[new] % texts, np.diff(np.append(new, len(key)))
 
@@ -147,7 +173,7 @@ def _align_block(keys: np.ndarray, ids: pa.Array, texts: list[str | None], encod
     (encode_a, table_a), (encode_b, table_b) = encoders
     some = [i for i, t in enumerate(texts) if t]
     ids_a, ids_b = (encode([texts[i] for i in some]) if some else [] for encode in (encode_a, encode_b))
-    kept = [j for j, i in enumerate(some) if (whole := f" {texts[i]}".encode("utf-8", "surrogatepass")) == _joined(ids_a[j], table_a) and whole == _joined(ids_b[j], table_b)]
+    kept = [j for j, i in enumerate(some) if _spells(ids_a[j], table_a, whole := f" {texts[i]}".encode()) and _spells(ids_b[j], table_b, whole)]
     at = np.array([some[j] for j in kept], np.int64)
     block = Block([ids_a[j] for j in kept], [ids_b[j] for j in kept], table_a, table_b)
     own = {k: np.zeros(len(texts), np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
