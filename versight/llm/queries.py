@@ -80,7 +80,14 @@ def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from versight.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op13_conversation_trie": op13_conversation_trie,
     "op12_permutation_index": op12_permutation_index,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op5_main_text": op5_main_text,
