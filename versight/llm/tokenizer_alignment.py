@@ -28,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from versight.llm.shared import written
 #: Bounds of a block of documents that a task encodes at a time, and of the postings in a row.
 BLOCK_DOCS, BLOCK_BYTES, ROW_POSTINGS = 4096, 1 << 21, 512
 #: Postings of a slice, about 20 MB shuffled.
-SLICE_POSTINGS = 1 << 23
+SLICE_POSTINGS = 1 << 22
 #: Documents whose sums a task holds before it emits them.
 HELD_SUMS = 1 << 20
 
@@ -212,16 +213,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
 
 
 def _shares(n_b: int):
-    """Reads (a, slice) streams, counts ahead of postings; yields (doc, best, total) of documents."""
+    """Reads (a, slice) streams, counts ahead of postings; yields (block, docs, best, total), arrays over documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         filled = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for block, sums in held.items():
-                i = np.flatnonzero(sums[1])
-                yield pa.RecordBatch.from_arrays([pa.array(block + i), pa.array(sums[0][i]), pa.array(sums[1][i])], names=["doc", "best", "total"])
+            for some in batched(held.items(), 64):
+                found = [np.flatnonzero(sums[1]) for _, sums in some]
+                ends = np.cumsum([len(i) for i in found])
+                columns = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(x))) for x in ([i.astype(np.int32) for i in found], *([sums[k][i] for (_, sums), i in zip(some, found, strict=True)] for k in (0, 1)))]
+                yield pa.RecordBatch.from_arrays([pa.array([block for block, _ in some], pa.int64()), *columns], names=["block", "docs", "best", "total"])
             held.clear()
 
         codes, counts, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -272,6 +275,27 @@ def _shares(n_b: int):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads shares sorted by block; yields the sums (doc, best, total) of each of its documents."""
+    now, sums = None, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            i = np.flatnonzero(sums[1])
+            yield pa.RecordBatch.from_arrays([pa.array(now + i), pa.array(sums[0][i]), pa.array(sums[1][i])], names=["doc", "best", "total"])
+
+    for batch in batches:
+        blocks, docs, best, total = (batch.column(c) for c in range(4))
+        for row, block in enumerate(blocks.to_pylist()):
+            if block != now:
+                yield from done()
+                now, sums = block, np.zeros((2, BLOCK_DOCS), np.int64)
+            at = docs[row].values.to_numpy()
+            sums[0][at] += best[row].values.to_numpy()
+            sums[1][at] += total[row].values.to_numpy()
+    yield from done()
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", slice_postings: int = SLICE_POSTINGS) -> DataFrame:
     """The id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row.
 
@@ -304,8 +328,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     none = F.array().cast("array<int>")
     ahead = heads.select("a", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(-1).cast("long").alias("block"), F.col("x.b").alias("b"), none.alias("n"), none.alias("docs"), none.alias("times"), F.col("x.count").alias("count"))
     streams = ahead.unionByName(dealt).repartition(-(-total // slice_postings) + 1, "a", "slice").sortWithinPartitions("a", "slice", "block")
-    shares = streams.mapInArrow(_shares(n_b), "doc long, best long, total long").groupBy("doc").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
+    shares = streams.mapInArrow(_shares(n_b), "block long, docs array<int>, best array<long>, total array<long>")
+    sums = shares.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(_summed, "doc long, best long, total long")
 
     known = parts.where("doc is not null").select("id", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    sums = (F.coalesce(c, F.lit(0)).alias(name) for c, name in (("best", "n_best"), ("total", "count_sum")))
-    return known.join(shares, "doc", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
+    told = (F.coalesce(c, F.lit(0)).alias(name) for c, name in (("best", "n_best"), ("total", "count_sum")))
+    return known.join(sums, "doc", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", *told, "groups_sha256")
