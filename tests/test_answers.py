@@ -26,7 +26,7 @@ def scripted():
         """Valid at once for claim 1, on the retry for claim 2, never for claim 3; confirms only claim 1."""
         text, retried = messages[1]["content"], len(messages) > 2
         say = lambda v, c, q: "Here it is: " + json.dumps({"claim_id": 1, "verdict": v, "evidence": [{"chunk_id": c, "quote": q}], "confidence": "high", "reasoning_short": "x"})
-        if "Confirm the contradiction" in text:
+        if "still rule the claim out" in text:
             return say("CONTRADICTED", "c1", "he fled") if "fled" in text else say("SUPPORTED", "c2", "he")
         if "fled" in text:
             return say("contradicted", "c1", "he fled")
@@ -110,3 +110,49 @@ def test_numbered_passages(spark):
     client = lambda m: "So: " + said if "[1] he fled by night" in m[1]["content"] else said
     got = {r.claim_id: (r.verdict, r.confidence, r.num_evidence) for r in answers.verify_numbered(claims, passages, client).collect()}
     assert got == {1: ("SUPPORTED", "HIGH", 1), 2: ("INSUFFICIENT", "LOW", 0)}
+
+
+def test_one_call_a_row(spark, tmp_path):
+    """A client that counts, and never answers alike: every path asks once a row and round, and judges the answer that it got."""
+    log = str(tmp_path)
+
+    def client(messages):
+        import os
+        import uuid
+
+        key = uuid.uuid4().hex
+        with open(os.path.join(log, key), "w") as f:
+            f.write(messages[-1]["content"])
+        text = messages[-1]["content"]
+        if text.startswith("List at most"):
+            return json.dumps([{"claim_id": 1, "claim_text": f"claim {key}"}])
+        if text.startswith("Extract"):
+            return "Here: " + json.dumps([{"claim_id": i + 1, "claim_text": f"claim number {key}", "keywords": ["a"]} for i in range(3)])
+        if text.startswith("Write exactly"):
+            return "Sure. " + json.dumps([key] * 3)
+        if text.startswith("BACKSTORY"):
+            return "Well: " + json.dumps({"verdict": key, "contradictions": []})
+        return json.dumps({"claim_id": 1, "verdict": "SUPPORTED", "evidence": [{"chunk_id": "c1", "quote": "he fled"}], "confidence": "HIGH", "reasoning_short": key})
+
+    def calls():
+        n = len(list(tmp_path.iterdir()))
+        for f in list(tmp_path.iterdir()):
+            f.unlink()
+        return n
+
+    plans = spark.createDataFrame(PLANS[:1], "example_id string, claim_id int, claim_text string")
+    chunks = spark.createDataFrame(CHUNKS[:1], "example_id string, claim_id int, rank int, chunk_id string, text string")
+    assert [r.verdict for r in answers.verify_with(plans, chunks, client).collect()] == ["SUPPORTED"] and calls() == 1
+    examples = spark.createDataFrame([("x", "b", "c", "long text")], "id string, book_name string, character string, content string")
+    planned = answers.plan_with(examples, client)
+    assert planned.collect() == planned.collect() and calls() == 1
+    made = answers.generate_claims(examples, client)
+    assert made.first().claims == made.first().claims and len(made.first().claims) == 3 and calls() == 1
+    against = answers.generate_contradictions(spark.createDataFrame([("a claim",)], "claim_text string"), client)
+    assert against.first() == against.first() and len(set(against.first().contradictions)) == 1 and calls() == 1
+    passages = spark.createDataFrame([("b", "c", [("e",)])], "backstory string, claim_chunk string, contra_evidence array<struct<evidence:string>>")
+    labelled = answers.label_passages(passages, client)
+    assert labelled.first() == labelled.first() and len(labelled.first().result.verdict) == 32 and calls() == 1
+    numbered = spark.createDataFrame([("e", 1, ["he fled"])], "example_id string, claim_id int, texts array<string>")
+    answers.verify_numbered(plans, numbered, client, tries=1).collect()
+    assert calls() == 1

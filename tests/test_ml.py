@@ -60,3 +60,77 @@ def test_meta_features(spark):
     assert abs(one.support_query_max_score - round(3 * math.log(1 + 0.5 / 1.5), 6)) < 1e-6
     assert one.support_minus_contradiction_score == one.support_query_max_score - one.contradiction_query_max_score
     assert all(v == 0 for v in tuple(two)[1:])
+
+
+def test_quantiles_and_thresholds_of_many_scores(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    scores, labels = rng.integers(0, 5000, 4000) / 5000, rng.integers(0, 2, 4000)
+    df = spark.createDataFrame([(float(s), int(x)) for s, x in zip(scores, labels, strict=True)], "score double, label int").repartition(5)
+    by = df.groupBy("score").count()
+    assert np.allclose(ml.quantiles(by, "score", "count", 100), np.quantile(scores, np.arange(101) / 100))
+
+    def macro(t):
+        said = scores >= t
+        f = lambda tp, pp, ap: 2 * tp / (pp + ap) if pp + ap else 0.0
+        return (f((said & (labels == 1)).sum(), said.sum(), (labels == 1).sum()) + f((~said & (labels == 0)).sum(), (~said).sum(), (labels == 0).sum())) / 2
+
+    cand = sorted(set(np.quantile(scores, np.arange(101) / 100)))
+    best = max(cand, key=lambda t: (macro(t), -t))
+    got = ml.tune_threshold(df).first()
+    assert abs(got.threshold - best) < 1e-9 and abs(got.macro_f1 - macro(best)) < 1e-12
+    high = ml.tune_threshold(df, least_recall=0.95).first()
+    assert (labels[scores >= high.threshold] == 1).sum() >= 0.95 * labels.sum()
+    assert ml.tune_threshold(df.limit(0)).collect() == []
+
+
+LATER = """
+import json, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file:///tmp/versight-shared").config("spark.sql.warehouse.dir", {path!r} + "/w").getOrCreate()
+from versight.operators import ml
+made = ml.load({path!r} + "/saved")
+rows = spark.read.parquet({path!r} + "/rows")
+print("FOUND", json.dumps([made["name"], made["threshold"], made["scores"].count(), sorted([r.id, r.score, r.label] for r in ml.predict(made, rows).collect())]))
+"""
+
+
+def test_artifacts_are_loaded_by_a_later_session(spark, tmp_path):
+    """Text features with their vocabularies and a fitted model: saved here, loaded by a new driver, equal scores."""
+    import json
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = ["he escaped the prison at night", "she stayed in the quiet house", "they fled to the coast", "nobody left the old house"]
+    rows = [(str(i), f"B{i % 2}", "Faria", None, f"{said[i % 4]} {i}", i % 2) for i in range(12)]
+    df = ml.frame(spark.createDataFrame(rows, "id string, book_name string, character string, caption string, content string, label int"))
+    df.write.parquet(f"{tmp_path}/rows")
+    made = ml.train(df, {"one": LogisticRegression(weightCol="weight", maxIter=5)})
+    ml.save(made, f"{tmp_path}/saved")
+    expected = sorted([r.id, r.score, r.label] for r in ml.predict(made, df).collect())
+    again = ml.load(f"{tmp_path}/saved")
+    assert sorted([r.id, r.score, r.label] for r in ml.predict(again, df).collect()) == expected
+    assert again["reports"] == made["reports"]
+    code = LATER.format(repo=str(Path(__file__).parent.parent), path=str(tmp_path))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    found = json.loads(out.stdout.split("FOUND ")[1])
+    assert found[:3] == ["one", made["threshold"], 12] and [x[::2] for x in found[3]] == [x[::2] for x in expected]
+    assert all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(found[3], expected, strict=True))
+
+
+def test_buckets(spark, tmp_path):
+    """A lookup reads its bucket, and a join doesn't shuffle the table."""
+    df = spark.range(1000).selectExpr("concat('t', id) AS term", "cast(id AS int) AS number", "id * 1.0D AS idf")
+    ml.write_bucketed(df, f"{tmp_path}/b", by="term", buckets=8)
+    back = ml.read_bucketed(spark, f"{tmp_path}/b", "term STRING, number INT, idf DOUBLE", by="term", buckets=8)
+    assert sorted(back.collect()) == sorted(df.collect())
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else pruned too, but not told
+    one = back.where("term = 't7'")
+    plan = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert one.count() == 1 and "SelectedBucketsCount: 1 out of 8" in plan
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    joined = back.hint("merge").join(spark.range(50).selectExpr("concat('t', id) AS term").repartition(8, "term"), "term")
+    assert joined.count() == 50 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

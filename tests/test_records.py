@@ -47,9 +47,9 @@ def test_rules_and_settings(spark, tmp_path, monkeypatch):
     (tmp_path / "rules.json").write_text(json.dumps({"characters": {"Faria": {"hard_constraints": [{"description": "d", "patterns": ["a", "b"]}], "soft_terms": ["t"]}, "Nobody": None}}))
     hard, soft = io.read_rules(spark, str(tmp_path / "rules.json"))
     assert hard.collect() == [("Faria", "d", ["a", "b"])] and soft.collect() == [("Faria", "t")]
-    (tmp_path / ".env").write_text("# note\nA=1\nexport NCV_B='yes'\nC=3\n")
+    (tmp_path / ".env").write_text("# note\nA=1\nexport MY_B='yes'\nC=3\n")
     monkeypatch.setenv("C", "4")
-    got = io.environment({"A": 0, "B": False, "C": 0.5, "D": "x"}, dotenv=str(tmp_path / ".env"))
+    got = io.environment({"A": 0, "B": False, "C": 0.5, "D": "x"}, prefix="MY_", dotenv=str(tmp_path / ".env"))
     assert got == {"A": 1, "B": True, "C": 4.0, "D": "x"}
 
 

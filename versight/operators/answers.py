@@ -1,8 +1,8 @@
 """Answers of language models: prompts, lenient JSON, checks, retries, a cache, and fallbacks.
 
 A client is an injected, picklable function ``client(messages: list[dict]) -> str``; it runs on
-the executors, once a row, in Arrow batches. Every round of calls is written before it is
-looked at, so no call is made twice.
+the executors, once a row, in Arrow batches. ``ask`` writes every round of calls before anything
+looks at it, so each row has one call and one answer (but for tasks that are run again).
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def _message(role: str, content: Column) -> Column:
 
 
 def ask(rows: DataFrame, client, *, out_col: str = "response") -> DataFrame:
-    """Adds the client's answer to ``messages``; null where it raises."""
+    """Adds the client's answer to ``messages``, null where it raises; written, so that later plans read it and don't ask again."""
     schema = StructType([*rows.schema.fields, StructField(out_col, StringType())])
 
     def run(frames):
@@ -74,7 +74,7 @@ def ask(rows: DataFrame, client, *, out_col: str = "response") -> DataFrame:
 
             yield frame.assign(**{out_col: [one(m) for m in frame["messages"]]})
 
-    return rows.mapInPandas(run, schema)
+    return written(rows.mapInPandas(run, schema), "asked")
 
 
 def keyed(rows: DataFrame, *, provider: str, model: str, temperature: float = 0.0) -> DataFrame:
@@ -119,7 +119,7 @@ def verify_with(plans: DataFrame, retrieved: DataFrame, client, *, retries: int
     if confirm:
         quotes = F.array_join(F.transform("quotes", lambda q: F.concat(F.lit("["), q["chunk_id"], F.lit("] "), q["quote"])), "\n")
         again = good.where("verdict = 'CONTRADICTED'").join(plans.select(*CLAIM, "claim_text"), CLAIM)
-        text = F.concat(F.lit("Confirm the contradiction using only these exact quoted snippets.\nClaim: "), "claim_text", F.lit("\nEvidence:\n"), quotes)
+        text = F.concat(F.lit("Look at nothing but the passages quoted below. Do they still rule the claim out?\nclaim="), "claim_text", F.lit("\nquotes:\n"), quotes)
         second = written(V.parse_verdicts(ask(again.select(*CLAIM, F.array(_message("system", F.lit(SYSTEM)), _message("user", text)).alias("messages")), client), retrieved), "confirmed")
         sure = second.where("valid and verdict = 'CONTRADICTED'").select(*CLAIM, F.lit(True).alias("sure"))
         good = good.join(sure, CLAIM, "left").withColumn("lost", (F.col("verdict") == "CONTRADICTED") & F.col("sure").isNull())
@@ -151,7 +151,7 @@ def generate_claims(examples: DataFrame, client, *, least: int = 3) -> DataFrame
     """Adds ``claims``: the model's list, or an empty one unless it has ``least`` claims numbered from 1 with texts over ten characters and keywords."""
     prompt = F.concat(F.lit(f"Extract at least {least} atomic claims as a JSON list of objects with claim_id (from 1), claim_text and keywords.\nCharacter: "), F.coalesce("character", F.lit("")), F.lit("\nBook: "), F.coalesce("book_name", F.lit("")), F.lit("\nBackstory: "), F.coalesce("content", F.lit("")))
     rows = ask(examples.withColumn("messages", F.array(_message("user", prompt))), client)
-    claims = F.from_json("response", CLAIM_LIST)
+    claims = F.from_json(lenient_json(F.col("response"), "["), CLAIM_LIST)
     fits = F.forall(F.transform(claims, lambda c, i: (c["claim_id"] == i + 1) & (F.length(c["claim_text"]) > 10) & c["keywords"].isNotNull()), lambda ok: F.coalesce(ok, F.lit(False)))
     return rows.withColumn("claims", F.when((F.size(claims) >= least) & fits, claims).otherwise(F.expr(f"cast(array() as {CLAIM_LIST})"))).drop("messages", "response")
 
@@ -165,7 +165,7 @@ def generate_contradictions(claims: DataFrame, client, *, number: int = 3) -> Da
     """Adds ``contradictions``: exactly ``number``; the templates where the answer is no list."""
     prompt = F.concat(F.lit(f"Write exactly {number} sentences of a novel that each negate this claim, as a JSON list of strings.\nClaim: "), "claim_text")
     rows = ask(claims.withColumn("messages", F.array(_message("user", prompt))), client)
-    found = F.from_json("response", "array<string>")
+    found = F.from_json(lenient_json(F.col("response"), "["), "array<string>")
     pad = F.array_repeat(F.concat(F.lit("Narrative evidence contradicts the claim that "), "claim_text"), number)
     return rows.withColumn("contradictions", F.slice(F.concat(F.coalesce(F.filter(found, lambda x: x.isNotNull()), fallback_contradictions(F.col("claim_text"))), pad), 1, number)).drop("messages", "response")
 
@@ -176,7 +176,7 @@ def label_passages(rows: DataFrame, client) -> DataFrame:
     evidence = F.filter(F.concat(F.array("claim_chunk"), F.coalesce(F.transform("contra_evidence", lambda c: c["evidence"]), F.expr("cast(array() as array<string>)"))), lambda e: F.coalesce(e, F.lit("")) != "")
     prompt = F.concat(F.lit("BACKSTORY:\n"), "backstory", F.lit("\n\nEVIDENCE:\n"), F.array_join(evidence, "\n"), F.lit("\n"))
     out = ask(rows.withColumn("messages", F.array(_message("system", F.lit("Answer with JSON only: " + '{"verdict": "...", "contradictions": [{"passage": "...", "reason": "..."}]}')), _message("user", prompt))), client)
-    parsed = F.from_json(F.trim("response"), kind)
+    parsed = F.from_json(lenient_json(F.col("response")), kind)
     failed = F.from_json(F.lit('{"verdict": "ERROR", "contradictions": [{"passage": "", "reason": "no valid answer"}]}'), kind)
     return out.withColumn("result", F.when(parsed["verdict"].isNotNull(), parsed).otherwise(failed)).drop("messages", "response")
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import NGram, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from versight import lexicons as L
+from versight.functions.ranges import running
 from versight.functions.store import written
 from versight.operators import anchors as A, timeline, verify
 
@@ -47,13 +52,62 @@ class TermWeights(Estimator):
         return TermWeightsModel(table, table.count(), self.inputCol, self.outputCol)
 
 
-class TermWeightsModel(Model):
-    """Adds the weights as a sparse vector; terms that training has not seen are left out."""
+def write_bucketed(table: DataFrame, path: str, *, by: str, buckets: int) -> None:
+    """``table`` as Parquet below ``path``, hashed by ``by`` into files that Spark knows as buckets (see ``read_bucketed``)."""
+    name = f"versight_{uuid.uuid4().hex}"
+    table.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    table.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, *, by: str, buckets: int) -> DataFrame:
+    """What ``write_bucketed`` has written; a join on ``by`` with rows hashed alike doesn't shuffle it, a lookup reads its bucket only."""
+    name = f"versight_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame keeps its files and buckets
+    return found
+
+
+class _TermWeightsWriter(MLWriter):
+    def __init__(self, model: TermWeightsModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m = self.model
+        # about a million terms a bucket
+        kept = {"size": m.size, "inputCol": m.inputCol, "outputCol": m.outputCol, "buckets": 1 + m.size // (1 << 20)}
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={"termWeights": kept})
+        write_bucketed(m.table, f"{path}/vocabulary", by="term", buckets=kept["buckets"])
+
+
+class _TermWeightsReader(MLReader):
+    def load(self, path: str) -> TermWeightsModel:
+        told = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        kept = told["termWeights"]
+        table = read_bucketed(self.sparkSession, f"{path}/vocabulary", "term STRING, number INT, idf DOUBLE", by="term", buckets=kept["buckets"])
+        model = TermWeightsModel(table, kept["size"], kept["inputCol"], kept["outputCol"])
+        model._resetUid(told["uid"])
+        return model
+
+
+class TermWeightsModel(Model, MLWritable, MLReadable):
+    """Adds the weights as a sparse vector; terms that training has not seen are left out.
+
+    Saved with its vocabulary as a table in buckets of terms, never as one object.
+    """
 
     def __init__(self, table: DataFrame, size: int, inputCol: str, outputCol: str):
         super().__init__()
         self.table, self.size, self.inputCol, self.outputCol = table, max(1, size), inputCol, outputCol
 
+    def write(self) -> _TermWeightsWriter:
+        return _TermWeightsWriter(self)
+
+    @classmethod
+    def read(cls) -> _TermWeightsReader:
+        return _TermWeightsReader()
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows = dataset.withColumn("_row", F.monotonically_increasing_id())
         rows = written(rows, "rows")
@@ -62,9 +116,9 @@ class TermWeightsModel(Model):
         packed = weighted.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         size = self.size
 
-        @F.udf(VectorUDT())
+        @F.udf(VectorUDT(), useArrow=True)  # in Arrow batches
         def vector(indices, values):
-            return Vectors.sparse(size, indices or [], values or [])
+            return Vectors.sparse(size, [] if indices is None else indices, [] if values is None else values)
 
         packed = packed.select("_row", vector(F.transform("x", lambda e: e["number"]), F.transform("x", lambda e: e["w"] / F.col("norm"))).alias(self.outputCol))
         out = rows.join(packed, "_row", "left")
@@ -147,27 +201,46 @@ def out_of_fold(rows: DataFrame, model, *, stages: list | None = None) -> DataFr
     return out
 
 
+def quantiles(by: DataFrame, value: str, number: str, parts: int) -> list[float]:
+    """The ``parts`` + 1 evenly spaced quantiles of values that occur ``number`` times each, between neighbours by linear parts.
+
+    Places are counted over ranges; only the at most 2 * (parts + 1) rows that hold one are read.
+    """
+    placed = running(by.select(F.col(value).alias("_v"), F.col(number).alias("_m")), ["_v"], {"_end": F.col("_m")})
+    total = placed.agg(F.max("_end")).first()[0] or 0
+    if not total:
+        return []
+    exact = [(total - 1) * i / parts for i in range(parts + 1)]
+    wanted = sorted({int(x) + d for x in exact for d in (0, 1) if int(x) + d < total})
+    held = placed.where(F.exists(F.array(*(F.lit(w) for w in wanted)), lambda w: (w < F.col("_end")) & (w >= F.col("_end") - F.col("_m")))).select("_v", "_m", "_end").collect()
+    at = {w: r["_v"] for r in held for w in wanted if r["_end"] - r["_m"] <= w < r["_end"]}
+    return [at[int(x)] + (at[min(int(x) + 1, total - 1)] - at[int(x)]) * (x - int(x)) for x in exact]
+
+
 def tune_threshold(scored: DataFrame, *, least_recall: float | None = None) -> DataFrame:
     """One row (threshold, macro_f1): the best macro-F1 of ``score >= threshold``, the lowest on ties.
 
-    Candidates are the distinct scores, or 101 quantiles if there are more than 100.
+    Candidates are the distinct scores, or 101 quantiles if there are more than 100. Rows
+    are counted by the candidates that they reach, so what is ordered is at most 102 rows.
     """
-    by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    if by.count() > 100:
-        q = scored.agg(F.percentile("score", F.array(*(F.lit(i / 100) for i in range(101)))).alias("q")).select(F.explode("q").alias("score")).distinct()
-        by = by.unionByName(q.select("score", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
-        cand = q
-    else:
-        cand = by.select("score")
-    up = W.orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, 0)
-    whole = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    x = by.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumns({"tp": F.sum("p").over(up), "pp": F.sum("n").over(up)}).join(cand.distinct(), "score").crossJoin(F.broadcast(whole))
-    f1 = lambda tp, pp, ap: F.coalesce(F.try_divide(2 * tp, pp + ap), F.lit(0.0))
-    tn = (F.col("all_n") - F.col("all_p")) - (F.col("pp") - F.col("tp"))
-    macro = (f1(F.col("tp"), F.col("pp"), F.col("all_p")) + f1(tn, F.col("all_n") - F.col("pp"), F.col("all_n") - F.col("all_p"))) / 2
-    x = x.select("score", macro.alias("macro_f1"), F.coalesce(F.try_divide("tp", "all_p"), F.lit(0.0)).alias("recall"))
-    good = x if least_recall is None else x.where(F.col("recall") >= least_recall)
-    return good.orderBy(F.desc("macro_f1"), "score").limit(1).select(F.col("score").alias("threshold"), "macro_f1")
+    spark = scored.sparkSession
+    by = written(scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n")).where("score is not null"), "scores")
+    few = by.select("score").limit(101).collect()
+    cand = sorted({r.score for r in few} if len(few) <= 100 else set(quantiles(by, "score", "n", 100)))
+    if not cand:
+        return spark.createDataFrame([], "threshold double, macro_f1 double")
+    reached = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cand)), lambda c: c <= F.col("score")))
+    found = {r.k: (r.p, r.n) for r in by.groupBy(reached.alias("k")).agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}
+    all_p, all_n = (sum(x[i] for x in found.values()) for i in (0, 1))
+    f1 = lambda tp, pp, ap: 2 * tp / (pp + ap) if pp + ap else 0.0
+    best, tp, pp = None, 0, 0
+    for i in range(len(cand), 0, -1):
+        p, n = found.get(i, (0, 0))
+        tp, pp = tp + p, pp + n
+        macro = (f1(tp, pp, all_p) + f1((all_n - all_p) - (pp - tp), all_n - pp, all_n - all_p)) / 2
+        if (least_recall is None or (tp / all_p if all_p else 0.0) >= least_recall) and (best is None or macro >= best[1]):
+            best = cand[i - 1], macro
+    return spark.createDataFrame([best] if best else [], "threshold double, macro_f1 double")
 
 
 def importance(names: list[str], model) -> list[tuple[str, float]]:
@@ -176,8 +249,22 @@ def importance(names: list[str], model) -> list[tuple[str, float]]:
     return sorted(zip(names, (float(v) for v in values.toArray()), strict=True), key=lambda x: -abs(x[1]))
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save(artifact: dict, path: str) -> None:
+    """An artifact of ``train`` or ``train_meta`` below ``path``: its pipeline with all tables, its scores, and the rest as JSON."""
+    spark = SparkSession.active()
+    artifact["pipeline"].write().overwrite().save(f"{path}/pipeline")
+    artifact["scores"].write.mode("overwrite").parquet(f"{path}/scores")
+    told = json.dumps({k: v for k, v in artifact.items() if k not in ("pipeline", "scores")})
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/artifact")
+
+
+def load(path: str) -> dict:
+    """What ``save`` has written, in any later session."""
+    spark = SparkSession.active()
+    told = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/artifact").collect()))
+    if "importance" in told:
+        told["importance"] = [tuple(x) for x in told["importance"]]
+    return told | {"pipeline": PipelineModel.load(f"{path}/pipeline"), "scores": spark.read.parquet(f"{path}/scores")}
 
 
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
@@ -261,4 +348,4 @@ def train_meta(rows: DataFrame, text: dict, models: dict | None = None) -> dict:
     return made | {"system": "meta" if f1(made) > f1(text) else "supervised", "importance": importance([*META, *timeline.CONSTRAINTS], made["pipeline"].stages[-1])}
 
 
-__all__ = ["META", "TermWeights", "balanced", "compare", "features", "folds", "frame", "importance", "load", "meta_features", "meta_models", "meta_stages", "out_of_fold", "predict", "score_column", "text_models", "train", "train_meta", "tune_threshold"]
+__all__ = ["META", "TermWeights", "balanced", "compare", "features", "folds", "frame", "importance", "load", "meta_features", "meta_models", "meta_stages", "out_of_fold", "predict", "quantiles", "read_bucketed", "save", "score_column", "text_models", "train", "train_meta", "tune_threshold", "write_bucketed"]

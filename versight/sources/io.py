@@ -143,7 +143,7 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.from_json("value", f"map<string, array<struct<{struct}>>>").alias("m")).select(F.explode("m")).select(F.explode("value").alias("f")).select("f.*")
 
 
-def environment(names: dict[str, object], *, prefix: str = "NCV_", dotenv: str | None = ".env") -> dict[str, object]:
+def environment(names: dict[str, object], *, prefix: str, dotenv: str | None = ".env") -> dict[str, object]:
     """Settings by name: the environment's NAME, then with the prefix, then those of the dotenv file, then the default.
 
     Values take the type of the default; truth is 1, true, yes or on. Empty values count as not set.
