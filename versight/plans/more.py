@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import anchors as A, bm25, ingest, planning, rerank as rr, retrieval, timeline, traces, vectors, verify
+from versight.operators import anchors as A, bm25, ingest, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 
@@ -142,15 +142,63 @@ p AS (SELECT item_id, doc_id, {_SET} = len(cols) AS passes, {_SET}::DOUBLE AS bo
 SELECT item_id, doc_id, passes, bonus, round(0.75 * lexical + 0.5 * bonus, 4)::DOUBLE AS score FROM p""")
 def ret_25_store_score(spark, sf):
     """Filter, bonus and score of every item and document, without vectors."""
-    items = R.table(spark, sf, "benchmark").select("item_id", retrieval.query_words(F.col("text")).alias("q"), vectors.claim_events(F.col("text")).alias("cols"))
+    items = R.table(spark, sf, "benchmark").select("item_id", retrieval.query_words(F.col("text")).alias("words"), vectors.claim_events(F.col("text")).alias("cols"))
     docs = R._docs(spark, sf).select("doc_id", F.lower("text").alias("low"), *vectors.event_flags(F.col("text")))
     docs = docs.select("doc_id", "low", vectors.flag_map(list(_FLAG_COLUMNS)).alias("flags"))
-    pairs = R._every_pair(docs, items)
+    pairs = substrings.overlaps(docs, items, text_key="doc_id", query_key="item_id").join(docs.drop("low"), "doc_id").join(items.drop("words"), "item_id")
     bonus = vectors.set_count(F.col("cols"), F.col("flags"))
-    score = vectors.score(retrieval.overlap(F.col("q"), F.col("low")).cast("double"), F.lit(0.0), bonus)
+    score = vectors.score(F.col("n_hits").cast("double"), F.lit(0.0), bonus)
     return pairs.select("item_id", "doc_id", vectors.all_set(F.col("cols"), F.col("flags")).alias("passes"), bonus.alias("bonus"), F.round(score, 4).alias("score"))
 
 
+#: Words that stand for flags: a document holds those that are part of it, an item wants those that it names.
+_FLAGS = ("that", "with", "this", "from", "then", "when", "was", "were", "for", "and", "the", "not", "his", "her", "had", "but", "are", "you")
+
+
+def _named(text: str) -> str:
+    return f"list_filter({_quoted(_FLAGS)}, lambda w: contains(lower({text}), w))"
+
+
+def _flagged(spark, sf):
+    named = lambda: F.filter(T.literal_array(_FLAGS), lambda w: F.lower("text").contains(w))
+    items = R.table(spark, sf, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (F.col("item_id") % 5).cast("string")).alias("book_name"), named().alias("wanted"))
+    docs = R._docs(spark, sf).select("doc_id", "text", F.col("source").alias("book_name"), named().alias("held"))
+    return items, docs
+
+
+_PASSING = f"""i AS (SELECT item_id, text, 'src' || (item_id % 5) AS book, {_named('text')} AS wanted FROM benchmark),
+d AS (SELECT doc_id, text, source AS book, {_named('text')} AS held FROM documents),
+p AS (SELECT i.item_id, d.doc_id, i.text AS q, d.text AS t, len(i.wanted) AS n FROM i JOIN d USING (book) WHERE len(list_filter(i.wanted, lambda w: list_contains(d.held, w))) = len(i.wanted))"""
+
+
+@query(f"WITH {_PASSING} SELECT item_id, doc_id FROM p")
+def ret_23_flag_join(spark, sf):
+    """Every item with every document of its book that holds all flags the item wants, by the rarest of them."""
+    items, docs = _flagged(spark, sf)
+    pairs, claims, rows = vectors.flag_join(items, docs)
+    return pairs.join(claims.select("_claim", "item_id"), "_claim").join(rows.select("_row", "doc_id"), "_row").select("item_id", "doc_id")
+
+
+_HASHED = """{0} AS (SELECT id, bucket, count(*) AS n FROM (SELECT {1} AS id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 32 AS bucket FROM (SELECT {1}, unnest({2}) AS token FROM {3})) GROUP BY ALL),
+{0}n AS (SELECT id, sqrt(sum(n * n)) AS norm FROM {0} GROUP BY id)"""
+
+
+@query(rf"""WITH {_PASSING}, {_HASHED.format('eq', 'item_id', R.TOKENS.format('text'), 'benchmark')}, {_HASHED.format('ed', 'doc_id', R.TOKENS.format('text'), 'documents')},
+dot AS (SELECT p.item_id, p.doc_id, sum(eq.n * ed.n) AS dot FROM p JOIN eq ON eq.id = p.item_id JOIN ed ON ed.id = p.doc_id AND ed.bucket = eq.bucket GROUP BY ALL),
+s AS (SELECT p.item_id, p.t, round(0.75 * len(list_filter(string_split(trim(regexp_replace(lower(q), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND contains(lower(t), w))) + 0.25 * coalesce(dot.dot / (eqn.norm * edn.norm), 0) + 0.5 * n, 4) AS score
+FROM p LEFT JOIN dot USING (item_id, doc_id) LEFT JOIN eqn ON eqn.id = p.item_id LEFT JOIN edn ON edn.id = p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, t) AS rank FROM s) SELECT item_id, rank, md5(t) AS digest, score::DOUBLE AS score FROM r WHERE rank <= 60""")
+def ret_24_store_search(spark, sf):
+    """The search as a whole: flags, join, score of words, vectors and events, the 60 best of each item."""
+    items, docs = _flagged(spark, sf)
+    vector = lambda: T.hashed_embedding(F.col("text"), {})
+    none = F.expr("cast(array() as array<string>)")
+    claims = items.select(F.col("item_id").alias("story_id"), F.lit(1).alias("claim_id"), F.col("text").alias("claim_text"), "book_name", none.alias("characters"), F.col("wanted").alias("event_cols"), vector().alias("embedding"))
+    store = docs.select("book_name", F.col("text").alias("chunk_text"), F.map_from_arrays("held", F.transform("held", lambda w: F.lit(1))).alias("flags"), vector().alias("embedding"))
+    found = vectors.match(claims, store, digits=4).select(F.col("story_id").alias("item_id"), F.posexplode("claim_chunks").alias("pos", "x"))
+    return found.select("item_id", (F.col("pos") + 1).cast("long").alias("rank"), F.md5("x.chunk_text").alias("digest"), "x.score")
+
+
 # --- re-ranking -----------------------------------------------------------------------------
 
 _KEYS = ("then", "when", "from", "that")

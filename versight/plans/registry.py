@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import bm25, ingest, planning, retrieval, timeline, vectors, verify
+from versight.operators import bm25, ingest, planning, retrieval, substrings, timeline, vectors, verify
 from versight.plans import ablation
 
 QUERIES: dict = {}
@@ -246,10 +246,10 @@ def _every_pair(big: DataFrame, small: DataFrame) -> DataFrame:
 
 @query(r"""SELECT item_id, doc_id, len(list_filter(string_split(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND contains(lower(d.text), w)))::BIGINT AS n_hits FROM benchmark b, documents d""")
 def ret_07_keyword_overlap(spark, sf):
-    """Every benchmark item against every document; words and lower-cased texts are made once, before the pairs."""
-    items = table(spark, sf, "benchmark").select("item_id", retrieval.query_words(F.col("text")).alias("q"))
+    """Every benchmark item against every document; all items' words are sought by one pass over a text."""
+    items = table(spark, sf, "benchmark").select("item_id", retrieval.query_words(F.col("text")).alias("words"))
     docs = _docs(spark, sf).select("doc_id", F.lower("text").alias("low"))
-    return _every_pair(docs, items).select("item_id", "doc_id", retrieval.overlap(F.col("q"), F.col("low")).cast("long").alias("n_hits"))
+    return substrings.overlaps(docs, items, text_key="doc_id", query_key="item_id")
 
 
 _COS = "CASE WHEN sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) = 0 THEN 0 ELSE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))) END"
