@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import anchors as A, bm25, ingest, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
+from versight.operators import anchors as A, bm25, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 
@@ -35,6 +35,22 @@ def lex_10_ascii_features(spark, sf):
     return rows.select("doc_id", ingest.density_features(F.col("text"), R.NAMES, R.EVENTS, R.MARKERS).alias("f")).select("doc_id", "f.*")
 
 
+#: The default lexicons and the stand-ins, as one table.
+_KIND_TABLES = {"character": {n: (n,) for n in (*L.CHARACTERS, *R.NAMES)}, "event": L.EVENTS | R.EVENTS, "temporal": {t: (t,) for t in dict.fromkeys((*L.TEMPORAL, *R.MARKERS))}}
+_FORMS = [(kind, entry, form.lower()) for kind, entries in _KIND_TABLES.items() for entry, forms in entries.items() for form in forms]
+_ROWS = ", ".join(f"('{k}', '{e}', '{f}')" for k, e, f in _FORMS if " " not in f and "-" not in f)
+_LONG = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, '{e}' AS entry, len(regexp_extract_all(lower(text), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){f}(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')) AS n FROM documents" for k, e, f in _FORMS if " " in f or "-" in f)
+
+
+@query(rf"""WITH lx(kind, entry, form) AS (VALUES {_ROWS}), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS form FROM documents),
+c AS (SELECT doc_id, kind, entry, count(*) AS n FROM w JOIN lx USING (form) GROUP BY ALL UNION ALL {_LONG})
+SELECT doc_id, kind, entry, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(n) > 0""")
+def lex_06_lexicon_table(spark, sf):
+    """Phrases of every entry of all lexicons, met as a table."""
+    found = lexicon.phrase_counts(R._docs(spark, sf), lexicon.table(spark, _KIND_TABLES), key="doc_id")
+    return found.groupBy("doc_id", "kind", "entry").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT doc_id, " + ", ".join(f"{_any('lower(text)', forms)}::INT AS event_{k}" for k, forms in L.EVENT_FORMS.items()) + " FROM documents")
 def lex_12_event_flags(spark, sf):
     return R._docs(spark, sf).select("doc_id", *vectors.event_flags(F.col("text")))
