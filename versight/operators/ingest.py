@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.functions.store import written
+from versight.functions.ranges import running
 
 HEADING = r"(?i)^\s*chapter\s+([0-9]+|[ivxlcdm]+)\.?\s*(?:[-:.]\s*)?(.*\S)?\s*$"
 START = r"(?i)\*\*\*\s*START OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*\*\*"
@@ -24,6 +24,24 @@ def strip_boilerplate(text: Column) -> Column:
     return F.trim(F.when(tail > 0, F.left(cut, tail - 1)).otherwise(cut), F.lit(" \t\r\n\x0b\x0c"))
 
 
+def heading_title(head: Column) -> tuple[Column, Column]:
+    """(what a heading line says behind its number, whether that is no title)."""
+    trailing = F.trim(F.regexp_extract(head, HEADING, 2), F.lit(" .:-"))
+    return trailing, (trailing == "") | trailing.rlike(HEADING)
+
+
+def titled(line: Column) -> Column:
+    """Whether a line looks like a title: 1 to 12 words, at most 100 characters, mostly capitals or each word with one."""
+    letters = F.regexp_replace(line, r"[^\p{L}]", "")
+    return (F.size(F.regexp_extract_all(line, F.lit("[A-Za-z0-9']+"), F.lit(0))).between(1, 12)) & (F.length(line) <= 100) & (letters != "") & ((F.regexp_count(letters, F.lit(r"\p{Lu}")) * 4 >= F.length(letters) * 3) | (F.initcap(line) == line))
+
+
+def ids(book: Column, chapter: Column, chunk: Column) -> tuple[Column, Column]:
+    """(chapter_id, chunk_id) of a chapter's number and a chunk's from 0."""
+    chapter_id = F.format_string("%s:ch%04d", T.slug(book.cast("string")), chapter.cast("int"))
+    return chapter_id, F.concat(chapter_id, F.format_string(":chunk%04d", (chunk + 1).cast("int")))
+
+
 def chapters(books: DataFrame, *, key: str = "book_name", text_col: str = "text") -> DataFrame:
     """(key, chapter_index, chapter_title, text): sections that begin at heading lines.
 
@@ -41,12 +59,9 @@ def chapters(books: DataFrame, *, key: str = "book_name", text_col: str = "text"
         F.min(F.when(~F.col("h") & (F.trim("line") != ""), F.struct("p", "line"))).alias("next"),
         F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("p", "line")))).alias("ls"),
     )
-    trailing = F.trim(F.regexp_extract("head", HEADING, 2), F.lit(" .:-"))
+    trailing, generic = heading_title(F.col("head"))
     candidate = F.trim(F.col("next.line"))
-    letters = F.regexp_replace(candidate, r"[^\p{L}]", "")
-    titled = (F.size(F.regexp_extract_all(candidate, F.lit("[A-Za-z0-9']+"), F.lit(0))).between(1, 12)) & (F.length(candidate) <= 100) & (letters != "") & ((F.regexp_count(letters, F.lit(r"\p{Lu}")) * 4 >= F.length(letters) * 3) | (F.initcap(candidate) == candidate))
-    generic = (trailing == "") | trailing.rlike(HEADING)
-    use = F.coalesce(generic & titled, F.lit(False))
+    use = F.coalesce(generic & titled(candidate), F.lit(False))
     kept = F.filter("ls", lambda x: ~use | (x["p"] > F.col("next.p")))
     made = parts.select("_k", "c", F.when(F.col("head").isNull(), F.lit(None)).when(use, candidate).when(trailing != "", trailing).otherwise(F.col("head")).alias("chapter_title"), F.trim(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), F.lit(" \t\r\n\x0b\x0c")).alias("text"))
     made = made.where("text != ''")
@@ -77,24 +92,23 @@ def build_chunks(chapters_df: DataFrame, *, book: str = "book_name", chapter: st
     """
     cut = chapters_df.select(F.col(book).alias("book_name"), F.col(chapter).alias("chapter_index"), *(["chapter_title"] if "chapter_title" in chapters_df.columns else [F.lit(None).cast("string").alias("chapter_title")]), chunk_array(F.col(text_col), size, overlap).alias("c"))
     chunks = cut.select("book_name", "chapter_index", "chapter_title", F.posexplode("c").alias("i", "text"))
-    chapter_id = F.format_string("%s:ch%04d", T.slug(F.col("book_name").cast("string")), F.col("chapter_index").cast("int"))
-    out = chunks.select("book_name", chapter_id.alias("chapter_id"), "chapter_title", "chapter_index", (F.col("i") + 1).alias("chunk_index_in_chapter"), F.concat(chapter_id, F.format_string(":chunk%04d", F.col("i") + 1)).alias("chunk_id"), "text")
+    chapter_id, chunk_id = ids(F.col("book_name"), F.col("chapter_index"), F.col("i"))
+    out = chunks.select("book_name", chapter_id.alias("chapter_id"), "chapter_title", "chapter_index", (F.col("i") + 1).alias("chunk_index_in_chapter"), chunk_id.alias("chunk_id"), "text")
     if not global_index:
         return out.drop("chapter_index")
-    sizes = cut.groupBy("book_name", "chapter_index").agg(F.sum(F.size("c")).alias("n"))
-    dealt = written(sizes.repartitionByRange("book_name", "chapter_index").withColumn("part", F.spark_partition_id()), "chapters")
-    parts = dealt.groupBy("part").agg(F.sum("n").alias("total"))
-    starts = parts.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("start"))
-    within = F.sum("n").over(W.partitionBy("part").orderBy("book_name", "chapter_index")) - F.col("n")
-    offsets = dealt.withColumn("within", within).join(F.broadcast(starts), "part").select("book_name", "chapter_index", (F.col("start") + F.col("within")).alias("before"))
+    sizes = chapters_df.select(F.col(book).alias("book_name"), F.col(chapter).alias("chapter_index"), _chunk_count(F.col(text_col), size, overlap).alias("n")).groupBy("book_name", "chapter_index").agg(F.sum("n").alias("n"))
+    offsets = running(sizes, ["book_name", "chapter_index"], {"up_to": F.col("n")}).select("book_name", "chapter_index", (F.col("up_to") - F.col("n")).alias("before"))
     return out.join(offsets, ["book_name", "chapter_index"]).withColumn("chunk_index_global", F.col("before") + F.col("chunk_index_in_chapter")).drop("before", "chapter_index")
 
 
+def _chunk_count(text: Column, size: int, overlap: int) -> Column:
+    n = F.size(T.words(F.coalesce(text, F.lit(""))))
+    return T.let(n, lambda n: F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(size - overlap)) + 1))
+
+
 def chunk_counts(books: DataFrame, *, book: str = "book_name", text_col: str = "text", size: int = 400, overlap: int = 100) -> DataFrame:
     """(book, n_chunks): counted from the numbers of words; no chunk is made."""
-    n = F.size(T.words(F.coalesce(F.col(text_col), F.lit(""))))
-    chunks = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(size - overlap)) + 1)
-    return books.groupBy(book).agg(F.sum(chunks).cast("long").alias("n_chunks")).where("n_chunks > 0")
+    return books.groupBy(book).agg(F.sum(_chunk_count(F.col(text_col), size, overlap)).cast("long").alias("n_chunks")).where("n_chunks > 0")
 
 
 def mentions(text: Column, names=L.CHARACTERS) -> Column:

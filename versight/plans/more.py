@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from versight import lexicons as L
 from versight.functions import text as T
-from versight.operators import anchors as A, bm25, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
+from versight.functions.store import scratch
+from versight.operators import anchors as A, bm25, book_ranges, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 
@@ -72,6 +73,16 @@ def lex_17_surface(spark, sf):
     return R._docs(spark, sf).select("doc_id", F.coalesce(F.get(hits, F.lit(0)), F.lit("")).alias("hit"), timeline.surface_text(F.col("text"), F.lit("that")).alias("surface"))
 
 
+@query(R.ORACLE_SQL["ing_05_chunks"].replace("length(text)::BIGINT AS n_chars, ", ""))
+def ing_02_book_ranges(spark, sf):
+    """All documents as chapters of text files that are read again by byte ranges: headings, titles and chunks, no book or chapter in one task."""
+    head = F.concat(F.lit("CHAPTER "), "doc_id", F.lit(". Document "), "doc_id", F.lit("\n"))
+    folder = scratch(spark, "books")
+    R._docs(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.concat(head, "text").alias("value")).write.text(folder)
+    found = book_ranges.book_chunks(spark, folder, global_index=False)
+    return found.select(F.regexp_extract("chapter_title", r"^Document (\d+)$", 1).cast("long").alias("doc_id"), (F.col("chunk_index_in_chapter") - 1).cast("long").alias("chunk_index"), F.md5("text").alias("digest"))
+
+
 # --- anchors --------------------------------------------------------------------------------
 
 _TERMS = R.NAMES + R.MARKERS
