@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from versight import lexicons as L
 from versight.functions import text as T
+from versight.functions.ranges import running
 from versight.functions.store import scratch
-from versight.operators import anchors as A, bm25, book_ranges, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
+from versight.operators import anchors as A, bm25, bm25_store, book_ranges, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 
@@ -159,6 +160,20 @@ def ret_21_legacy_retrieve(spark, sf):
     return bm25.retrieve(q, R.annotated(spark, sf), k=5).select("query", F.col("chunk_index_global").cast("long").alias("chunk_index_global"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(R.ORACLE_SQL["ret_05_bm25_topk"])
+def ret_05_kept_index(spark, sf):
+    """The search of ``ret_05_bm25_topk`` in an index that was appended to in parts, and from which chunks that don't belong were deleted again."""
+    chunks = R._chunked(spark, sf).select("doc_id", (F.col("doc_id") * 10000 + F.col("i")).alias("doc"), "text")
+    strangers = chunks.where("doc_id % 5 = 0").withColumn("doc", -F.col("doc") - 1)
+    path = scratch(spark, "bm25")
+    bm25_store.create(spark, path)
+    for part in (chunks.where("doc_id % 3 = 0").unionByName(strangers), chunks.where("doc_id % 3 <> 0")):
+        bm25_store.append(part, path, key="doc")
+    bm25_store.delete(strangers.select("doc"), path)
+    scored = bm25_store.search(spark, path, bm25.query_tokens(R.table(spark, sf, "benchmark"), key="item_id"))
+    return bm25.top_k(scored, 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _FLAG_COLUMNS = tuple(f"event_{k}" for k in _LEMMAS)
 _SET = "len(list_filter(cols, lambda e: list_contains(flags, e)))"
 
@@ -482,11 +497,9 @@ def ver_10_claim_gate(spark, sf):
 @query("""WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM labels)
 SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id) AS place FROM i""")
 def evl_06_id_order(spark, sf):
-    """Ids in their order: integers by value, then text. A report's order, so one task numbers them."""
-    from pyspark.sql import Window as W
-
+    """Ids in their order: integers by value, then text; numbered over ranges."""
     ids = R.table(spark, sf, "labels").select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("id"))
-    return ids.select("id", F.row_number().over(W.orderBy(*verify.id_order("id"))).cast("long").alias("place"))
+    return running(ids, verify.id_order("id"), {"place": F.lit(1)})
 
 
 @query("SELECT conv_id, turn, (CASE turn % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 ELSE 0.4 END)::DOUBLE AS prior FROM conversations")
