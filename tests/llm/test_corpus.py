@@ -82,6 +82,23 @@ def test_near_duplicates_of_large_groups(spark, edits, full_list, with_base):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("full_list", [8, 48])
+def test_pairs_that_one_edit_cannot_link_do_not_meet(spark, monkeypatch, full_list):
+    """800 variants by one-word edits: as brute force, and few candidates of the closing join."""
+    rng, rows = random.Random(1), []
+    for i in range(800):
+        w = [f"w{k}" for k in range(100)]
+        for _ in range(rng.choice((2, 3, 4))):
+            w[rng.randrange(100)] = f"y{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    closing, original = [], ngram_jaccard._apart_pairs
+    monkeypatch.setattr(ngram_jaccard, "_apart_pairs", lambda *x: closing.append(original(*x)) or closing[-1])
+    monkeypatch.setattr(ngram_jaccard, "discard", lambda *x: None)
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), full_list=full_list)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
+    assert sum(x.count() for x in closing) < 4 * len(rows)
+
+
 def test_near_duplicates_ignore_clashing_columns(spark):
     rows = [(1, "a b c d e f", 1, "x"), (2, "A b c d e f", 2, "y"), (2, "A b c d e f", 2, "y"), (3, None, 0, None)]
     got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id long, n string"))

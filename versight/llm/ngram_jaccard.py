@@ -25,9 +25,13 @@ their component. What is not connected after these rounds is joined on *differen
    counted off twice. If the sum alone proves the link, A also links to the class nearest
    to the core, so one star covers all such pairs. Otherwise the differences need a number
    of common shingles, and prefix filtering with lengths and positions applies to the
-   differences, rare ones first. In a group of near copies the frequent shingles are
-   in the core, and the lists of the differences hold only who shares an edit. So pairs
-   don't grow with the square of the group, and no link between components is lost.
+   differences, rare ones first. How many are needed depends on both sides: a posting with
+   ``slack`` differences from it on can only be the first common one of a pair whose f add up to
+   2 * (100 + percent) * slack at most. So each posting is keyed by its shingle, the band of its own
+   f and each band of partners that its slack allows, and pairs that one shared edit cannot
+   link never meet. What meets is filtered by parities and tested once. Where the variants of a
+   text come from few words, true links grow with the square of their number, and so does
+   what meets, with a small factor (see the README); no link between components is lost.
 """
 
 from __future__ import annotations
@@ -258,16 +262,42 @@ def _open(lists: DataFrame, label: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def _across(lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The lesser part and all of each list, so that their pairs are those across components and some within the lesser part."""
-    sizes = lists.groupBy(*keys, "c").agg(F.count("*").alias("size"))
-    main = written(sizes.groupBy(*keys).agg(F.max_by("c", F.struct("size", "c")).alias("main")), "main")
-    known = lists.join(main, keys)
-    return known.where("c != main").drop("main"), known.drop("main")
+def _apart(lists: DataFrame) -> DataFrame:
+    """``lists`` with main: whether a class is of the list's largest component."""
+    sizes = lists.groupBy("g", "s", "c").agg(F.count("*").alias("size"))
+    main = written(sizes.groupBy("g", "s").agg(F.max_by("c", F.struct("size", "c")).alias("main")), "main")
+    known = written(lists.join(main, ["g", "s"]).withColumn("main", F.col("c") == F.col("main")), "apart")
+    discard(main)
+    return known
+
+
+def _band(f, unit: int):
+    """0 for sums that prove links alone, then powers of two of ``unit``."""
+    return F.when(f <= 0, 0).otherwise(1 + F.floor(F.log2(F.greatest(f / unit, F.lit(1.0))))).cast("int")
+
+
+def _apart_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of classes of unlike components whose differences may have enough in common.
+
+    Of a pair, the side with the larger f (then v) is ``big``. Their first common difference
+    has places that leave both enough slack, which bounds the other's f; both sides are
+    keyed by the bands of both f that are left, so lists only meet where the bounds allow. Classes of a
+    list's largest component don't meet each other.
+    """
+    unit = 2 * (100 + percent)
+    cap = unit * (F.col("m") - F.col("pos")) - F.col("f")
+    own = _band(F.col("f"), unit)
+    posts = lists.select("g", "s", "v", "n", "f", "c", "main", (F.col("m") - F.col("pos")).alias("slack"), cap.alias("cap"), own.alias("own"), "least")
+    large = posts.where("cap >= least").withColumn("other", F.explode(F.sequence(F.lit(0), F.least(_band(F.col("cap"), unit), F.col("own"))))).select("g", "s", F.col("own").alias("bl"), F.col("other").alias("bs"), "v", "n", "f", "c", "main", "slack")
+    small = posts.where("cap >= f").withColumn("other", F.explode(F.sequence("own", _band(F.col("cap"), unit)))).select("g", "s", F.col("other").alias("bl"), F.col("own").alias("bs"), "v", "n", "f", "c", "main", "slack")
+    keys = ["g", "s", "bl", "bs"]
+    fits = F.expr(f"c1 != c2 and (f2 < f1 or (f2 = f1 and v2 < v1)) and f1 + f2 <= {unit} * least(slack1, slack2) and least(n1, n2) * 100 >= greatest(n1, n2) * {percent}")
+    parts = [_side(x, 1, keys).join(_side(y, 2, keys), keys).where(fits) for x, y in ((large.where("not main"), small), (large.where("main"), small.where("not main")))]
+    return parts[0].unionByName(parts[1]).select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
 
 
 def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For the open ``lists``: links (u, v) that sizes alone prove, and postings (g, s, v, n, f, m, pos) of the differences.
+    """For the open ``lists``: links (u, v) that sizes alone prove, and postings (g, s, v, n, f, least, m, pos) of the differences.
 
     f is (100 + percent) * size of the difference - (100 - percent) * n: sets link if and
     only if 2 * (100 + percent) * (number of common differences) >= the sum of their f.
@@ -294,7 +324,7 @@ def _differences(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     own = own.groupBy("g", "v", "n", "f", "least").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o")).withColumn("m", F.size("o"))
     cut = F.col("m") - F.greatest(F.lit(1), F.ceil((F.col("f") + F.col("least")) / (2 * big)).cast("int")) + 1
     own = own.withColumn("cut", cut).where("cut > 0")
-    out = written(own.select("g", "v", "n", "f", "m", F.posexplode(F.slice("o", 1, F.col("cut"))).alias("pos", "x")).select("g", "x.s", "v", "n", "f", "m", "pos"), "difflists")
+    out = written(own.select("g", "v", "n", "f", "least", "m", F.posexplode(F.slice("o", 1, F.col("cut"))).alias("pos", "x")).select("g", "x.s", "v", "n", "f", "least", "m", "pos"), "difflists")
     discard(member, number, core, apart, near, common)
     return star, out
 
@@ -335,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     label = components(_links(tested))
     discard(tested)
     if not hot.isEmpty():
-        label = _connect_hot(written(_sets_of(rows, hot, k).join(hot, "v", "left_semi"), "sets"), label, percent, leaders, full_list)
+        label = _connect_hot(written(_sets_of(rows, hot, k).join(hot, "v", "left_semi"), "sets"), classes, label, percent, leaders, full_list)
     discard(hot)
     named = written(cut.select("_id", "v", "n").join(label.toDF("v", "root"), "v", "left").select("_id", "n", F.coalesce("root", "v").alias("c")), "named")
     least = written(named.where("n > 0").groupBy("c").agg(F.min("_id").alias("least")), "least")
@@ -343,7 +373,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return named.join(least, "c", "left").select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _connect_hot(sets: DataFrame, label: DataFrame, percent: int, leaders: int, full_list: int) -> DataFrame:
+def _connect_hot(sets: DataFrame, classes: DataFrame, label: DataFrame, percent: int, leaders: int, full_list: int) -> DataFrame:
     """``label`` with all links between the classes of ``sets``."""
     tested: list[DataFrame] = []
 
@@ -379,7 +409,7 @@ def _connect_hot(sets: DataFrame, label: DataFrame, percent: int, leaders: int,
         label = connect(_lead(now, keys, F.struct("f", F.xxhash64("v", "s")), fits, leaders, 2), label)
         discard(now)
         now = _open(lists, label, keys)
-    lesser, whole = _across(now, keys)
-    label = connect(_pairs(lesser, whole, fits & F.expr("c1 != c2"), keys), label)
-    discard(now, lists, sets, *tested)
+    apart = _apart(now)
+    label = connect(_suffix_filter(_apart_pairs(apart, percent), classes, percent), label)
+    discard(now, apart, lists, sets, *tested)
     return label
