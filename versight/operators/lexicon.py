@@ -2,8 +2,9 @@
 
 A text is folded and cut into pieces: runs of word characters, and single other characters.
 A whole phrase is a run of pieces; where it begins or ends with a word, the pieces' edges are the
-word's. Hashes of all runs of the lexicon's lengths meet a bitmap of fixed size first, and what
-passes meets the lexicon in a join. The plan has the same size for every lexicon.
+word's. Each piece's hash meets a bitmap of the phrases' first pieces, of fixed size. Where it passes, the
+runs of the lexicon's lengths meet a bitmap of whole phrases, and what passes that meets the lexicon in a join.
+The plan has the same size for every lexicon.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ def _unlike() -> tuple[str, str]:
 
 def folded(text: Column) -> Column:
     """Lower case of each character's upper case, as patterns without regard to case compare."""
-    return F.lower(F.translate(text, *_unlike()))
+    unlike, like = _unlike()
+    return F.lower(F.when(text.rlike(f"[{unlike}]"), F.translate(text, unlike, like)).otherwise(text))
 
 
 def pieces(text: Column) -> Column:
@@ -39,23 +41,27 @@ def pieces(text: Column) -> Column:
 
 
 def prepared(lexicon: DataFrame) -> DataFrame:
-    """(entry, phrase and other columns, h, k, first, last, again): hash and number of a phrase's pieces, whether its ends aren't words, and whether it can overlap itself."""
+    """(phrase and other columns, h, f, k, first, last, again): hashes of a phrase and its first piece, their number, whether its ends aren't words, and whether it can overlap itself."""
     p = lexicon.where("phrase != ''").withColumn("_p", pieces(F.col("phrase")))
     p = p.withColumn("k", F.size("_p"))
     border = F.exists(F.when(F.col("k") > 1, F.sequence(F.lit(1), F.col("k") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda b: F.slice("_p", 1, b) == F.slice("_p", F.col("k") - b + 1, b))
     word = lambda c: c.rlike(r"(?U)\A\w")
-    return p.select(*lexicon.columns, F.xxhash64("_p").alias("h"), "k", (~word(F.element_at("_p", 1))).alias("first"), (~word(F.element_at("_p", -1))).alias("last"), border.alias("again"))
+    return p.select(*lexicon.columns, F.xxhash64("_p").alias("h"), F.xxhash64(F.element_at("_p", 1)).alias("f"), "k", (~word(F.element_at("_p", 1))).alias("first"), (~word(F.element_at("_p", -1))).alias("last"), border.alias("again"))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
+def _bitmap(hashes: DataFrame, h: str) -> Column:
     """The literal array of longs that has the low bits of the hashes."""
     words = dict.fromkeys(range(BITMAP // 64), 0)
-    at = F.col("h").bitwiseAND(BITMAP - 1)
+    at = F.col(h).bitwiseAND(BITMAP - 1)
     for r in hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("m")).collect():
         words[r.w] = r.m
     return F.split(F.lit(",".join(map(str, words.values()))), ",").cast("array<long>")
 
 
+def _in(bits: Column, h: Column) -> Column:
+    return F.call_function("getbit", F.get(bits, F.shiftright(h.bitwiseAND(BITMAP - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+
 def phrase_counts(texts: DataFrame, lexicon: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """(key, lexicon's columns, n) of the phrases that a text holds as whole phrases, without regard to case, left to right without overlaps.
 
@@ -64,7 +70,7 @@ def phrase_counts(texts: DataFrame, lexicon: DataFrame, *, key: str, text_col: s
     """
     known = prepared(lexicon)
     told = known.agg(F.array_sort(F.collect_set("k")).alias("ks"), F.coalesce(F.max("first"), F.lit(False)).alias("first"), F.coalesce(F.max("last"), F.lit(False)).alias("last")).first()
-    edges, bits = told["first"] or told["last"], _bitmap(known.select("h").distinct())
+    edges, bits, firsts = told["first"] or told["last"], _bitmap(known, "h"), _bitmap(known, "f")
     lengths = F.array(*(F.lit(k) for k in told["ks"])) if told["ks"] else F.expr("cast(array() as array<int>)")
     cut = texts.select(F.col(key).alias("_key"), pieces(F.col(text_col)).alias("p"))
     if edges:  # whether the pieces before and behind are words
@@ -72,9 +78,9 @@ def phrase_counts(texts: DataFrame, lexicon: DataFrame, *, key: str, text_col: s
         beside = lambda i, k: [F.coalesce(F.get("w", i - 2), F.lit(False)).alias("before"), F.coalesce(F.get("w", i + k - 1), F.lit(False)).alias("behind")]
     else:
         beside = lambda i, k: []
-    starts = lambda k: F.when(F.size("p") >= k, F.sequence(F.lit(1), F.size("p") - k + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    runs = F.flatten(F.transform(lengths, lambda k: F.transform(starts(k), lambda i: F.struct(F.xxhash64(F.slice("p", i, k)).alias("h"), i.alias("i"), *beside(i, k)))))
-    held = F.filter(runs, lambda g: F.call_function("getbit", F.get(bits, F.shiftright(g["h"].bitwiseAND(BITMAP - 1), 6).cast("int")), g["h"].bitwiseAND(63).cast("int")) == 1)
+    starts = F.filter(F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"))).otherwise(F.expr("cast(array() as array<int>)")), lambda i: _in(firsts, F.xxhash64(F.get("p", i - 1))))
+    runs = lambda i: F.transform(F.filter(lengths, lambda k: i + k - 1 <= F.size("p")), lambda k: F.struct(F.xxhash64(F.slice("p", i, k)).alias("h"), i.alias("i"), *beside(i, k)))
+    held = F.filter(F.flatten(F.transform(starts, runs)), lambda g: _in(bits, g["h"]))
     found = cut.select("_key", F.inline(held))
     phrases = known.select("h", "k", "first", "last", "again").distinct()
     met = found.join(phrases, "h")
@@ -85,7 +91,7 @@ def phrase_counts(texts: DataFrame, lexicon: DataFrame, *, key: str, text_col: s
     step = lambda acc, i: F.when(i >= acc["end"], F.struct((i + F.col("k")).alias("end"), (acc["n"] + 1).alias("n"))).otherwise(acc)
     apart = F.aggregate("at", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), step, lambda acc: acc["n"])
     each = each.select("_key", "h", F.when(F.size("at") > 0, apart).otherwise(F.col("n")).alias("n"))
-    return each.join(known.drop("k", "first", "last", "again"), "h").select(F.col("_key").alias(key), *lexicon.columns, "n")
+    return each.join(known.drop("f", "k", "first", "last", "again"), "h").select(F.col("_key").alias(key), *lexicon.columns, "n")
 
 
 def table(spark, kinds: dict[str, dict[str, tuple[str, ...]]]) -> DataFrame:
