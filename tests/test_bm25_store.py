@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from versight.functions import manifest
 from versight.operators import bm25, bm25_store as store
 
 
@@ -40,11 +41,11 @@ def test_append_delete_and_compact_equal_a_new_index(spark, docs, tmp_path):
     store.append(again, path, key="key")
     now = docs.where("key % 5 <> 0").union(again)
     assert found(spark, path) == built(now, spark)
-    version = store.manifest(spark, path)["version"]
+    version = manifest.read(spark, path)["version"]
     store.delete(again.select(F.col("key").alias("doc")), path)
     assert found(spark, path, version=version) == built(now, spark)
     store.compact(spark, path)
-    told = store.manifest(spark, path)
+    told = manifest.read(spark, path)
     assert len(told["segments"]) == 1 and told["deletes"] == [] and found(spark, path) == built(docs.where("key % 5 <> 0"), spark)
     n = docs.where("key % 5 <> 0")
     assert store.statistics(told)[0] == n.count()
@@ -55,17 +56,17 @@ def test_append_delete_and_compact_equal_a_new_index(spark, docs, tmp_path):
 def test_two_writers(spark, docs, tmp_path):
     path = f"file://{tmp_path}/i"
     store.create(spark, path)
-    told = store.manifest(spark, path)
+    told = manifest.read(spark, path)
     store.append(docs, path, key="key")
     with pytest.raises(Exception, match="exist"):
-        store._commit(spark, path, told | {"version": 1})
+        manifest.commit(spark, path, told | {"version": 1})
 
 
 def test_only_the_tokens_buckets_are_read(spark, docs, tmp_path):
     path = f"file://{tmp_path}/i"
     store.create(spark, path, buckets=32)
     store.append(docs, path, key="key")
-    told, t = store.manifest(spark, path), tokens(spark).where("token = 'alpha'")
+    told, t = manifest.read(spark, path), tokens(spark).where("token = 'alpha'")
     rows = store.postings(spark, path, t, told)
     files = {r[0] for r in rows.select(F.col("_metadata.file_path")).distinct().collect()}
     assert len(files) == 1

@@ -86,18 +86,23 @@ def keyed(rows: DataFrame, *, provider: str, model: str, temperature: float = 0.
 def cached_ask(rows: DataFrame, client, cache_path: str, *, provider: str, model: str, temperature: float = 0.0) -> DataFrame:
     """Adds ``response``: from the cache where it has the key, else from the client, whose answers are appended to it.
 
-    The cache is a folder of JSON lines (key, provider, model, temperature, messages, output);
-    of repeated keys one answer is used. Equal requests are asked once. Failures aren't kept.
+    The cache is an ``answer_store``, of which the keys' buckets are read, or else a folder of JSON lines (key,
+    provider, model, temperature, messages, output), which is read as a whole; of repeated
+    keys one answer is used. Equal requests are asked once. Failures aren't kept.
     """
-    from versight.sources import io
+    from versight.sources import answer_store, io
 
     spark = rows.sparkSession
     rows = keyed(rows, provider=provider, model=model, temperature=temperature)
-    known = io.read_cache(spark, cache_path).select("key", F.col("output").alias("response")).dropDuplicates(["key"]) if io.exists(spark, cache_path) else spark.createDataFrame([], "key string, response string")
+    kept = answer_store.exists(spark, cache_path)
+    known = answer_store.get(rows, cache_path).withColumnRenamed("output", "response") if kept else io.read_cache(spark, cache_path).select("key", F.col("output").alias("response")).dropDuplicates(["key"]) if io.exists(spark, cache_path) else spark.createDataFrame([], "key string, response string")
     known = written(known, "cache")
     fresh = rows.join(known.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "provider", "model", "temperature", "messages")
     answers = written(ask(fresh, client).where("response is not null"), "answers")
-    io.append_cache(answers, cache_path)
+    if kept:
+        answer_store.put(answers.withColumnRenamed("response", "output"), cache_path)
+    else:
+        io.append_cache(answers, cache_path)
     return rows.join(known.unionByName(answers.select("key", "response")), "key", "left").drop("key", "provider", "model", "temperature")
 
 

@@ -1,19 +1,17 @@
 """A BM25 index that is kept: postings on disk in segments and buckets of tokens, with appends, deletes and merged statistics.
 
 ``path`` holds ``postings/seg=<n>/bucket=<b>`` (doc, len, token, tf; sorted by token), ``docs/seg=<n>`` (doc, len),
-``deletes/seg=<n>`` (doc), and a manifest for each version, a small JSON file that names the segments and deletes which
-count, with their numbers of documents and tokens. A version is written under a name that must not exist yet, so of two
-writers at a time one fails and nothing is lost. Segments are never changed; a delete hits what was appended before it.
+``deletes/seg=<n>`` (doc), and a manifest for each version (see ``functions.manifest``) that names the segments and deletes
+which count, with their numbers of documents and tokens. A delete hits what was appended before it.
 Statistics of the corpus come from the manifest alone; document frequencies from the postings that a query
 reads, which are those of its tokens' buckets.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from versight.functions import manifest as versions
 from versight.functions.store import written
 from versight.operators import bm25
 
@@ -21,33 +19,8 @@ from versight.operators import bm25
 FILE_POSTINGS = 1 << 22
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, at = _fs(spark, f"{path}/manifest")
-    return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
-
-
-def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
-    """What counts in a version (the latest): buckets, segments and deletes, each with its numbers."""
-    version = _versions(spark, path)[-1] if version is None else version
-    return json.loads(spark.read.text(f"{path}/manifest/{version}", wholetext=True).first()[0])
-
-
-def _commit(spark: SparkSession, path: str, told: dict) -> None:
-    fs, at = _fs(spark, f"{path}/manifest/{told['version']}")
-    out = fs.create(at, False)  # fails where another writer was first
-    try:
-        out.write(bytearray(json.dumps(told).encode()))
-    finally:
-        out.close()
-
-
 def create(spark: SparkSession, path: str, *, buckets: int = 64) -> None:
-    _commit(spark, path, {"version": 0, "next": 1, "buckets": buckets, "segments": [], "deletes": []})
+    versions.commit(spark, path, {"version": 0, "next": 1, "buckets": buckets, "segments": [], "deletes": []})
 
 
 def _bucket(told: dict):
@@ -68,10 +41,10 @@ def _write_segment(postings: DataFrame, docs: DataFrame, path: str, told: dict,
 def append(docs: DataFrame, path: str, *, key: str, text_col: str = "text") -> None:
     """Adds documents as a segment. Keys have to be unique among those that live."""
     spark = docs.sparkSession
-    told = manifest(spark, path)
+    told = versions.read(spark, path)
     tf, own = bm25.postings(docs, key=key, text_col=text_col)
     entry = _write_segment(tf, own, path, told, told["next"])
-    _commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "segments": [*told["segments"], entry]})
+    versions.commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "segments": [*told["segments"], entry]})
 
 
 def _living(spark: SparkSession, path: str, told: dict, what: str) -> DataFrame:
@@ -88,7 +61,7 @@ def _living(spark: SparkSession, path: str, told: dict, what: str) -> DataFrame:
 def delete(keys: DataFrame, path: str) -> None:
     """Removes the documents of ``keys`` (doc) that live now; others are ignored, and a key may be appended again later."""
     spark = keys.sparkSession
-    told = manifest(spark, path)
+    told = versions.read(spark, path)
     if not told["segments"]:
         return
     hit = written(_living(spark, path, told, "docs").join(keys.select("doc").distinct(), "doc").select("doc", "len"), "deleted")
@@ -97,32 +70,23 @@ def delete(keys: DataFrame, path: str) -> None:
         return
     hit.select("doc").write.parquet(f"{path}/deletes/seg={told['next']}")
     entry = {"seg": told["next"], "n": n["n"], "len": n["len"] or 0}
-    _commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "deletes": [*told["deletes"], entry]})
+    versions.commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "deletes": [*told["deletes"], entry]})
 
 
 def compact(spark: SparkSession, path: str) -> None:
     """Merges all that lives into one segment; the old files stay for readers of older versions (see ``vacuum``)."""
-    told = manifest(spark, path)
+    told = versions.read(spark, path)
     if not told["segments"]:
         return
     entry = _write_segment(written(_living(spark, path, told, "postings"), "living"), _living(spark, path, told, "docs"), path, told, told["next"])
-    _commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "segments": [entry], "deletes": []})
+    versions.commit(spark, path, told | {"version": told["version"] + 1, "next": told["next"] + 1, "segments": [entry], "deletes": []})
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Removes files that the latest version doesn't name, and older manifests; returns what went."""
-    told, gone = manifest(spark, path), []
-    keep = {"postings": {s["seg"] for s in told["segments"]}, "docs": {s["seg"] for s in told["segments"]}, "deletes": {d["seg"] for d in told["deletes"]}}
-    for what, kept in keep.items():
-        fs, at = _fs(spark, f"{path}/{what}")
-        for s in fs.listStatus(at) if fs.exists(at) else []:
-            if int(s.getPath().getName().partition("=")[2]) not in kept:
-                fs.delete(s.getPath(), True)
-                gone.append(f"{what}/{s.getPath().getName()}")
-    for v in _versions(spark, path)[:-1]:
-        fs, at = _fs(spark, f"{path}/manifest/{v}")
-        fs.delete(at, False)
-    return gone
+    told = versions.read(spark, path)
+    own = {s["seg"] for s in told["segments"]}
+    return versions.vacuum(spark, path, {"postings": own, "docs": own, "deletes": {d["seg"] for d in told["deletes"]}})
 
 
 def statistics(told: dict) -> tuple[int, float]:
@@ -139,7 +103,7 @@ def postings(spark: SparkSession, path: str, tokens: DataFrame, told: dict) -> D
 
 def search(spark: SparkSession, path: str, tokens: DataFrame, *, version: int | None = None) -> DataFrame:
     """(query, doc, score) of ``tokens`` (query, token, m, see ``bm25.query_tokens``) in a version, the latest if none is named."""
-    told = manifest(spark, path, version)
+    told = versions.read(spark, path, version)
     if not told["segments"]:
         return spark.createDataFrame([], "query long, doc long, score double")
     tf = postings(spark, path, tokens, told).join(tokens.select("token").distinct(), "token", "left_semi").select("doc", "len", "token", "tf")

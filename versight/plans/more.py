@@ -11,6 +11,7 @@ from versight.functions.store import scratch
 from versight.operators import anchors as A, bm25, bm25_store, book_ranges, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
+from versight.sources import answer_store
 
 ASCII = r"'^[\x00-\x7F]*$'"
 
@@ -494,6 +495,19 @@ def ver_10_claim_gate(spark, sf):
     return c.select("conv_id", "turn", verify.claim_gate(said).alias("gate"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, sha256(role || chr(10) || text) AS key, role || ':' || text AS output FROM conversations),
+k AS (SELECT key, min(output) AS output FROM c WHERE conv_id % 2 = 0 OR conv_id % 3 = 0 GROUP BY key) SELECT conv_id, turn, md5(k.output) AS digest FROM c LEFT JOIN k USING (key)""")
+def snk_16_answer_store(spark, sf):
+    """Every turn as a question to a store that has the turns of some conversations, put in two overlapping parts and merged."""
+    c = R.table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.concat("role", F.lit("\n"), "text"), 256).alias("key"), F.concat("role", F.lit(":"), "text").alias("output"))
+    path = scratch(spark, "answers")
+    answer_store.create(spark, path)
+    for n in (2, 3):
+        answer_store.put(c.where(F.col("conv_id") % n == 0), path)
+    answer_store.compact(spark, path)
+    return c.drop("output").join(answer_store.get(c, path), "key", "left").select("conv_id", "turn", F.md5("output").alias("digest"))
+
+
 @query("""WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id FROM labels)
 SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id) AS place FROM i""")
 def evl_06_id_order(spark, sf):
