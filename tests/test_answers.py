@@ -156,3 +156,39 @@ def test_one_call_a_row(spark, tmp_path):
     numbered = spark.createDataFrame([("e", 1, ["he fled"])], "example_id string, claim_id int, texts array<string>")
     answers.verify_numbered(plans, numbered, client, tries=1).collect()
     assert calls() == 1
+
+
+def test_dispatch_loose_verdicts_and_sample(spark):
+    plans = spark.createDataFrame(PLANS, "example_id string, claim_id int, claim_text string").withColumn("keywords", F.array(F.lit("night")))
+    chunks = spark.createDataFrame(CHUNKS, "example_id string, claim_id int, rank int, chunk_id string, text string")
+
+    def client(messages):
+        text = messages[1]["content"]
+        if "fled" in text:
+            return 'So: {"verdict": "SUPPORTED", "confidence": "HIGH", "reasoning_short": "seen"}'
+        return '{"verdict": "CONTRADICTED"}' if "stayed" in text else "no idea"
+
+    got = {r.claim_id: tuple(r)[2:] for r in answers.verify_loosely(plans, chunks, client).collect()}
+    none = "The answer gives no reason."
+    assert got == {1: ("SUPPORTED", "HIGH", "c1", None, 1, "seen"), 2: ("CONTRADICTED", "LOW", "c2", None, 1, none), 3: ("INSUFFICIENT", "LOW", None, None, 0, none), 4: ("INSUFFICIENT", "LOW", None, None, 0, none)}
+    verdicts = lambda df: {r.claim_id: r.verdict for r in df.collect()}
+    assert verdicts(answers.verify_claims(plans, chunks)) == verdicts(verify.verify(chunks, plans))
+    assert verdicts(answers.verify_claims(plans, chunks, verifier=lambda found, p: verify.null_verdicts(p))) == dict.fromkeys(range(1, 5), "INSUFFICIENT")
+    assert verdicts(answers.verify_claims(plans, chunks, client=scripted()))[1] == "CONTRADICTED"
+    rows = spark.createDataFrame([("2", "B", {"1": ["x"]}), ("1", "A", {"2": ["q"], "1": ["p", "r"]})], "id string, char string, contradictions map<string,array<string>>")
+    assert answers.sample(rows) == "id=1 char=A\n  claim 1\n    1. p\n    2. r\n  claim 2\n    1. q"
+    assert "id=2" in answers.sample(rows, 5) and answers.sample(rows.limit(0)) == ""
+
+
+def test_error_rows(spark, tmp_path):
+    from versight.operators import traces
+
+    aligned = spark.createDataFrame([("10", "consistent", "consistent"), ("9", "contradict", "consistent"), ("8", "contradict", "consistent"), ("7", "consistent", "contradict"), ("x", "contradict", "consistent")], "id string, actual string, predicted string")
+    said = spark.createDataFrame([("10", 1, "C", 1, 0, 0), ("9", 2, "U", 0, 0, 2), ("8", 2, "U", 1, 0, 1), ("7", 2, "I", 0, 1, 1)], "id string, num_claims long, internal_status string, num_supported long, num_contradicted long, num_insufficient long")
+    rows = traces.error_rows(aligned, said, spark.createDataFrame([("7",), ("x",)], "example_id string"))
+    got = {r.id: (r.error_type, r.likely_failure_layer) for r in rows.collect()}
+    missed = "retrieval_or_verifier_missed_contradiction"
+    assert got == {"10": ("correct", "none"), "9": ("false_negative", "verifier_all_insufficient"), "8": ("false_negative", "missing_trace"), "7": ("false_positive", missed), "x": ("false_negative", missed)}
+    io.write_errors(rows, f"{tmp_path}/e")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/e")
+    assert tuple(back.columns) == traces.ERROR_COLUMNS and sorted(r.id for r in back.collect()) == sorted(got)

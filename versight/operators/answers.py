@@ -217,9 +217,44 @@ def verify_numbered(claims: DataFrame, passages: DataFrame, client, *, top: int
     return rows.select(*CLAIM, F.coalesce("verdict", F.lit("INSUFFICIENT")).alias("verdict"), F.coalesce("confidence", F.lit("LOW")).alias("confidence"), F.coalesce("num_evidence", F.lit(0)).cast("long").alias("num_evidence"))
 
 
+def verify_loosely(plans: DataFrame, retrieved: DataFrame, client) -> DataFrame:
+    """Verdicts taken from answers as they are: no check of quotes, no retry; what is missing has defaults.
+
+    All chunks of a claim are shown, and count as evidence of a verdict that needs some. An answer
+    without JSON is INSUFFICIENT.
+    """
+    listing = retrieved.groupBy(*CLAIM).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.concat(F.lit("["), "chunk_id", F.lit("] "), "text").alias("x")))).alias("e"))
+    x = plans.join(listing, CLAIM, "left").withColumn("e", F.coalesce("e", F.expr("cast(array() as array<struct<rank:int,chunk_id:string,x:string>>)")))
+    text = F.concat(F.lit("claim: "), "claim_text", F.lit("\nchunks:\n"), F.array_join(F.transform("e", lambda c: c["x"]), "\n"))
+    rows = ask(x.select(*CLAIM, F.transform("e", lambda c: c["chunk_id"]).alias("chunks"), F.array(_message("system", F.lit(SYSTEM)), _message("user", text)).alias("messages")), client)
+    rows = rows.withColumn("j", F.from_json(lenient_json(F.col("response")), "struct<verdict:string,confidence:string,justification:string,reasoning_short:string>"))
+    verdict = F.coalesce("j.verdict", F.lit("INSUFFICIENT"))
+    due = verdict.isin("SUPPORTED", "CONTRADICTED")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    why = F.coalesce(filled("j.justification"), filled("j.reasoning_short"), F.lit("The answer gives no reason."))
+    return rows.select(*CLAIM, verdict.alias("verdict"), F.coalesce("j.confidence", F.lit("LOW")).alias("confidence"), F.when(due, F.get("chunks", F.lit(0))).alias("evidence_chunk_id"), F.lit(None).cast("string").alias("quote"), F.when(due, F.size("chunks")).otherwise(0).cast("long").alias("num_evidence"), why.alias("justification"))
+
+
+def verify_claims(plans: DataFrame, retrieved: DataFrame, *, verifier=None, client=None, **options) -> DataFrame:
+    """Verdicts by ``verifier(retrieved, plans)`` if given, else by a model's client, else by the deterministic rules."""
+    if verifier is not None:
+        return verifier(retrieved, plans)
+    return V.verify(retrieved, plans) if client is None else verify_with(plans, retrieved, client, **options)
+
+
+def sample(rows: DataFrame, number: int = 1) -> str:
+    """The first rows (by id) of generated contradictions as text to look at: id, char, contradictions (a map from claim to sentences)."""
+    out = []
+    for r in rows.select("id", "char", "contradictions").orderBy("id").limit(number).collect():
+        out.append(f"id={r.id} char={r.char}")
+        for claim, sentences in sorted((r.contradictions or {}).items()):
+            out += [f"  claim {claim}", *(f"    {i}. {x}" for i, x in enumerate(sentences, 1))]
+    return "\n".join(out)
+
+
 def insufficient(plans: DataFrame, reason: str) -> DataFrame:
     """The verdict of claims that failed, with why (500 characters at most)."""
     return V.null_verdicts(plans).withColumn("justification", F.lit(reason[:500]))
 
 
-__all__ = ["ask", "cached_ask", "fallback_contradictions", "find_json", "generate_claims", "generate_contradictions", "insufficient", "justified", "keyed", "label_passages", "lenient_json", "plan_with", "verifier_messages", "verify_numbered", "verify_with"]
+__all__ = ["ask", "cached_ask", "fallback_contradictions", "find_json", "generate_claims", "generate_contradictions", "insufficient", "justified", "keyed", "label_passages", "lenient_json", "plan_with", "sample", "verifier_messages", "verify_claims", "verify_loosely", "verify_numbered", "verify_with"]

@@ -92,6 +92,25 @@ def trace_features(trace: DataFrame) -> DataFrame:
     return trace.select("example_id", F.array_contains(verdicts, "CONTRADICTED").cast("double").alias("any_contradicted"), F.array_contains(verdicts, "SUPPORTED").cast("double").alias("any_supported"), number.cast("double").alias("num_insufficient"), failed.cast("double").alias("verifier_failed"))
 
 
+#: Columns of an error file, in their order.
+ERROR_COLUMNS = ("id", "gold_label", "predicted_label", "error_type", "num_claims", "internal_status", "num_supported", "num_contradicted", "num_insufficient", "likely_failure_layer")
+
+
+def error_rows(aligned: DataFrame, predictions: DataFrame, trace: DataFrame) -> DataFrame:
+    """A row for each aligned id: labels, kind of error, the counts of its prediction, and the layer that most likely failed.
+
+    predictions: id and the counts of the summary; trace: example_id. A wrong row without a
+    contradicted claim whose claims are all insufficient failed in the verifier; else one without a trace can't be told; else
+    retrieval or the verifier missed it. Ids without a prediction row have no counts.
+    """
+    counts = ("num_claims", "internal_status", "num_supported", "num_contradicted", "num_insufficient")
+    x = aligned.join(predictions.select("id", *counts), "id", "left").join(trace.select(F.col("example_id").alias("id")).distinct().withColumn("_traced", F.lit(True)), "id", "left")
+    silent = (F.col("num_contradicted") == 0) & F.col("num_insufficient").eqNullSafe(F.col("num_claims"))
+    layer = F.when(F.col("actual") == F.col("predicted"), "none").when(silent, "verifier_all_insufficient").when(F.col("_traced").isNull(), "missing_trace").otherwise("retrieval_or_verifier_missed_contradiction")
+    x = x.withColumns({"gold_label": F.col("actual"), "predicted_label": F.col("predicted"), "error_type": V.error_type(F.col("actual"), F.col("predicted")), "likely_failure_layer": layer})
+    return x.select(*ERROR_COLUMNS)
+
+
 def missed_contradictions(aligned: DataFrame, trace: DataFrame, *, claims: int = 2, chunks: int = 3) -> DataFrame:
     """The first claims of false negatives with previews of their first chunks."""
     rows = aligned.where(V.error_type(F.col("actual"), F.col("predicted")) == "false_negative").select(F.col("id").alias("example_id"))

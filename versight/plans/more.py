@@ -495,6 +495,17 @@ def ver_10_claim_gate(spark, sf):
     return c.select("conv_id", "turn", verify.claim_gate(said).alias("gate"))
 
 
+@query(f"""WITH {R._ALIGNED} SELECT id, actual AS gold_label, predicted AS predicted_label, CASE WHEN actual = predicted THEN 'correct' WHEN actual = 'contradict' THEN 'false_negative' ELSE 'false_positive' END AS error_type,
+id % 4 AS num_claims, 'U' AS internal_status, id % 7 AS num_supported, id % 2 AS num_contradicted, id % 3 AS num_insufficient,
+CASE WHEN actual = predicted THEN 'none' WHEN id % 2 = 0 AND id % 3 = id % 4 THEN 'verifier_all_insufficient' WHEN id % 5 = 0 THEN 'missing_trace' ELSE 'retrieval_or_verifier_missed_contradiction' END AS likely_failure_layer FROM g""")
+def snk_13_error_rows(spark, sf):
+    """The error file's rows of all labels, with counts that follow from the ids."""
+    aligned = R._aligned(spark, sf)
+    n = lambda k: F.col("id") % k
+    said = aligned.select("id", n(4).alias("num_claims"), F.lit("U").alias("internal_status"), n(7).alias("num_supported"), n(2).alias("num_contradicted"), n(3).alias("num_insufficient"))
+    return traces.error_rows(aligned, said, aligned.where("id % 5 <> 0").select(F.col("id").alias("example_id")))
+
+
 @query("""WITH c AS (SELECT conv_id, turn, sha256(role || chr(10) || text) AS key, role || ':' || text AS output FROM conversations),
 k AS (SELECT key, min(output) AS output FROM c WHERE conv_id % 2 = 0 OR conv_id % 3 = 0 GROUP BY key) SELECT conv_id, turn, md5(k.output) AS digest FROM c LEFT JOIN k USING (key)""")
 def snk_16_answer_store(spark, sf):

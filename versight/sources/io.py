@@ -238,6 +238,13 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     write_csv(rows.select(*L.PREDICTION_COLUMNS), path)
 
 
+def write_errors(rows: DataFrame, path: str) -> None:
+    """``traces.error_rows`` as CSV, ids in their order over the files."""
+    from versight.operators import traces, verify
+
+    write_csv(rows.select(*traces.ERROR_COLUMNS).orderBy(*verify.id_order("id")), path)
+
+
 def write_split(rows: DataFrame, path: str) -> None:
     """train and dev below ``path``, from ``is_dev``."""
     for name, part in (("train", "not is_dev"), ("dev", "is_dev")):
