@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from versight.operators import verify
+from versight.operators import planning, retrieval, verify
 from versight.plans import ablation, registry
 
 ITEMS = {
@@ -141,3 +141,15 @@ def test_matrix_scores_equal_expressions(spark, small):
     assert retrieval.best_chunks(items.limit(0), chunks, 3).count() == 0 and retrieval.best_chunks(items, chunks.limit(0), 3).count() == 0
     one = retrieval.best_chunks(items.where("example_id = '0'"), chunks, 3, strict_characters=True, batch_cells=1).collect()
     assert one and all(r.character_score > 0 for r in one)
+
+
+def test_all_configurations_in_one_pass(spark, small):
+    """The best of every configuration equal those of a run of its own."""
+    e, chunks = registry._benchmark_examples(spark, small), registry.annotated(spark, small)
+    made = ablation.best_of_all(e, chunks, k=3)
+    columns = ("example_id", "claim_id", "item_idx", "channel", "chunk_index_global", "final_score", "rank", *retrieval.SCORES)
+    for name, (parts, families, timeline, _, _) in ablation.CONFIGS.items():
+        work = planning.work_items(made["plans"], planning.families(made["plans"]), max_families=4, use_families=families, use_timeline=timeline)
+        alone = retrieval.best_chunks(work, chunks, 3, flags=ablation.OFF | dict.fromkeys(parts, True))
+        found = made["best"].where(F.col("variant") == name)
+        assert sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(map(tuple, alone.select(*columns).collect()), key=repr), name

@@ -64,6 +64,8 @@ def temporal_cue(text: Column, terms=L.TEMPORAL_CUES) -> Column:
 
 
 PARTS = tuple(L.WEIGHTS)
+#: The switch of each part whose name is another.
+SWITCH = {"bm25": "lexical", "incompatible": "event", "temporal": "timeline"}
 #: The columns of the parts.
 SCORES = tuple(f"{p}_score" for p in PARTS)
 
@@ -115,6 +117,15 @@ class _Block:
         self.claims = list(dict.fromkeys(keys))
         self.starts = np.array([i for i in range(n) if i == 0 or keys[i] != keys[i - 1]])
 
+    def places(self, mask: np.ndarray | None) -> list[int]:
+        """item_idx of each item: its own, or its place among those of its claim that the mask has."""
+        if mask is None:
+            return [r.item_idx for r in self.rows]
+        ends = np.cumsum(mask)
+        claim = np.searchsorted(self.starts, np.arange(len(self.rows)), side="right") - 1
+        before = np.where(self.starts > 0, ends[self.starts - 1], 0)
+        return (ends - 1 - before[claim]).tolist()
+
     def lexical(self, tokens: list) -> np.ndarray:
         out = np.zeros((len(tokens), len(self.rows)))
         if not self.on["lexical"]:
@@ -132,15 +143,16 @@ class _Block:
         norm = np.sqrt((vectors * vectors).sum(1))[:, None] * self.norms
         return np.divide(vectors @ self.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0)
 
-    def scores(self, batch: dict, most: np.ndarray, strict: bool) -> dict[str, np.ndarray]:
-        """Each part, and final_score rounded, as (chunk, item); the score is -1 where a strict filter on characters fails."""
+    def parts(self, batch: dict, most: np.ndarray) -> dict[str, np.ndarray]:
+        """Each part that is on as (chunk, item), and ``met``, the character's score."""
         size = len(batch["density"])
         scaled = lambda x, m: np.maximum(np.divide(x, m, out=np.zeros_like(x), where=np.broadcast_to(m > 0, x.shape)), 0.0)
         met = np.concatenate([batch["targets"], np.zeros((size, 1))], 1)[:, self.target]
         shape = (size, len(self.rows))
         none = np.broadcast_to(0.0, shape)
         event = lambda w, n: np.minimum(batch["events"] @ w.T / n, 1.0)
-        parts = {
+        return {
+            "met": met,
             "bm25": scaled(self.lexical(batch["tokens"]), most[0]),
             "semantic": scaled(self.semantic(batch["vec"]), most[1]),
             "character": met if self.on["character"] else none,
@@ -149,10 +161,17 @@ class _Block:
             "density": np.broadcast_to(batch["density"][:, None], shape),
             "temporal": np.broadcast_to(batch["temporal"][:, None], shape) if self.on["timeline"] else none,
         }
-        total = sum(L.WEIGHTS[p] * parts[p] for p in PARTS)
+
+    def scores(self, parts: dict[str, np.ndarray], strict: bool, on: dict[str, bool], items: np.ndarray | None) -> dict[str, np.ndarray]:
+        """The parts that a variant has on, and final_score rounded; it is -1 where a strict filter on characters fails, and for items that the variant hasn't."""
+        none = np.broadcast_to(0.0, parts["bm25"].shape)
+        own = {p: parts[p] if on.get(SWITCH.get(p, p), True) else none for p in PARTS}
+        total = sum(L.WEIGHTS[p] * own[p] for p in PARTS)
         if strict:
-            total = np.where((met > 0) | (self.target < 0), total, -1.0)
-        return parts | {"final_score": np.round(total, 6)}
+            total = np.where((parts["met"] > 0) | (self.target < 0), total, -1.0)
+        if items is not None:
+            total = np.where(items[None, :], total, -1.0)
+        return own | {"final_score": np.round(total, 6)}
 
 
 def _batch(b) -> dict:
@@ -161,14 +180,18 @@ def _batch(b) -> dict:
     return {"tokens": b.column("tokens").to_pylist(), "vec": matrix("vec"), "density": number("density"), "temporal": number("temporal"), "events": matrix("events").reshape(b.num_rows, -1), "targets": matrix("targets").reshape(b.num_rows, -1), "at": number("chunk_index_global")}
 
 
-def best_chunks(items: DataFrame, chunks: DataFrame, k: int, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS, batch_cells: int = 1 << 20) -> DataFrame:
+def best_chunks(items: DataFrame, chunks: DataFrame, k: int, *, strict_characters: bool = False, flags: dict[str, bool] | None = None, synonyms=L.SYNONYMS, signals=L.SIGNALS, batch_cells: int = 1 << 20, variants: dict[str, tuple[dict[str, bool], tuple[str, ...] | None]] | None = None) -> DataFrame:
     """The k best chunks of each claim, of those with a positive score: ids, rank, item_idx, channel, the parts and final_score.
 
     A chunk counts with the best of the claim's items, the earliest on ties; tied chunks keep
     the order in which items first reach them, then the corpus order. ``flags`` switches parts
     off: lexical, semantic, character, event, timeline. BM25 and vector scores are divided by
     their greatest value per item over all chunks, before any filter on characters.
+
+    ``variants`` asks for several weightings at once: name -> (flags, channels of items that it has, None for all). The parts are
+    computed once for all; a column ``variant`` tells the rows apart, whose item_idx counts the variant's own items.
     """
+    ways = list((variants or {"": ({}, None)}).values())
     on = {"lexical": True, "semantic": True, "character": True, "event": True, "timeline": True} | (flags or {})
     spark, total = items.sparkSession, items.count()
     tokens = items.select(F.explode(T.tokenise(F.coalesce("query", F.lit("")))).alias("token")).distinct()
@@ -204,48 +227,57 @@ def best_chunks(items: DataFrame, chunks: DataFrame, k: int, *, strict_character
         for r in features.select("chunk_index_global", "tokens", "vec", "density", "temporal", "events", "targets").mapInArrow(greatest, "i long, b double, s double").groupBy("i").agg(F.max("b").alias("b"), F.max("s").alias("s")).collect():
             most[:, r.i] = r.b, r.s
 
-        def pick(batches, sent=sent, step=step, most=most):
-            yield from _picked(batches, sent.value, step, most, strict_characters, k)
+        masks = [(own, None if only is None else np.array([r.channel in only for r in block.rows])) for own, only in ways]
+
+        def pick(batches, sent=sent, step=step, most=most, masks=masks):
+            yield from _picked(batches, sent.value, step, most, strict_characters, k, masks)
 
         schema = f"claim int, item int, first_item int, chunk_index_global {kinds.get('chunk_index_global', 'long')}, " + ", ".join(f"{c} double" for c in (*SCORES, "final_score"))
         near = features.mapInArrow(pick, schema)
         order = W.partitionBy("claim").orderBy(F.desc("final_score"), "first_item", "chunk_index_global")
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        owner = spark.createDataFrame([(i, r.example_id, r.claim_id, r.item_idx, r.channel) for i, r in enumerate(block.rows)], f"item int, example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string")
-        done = written(near.join(F.broadcast(owner), "item").select("example_id", "claim_id", "item_idx", "channel", "chunk_index_global", *SCORES, "final_score", "rank"), "best")
+        rows = [(v, i, r.example_id, r.claim_id, place, r.channel) for v, (_, mask) in enumerate(masks) for i, r, place in zip(range(len(block.rows)), block.rows, block.places(mask), strict=True)]
+        owner = spark.createDataFrame(rows, f"v int, item int, example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string")
+        near = near.withColumn("v", F.floor(F.col("claim") / len(block.claims)).cast("int"))
+        named = [F.get(T.literal_array(list(variants)), F.col("v")).alias("variant")] if variants else []
+        done = written(near.join(F.broadcast(owner), ["v", "item"]).select(*named, "example_id", "claim_id", "item_idx", "channel", "chunk_index_global", *SCORES, "final_score", "rank"), "best")
         sent.unpersist()
         out = done if out is None else out.unionByName(done)
     if out is None:
-        columns = ", ".join([f"example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string, chunk_index_global {dict(chunks.dtypes)['chunk_index_global']}", *(f"{c} double" for c in (*SCORES, "final_score")), "rank int"])
+        columns = ", ".join([*(["variant string"] if variants else []), f"example_id {kinds['example_id']}, claim_id {kinds['claim_id']}, item_idx int, channel string, chunk_index_global {dict(chunks.dtypes)['chunk_index_global']}", *(f"{c} double" for c in (*SCORES, "final_score")), "rank int"])
         return spark.createDataFrame([], columns)
     return out
 
 
-def _picked(batches, block: _Block, step: int, most: np.ndarray, strict: bool, k: int):
-    """The k best chunks of each claim among a task's chunks: a batch's candidates are merged with the best so far."""
+def _picked(batches, block: _Block, step: int, most: np.ndarray, strict: bool, k: int, variants: list):
+    """The k best chunks of each claim and variant among a task's chunks: a batch's candidates are merged with the best so far."""
     kept = None
     ends = np.append(block.starts[1:], len(block.rows))
     for whole in batches:
         for at in range(0, whole.num_rows, step):
             x = _batch(whole.slice(at, step))
-            s = block.scores(x, most, strict)
-            final = s["final_score"]
-            rows = []
-            for c, (lo, hi) in enumerate(zip(block.starts.tolist(), ends.tolist(), strict=True)):
-                own = final[:, lo:hi]
-                item = own.argmax(1)
-                best = own[np.arange(len(own)), item]
-                first = (own > 0).argmax(1)
-                hit = np.flatnonzero(best > 0)
-                if len(hit):
-                    hit = hit[np.lexsort((x["at"][hit], first[hit], -best[hit]))[:k]]
-                    rows.append(np.column_stack([np.full(len(hit), c), lo + item[hit], first[hit], hit]))
-            if not rows:
+            parts = block.parts(x, most)
+            for v, (on, mask) in enumerate(variants):
+                s = block.scores(parts, strict, block.on | on, mask)
+                final = s["final_score"]
+                rows = []
+                for c, (lo, hi) in enumerate(zip(block.starts.tolist(), ends.tolist(), strict=True)):
+                    own = final[:, lo:hi]
+                    item = own.argmax(1)
+                    best = own[np.arange(len(own)), item]
+                    first = (own > 0).argmax(1)
+                    hit = np.flatnonzero(best > 0)
+                    if len(hit):
+                        hit = hit[np.lexsort((x["at"][hit], first[hit], -best[hit]))[:k]]
+                        rows.append(np.column_stack([np.full(len(hit), v * len(block.claims) + c), lo + item[hit], first[hit], hit]))
+                if not rows:
+                    continue
+                found = np.concatenate(rows).astype(np.int64)
+                values = np.round(np.column_stack([s[p][found[:, 3], found[:, 1]] for p in (*PARTS, "final_score")]), 6)
+                fresh = (found[:, 0], found[:, 1], found[:, 2], x["at"][found[:, 3]], values)
+                kept = fresh if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, fresh, strict=True))
+            if kept is None:
                 continue
-            found = np.concatenate(rows).astype(np.int64)
-            values = np.round(np.column_stack([s[p][found[:, 3], found[:, 1]] for p in (*PARTS, "final_score")]), 6)
-            fresh = (found[:, 0], found[:, 1], found[:, 2], x["at"][found[:, 3]], values)
-            kept = fresh if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, fresh, strict=True))
             order = np.lexsort((kept[3], kept[2], -kept[4][:, -1], kept[0]))
             claim = kept[0][order]
             place = np.arange(len(order)) - np.searchsorted(claim, claim)
@@ -276,7 +308,12 @@ def with_neighbours(top: DataFrame, chunks: DataFrame, factor: float = 0.65) ->
 
 def retrieve(items: DataFrame, chunks: DataFrame, *, k: int = 10, **options) -> DataFrame:
     """Top chunks of each claim with neighbours: ids, rank, channel, scores, the item's query and family, and the chunk's text."""
-    found = with_neighbours(best_chunks(items, chunks, k, **options), chunks)
+    return completed(best_chunks(items, chunks, k, **options), items, chunks)
+
+
+def completed(best: DataFrame, items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of ``best_chunks`` (of one variant) with neighbours, their items' queries and their texts."""
+    found = with_neighbours(best, chunks)
     found = found.join(items.select(*ITEM, "query", "family_name"), list(ITEM), "left")
     return found.join(chunks.select("chunk_index_global", "chunk_id", "book_name", "chapter_id", "text"), "chunk_index_global")
 

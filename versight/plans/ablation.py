@@ -34,12 +34,16 @@ def signals(found: DataFrame, plans: DataFrame, chunks: DataFrame) -> DataFrame:
     return extra.select(*(c for c in extra.columns if not c.startswith("_")), own("character_mentions"), own("event_mentions"), F.when(F.col("source") == "retrieval", F.least(F.col("_density"), F.lit(1.0))).otherwise(0.0).alias("density"))
 
 
-def run(examples: DataFrame, chunks: DataFrame, *, max_claims: int = 6, max_families: int = 4, k: int = 10, flags: dict[str, bool] | None = None, families: bool = True, timeline: bool = True, rerank: bool = True, verifier=None, mode: str = "hybrid", **models) -> dict[str, DataFrame]:
-    """plans, families, retrieved, verdicts, summary and decisions of annotated chunks. ``verifier(retrieved, plans)`` gives verdicts."""
-    plans = written(planning.plan_claims(examples, max_claims=max_claims), "plans")
+def run(examples: DataFrame, chunks: DataFrame, *, max_claims: int = 6, max_families: int = 4, k: int = 10, flags: dict[str, bool] | None = None, families: bool = True, timeline: bool = True, rerank: bool = True, verifier=None, mode: str = "hybrid", plans: DataFrame | None = None, best: DataFrame | None = None, **models) -> dict[str, DataFrame]:
+    """plans, families, retrieved, verdicts, summary and decisions of annotated chunks. ``verifier(retrieved, plans)`` gives verdicts.
+
+    ``plans`` and ``best`` (of ``retrieval.best_chunks``) may be given where they are known.
+    """
+    plans = written(planning.plan_claims(examples, max_claims=max_claims), "plans") if plans is None else plans
     fams = planning.families(plans)
     work = planning.work_items(plans, fams, max_families=max_families, use_families=families, use_timeline=timeline)
-    found = written(signals(retrieval.retrieve(work, chunks, k=k, flags=flags), plans, chunks), "retrieved")
+    top = retrieval.best_chunks(work, chunks, k, flags=flags) if best is None else best
+    found = written(signals(retrieval.completed(top, work, chunks), plans, chunks), "retrieved")
     found = rr.rerank_evidence(found, "heuristic" if rerank else "off")
     found = written(found, "reranked") if rerank else found
     verdicts = written((verifier or verify.verify)(found, plans), "verdicts")
@@ -47,16 +51,30 @@ def run(examples: DataFrame, chunks: DataFrame, *, max_claims: int = 6, max_fami
     return {"plans": plans, "families": fams, "work": work, "retrieved": found, "verdicts": verdicts, "summary": summary, "decisions": verify.decide(summary, mode=mode, **models)}
 
 
+#: Channels of the queries that are asked without families and timeline, and those that these add.
+ALWAYS, WITH_FAMILIES, WITH_TIMELINE = ("support_claim_query", "support_keyword_query"), ("contradiction_family_query", "incompatible_state_query"), ("timeline_sensitive_query",)
+
+
+def best_of_all(examples: DataFrame, chunks: DataFrame, configs=CONFIGS, *, max_claims: int = 6, max_families: int = 4, k: int = 10) -> dict[str, DataFrame]:
+    """plans, and best: the best chunks of each configuration (``variant``), all scored in one pass over the chunks."""
+    plans = written(planning.plan_claims(examples, max_claims=max_claims), "plans")
+    work = planning.work_items(plans, planning.families(plans), max_families=max_families)
+    variants = {name: (OFF | dict.fromkeys(parts, True), ALWAYS + WITH_FAMILIES * families + WITH_TIMELINE * timeline) for name, (parts, families, timeline, _, _) in configs.items()}
+    return {"plans": plans, "best": retrieval.best_chunks(work, chunks, k, variants=variants)}
+
+
 def ablate(examples: DataFrame, chunks: DataFrame, gold: DataFrame | None = None, *, configs=CONFIGS, fail_fast: bool = False, **options) -> DataFrame:
     """(config, status, num_examples, accuracy, macro_f1, notes), a row for each configuration, in order.
 
     Metrics need gold labels (id, label) for all examples that get one. A configuration that
-    raises is reported as failed; with ``fail_fast`` the sweep ends there.
+    raises is reported as failed; with ``fail_fast`` the sweep ends there. Claims are planned once, and the chunks are read once
+    for the best of all configurations.
     """
-    rows = []
+    rows, known = [], {}
     for name, (parts, families, timeline, rerank, note) in configs.items():
         try:
-            made = run(examples, chunks, flags=OFF | dict.fromkeys(parts, True), families=families, timeline=timeline, rerank=rerank, **options)
+            known = known or best_of_all(examples, chunks, configs, **{k: v for k, v in options.items() if k in ("max_claims", "max_families", "k")})
+            made = run(examples, chunks, flags=OFF | dict.fromkeys(parts, True), families=families, timeline=timeline, rerank=rerank, plans=known["plans"], best=known["best"].where(F.col("variant") == name).drop("variant"), **options)
             labels = written(made["decisions"].select(F.col("example_id").alias("id"), F.col("predicted_label").alias("label")), "labels")
             found = verify.metrics(verify.align(labels, gold, mode="subset")).first() if gold is not None else None
             rows.append((name, "ok", labels.count(), found and found.accuracy, found and found.macro_f1, note))
