@@ -134,3 +134,11 @@ def test_buckets(spark, tmp_path):
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     joined = back.hint("merge").join(spark.range(50).selectExpr("concat('t', id) AS term").repartition(8, "term"), "term")
     assert joined.count() == 50 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_frame_of_any_text(spark):
+    texts = ["ab", "abc", "Été à la mer", "a\nb\r\nc", "\U0001f642x\U0001f642yz", "", None, "x" * 50_000]
+    df = spark.createDataFrame([(i, "B", None, None, t) for i, t in enumerate(texts)], "id int, book_name string, character string, caption string, content string")
+    for r in ml.frame(df).collect():
+        low = ("B" + (f" {texts[r.id]}" if texts[r.id] else "")).lower()
+        assert r.chars == [low[i : i + n] for n in (3, 4, 5) for i in range(len(low) - n + 1)]

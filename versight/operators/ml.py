@@ -23,7 +23,8 @@ def frame(examples: DataFrame) -> DataFrame:
     """Adds the combined text, its words and its character 3- to 5-grams."""
     text = F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in ("book_name", "character", "caption", "content")))
     low = F.lower("combined_text")
-    parts = [F.expr(f"IF(length(combined_text) >= {n}, transform(sequence(1, length(combined_text) - {n - 1}), i -> substr(lower(combined_text), i, {n})), cast(array() as array<string>))") for n in (3, 4, 5)]
+    # a look-ahead at every place but the middle of a pair of surrogates, so long texts take linear time
+    parts = [F.regexp_extract_all(low, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1)) for n in (3, 4, 5)]
     return examples.withColumn("combined_text", text).withColumns({"words": F.regexp_extract_all(low, F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), "chars": F.concat(*parts)})
 
 

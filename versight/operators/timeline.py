@@ -34,11 +34,12 @@ def surface_text(text: Column, name: Column) -> Column:
 
 
 def build(chunks: DataFrame) -> DataFrame:
-    """One frame per chunk, character and event; a chunk without events has ``mention``."""
+    """One frame per chunk, character and event; a chunk without events has ``mention``. Chunks may have no global index."""
+    at = F.col("chunk_index_global") if "chunk_index_global" in chunks.columns else F.lit(None).cast("long").alias("chunk_index_global")
     events = F.when(F.size("event_mentions") > 0, F.col("event_mentions")).otherwise(F.array(F.lit("mention")))
     rows = chunks.withColumn("character", F.explode("character_mentions")).withColumn("event_type", F.explode(events))
     frame_id = F.concat_ws(":", "chunk_id", T.slug(F.col("character"), "x"), T.slug(F.col("event_type"), "x"))
-    return rows.select(frame_id.alias("frame_id"), "book_name", "character", "event_type", surface_text(F.col("text"), F.col("character")).alias("surface_text"), "chunk_id", "chapter_id", "chunk_index_global", temporal_markers(F.col("text")).alias("temporal_markers"), location_markers(F.col("text")).alias("location_markers"), F.when(F.col("event_type") == "mention", 0.45).otherwise(0.7).alias("confidence"))
+    return rows.select(frame_id.alias("frame_id"), "book_name", "character", "event_type", surface_text(F.col("text"), F.col("character")).alias("surface_text"), "chunk_id", "chapter_id", at, temporal_markers(F.col("text")).alias("temporal_markers"), location_markers(F.col("text")).alias("location_markers"), F.when(F.col("event_type") == "mention", 0.45).otherwise(0.7).alias("confidence"))
 
 
 def events_for(frames: DataFrame, character: str) -> DataFrame:
@@ -63,6 +64,7 @@ def cooccurrence(chunks: DataFrame, canonical=A.canonical) -> DataFrame:
     before or after in the chapter.
     """
     rows = chunks.select("book_name", "chapter_id", "chunk_index_in_chapter", "chunk_id", F.transform("character_mentions", lambda m: canonical(m)).alias("names"))
+    rows = written(rows, "names")  # three counts read it, none the texts again
 
     def pairs(frame: DataFrame, left: str, right: str, name: str) -> DataFrame:
         each = frame.select(*[c for c in ("n",) if c in frame.columns], F.explode(left).alias("left"), F.col(right).alias("rs"))

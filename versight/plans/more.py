@@ -8,7 +8,7 @@ from versight import lexicons as L
 from versight.functions import text as T
 from versight.functions.ranges import running
 from versight.functions.store import scratch
-from versight.operators import anchors as A, bm25, bm25_store, book_ranges, ingest, lexicon, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
+from versight.operators import anchors as A, bm25, bm25_store, book_ranges, ingest, lexicon, ml, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 from versight.sources import answer_store
@@ -328,7 +328,7 @@ def cst_11_rule_scores(spark, sf):
 SELECT chunk_id, event_type FROM ev WHERE list_contains(names, 'with') AND event_type IN ('linking', 'past')""")
 def tml_04_incompatible_events(spark, sf):
     wanted = spark.createDataFrame([("With", "linked"), ("with", "past"), ("nobody", "past")], "character string, event_type string")
-    found = timeline.incompatible_events(timeline.build(R.annotated(spark, sf)), wanted, {"linked": ("linking",)})
+    found = timeline.incompatible_events(timeline.build(R.annotated(spark, sf, False)), wanted, {"linked": ("linking",)})
     return found.select("chunk_id", "event_type")
 
 
@@ -495,6 +495,32 @@ def ver_10_claim_gate(spark, sf):
     return c.select("conv_id", "turn", verify.claim_gate(said).alias("gate"))
 
 
+_COMBINED = "concat_ws(' ', nullif(source, ''), nullif(text, ''))"
+
+
+@query(rf"""SELECT doc_id, md5({_COMBINED}) AS digest, len(regexp_extract_all(lower({_COMBINED}), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}'))::BIGINT AS n_words,
+(greatest(length({_COMBINED}) - 2, 0) + greatest(length({_COMBINED}) - 3, 0) + greatest(length({_COMBINED}) - 4, 0))::BIGINT AS n_chars FROM documents""")
+def ml_01_frame(spark, sf):
+    """What text models read of every document: the combined text, its words and its character runs."""
+    none = F.lit(None).cast("string")
+    rows = ml.frame(R._docs(spark, sf).select("doc_id", F.col("source").alias("book_name"), none.alias("character"), none.alias("caption"), F.col("text").alias("content")))
+    return rows.select("doc_id", F.md5("combined_text").alias("digest"), F.size("words").cast("long").alias("n_words"), F.size("chars").cast("long").alias("n_chars"))
+
+
+_SCORED = "s AS (SELECT (n_chars % 50) / 50.0 + 0.3 * toxic AS score, toxic AS label FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT count(*) AS n, sum(label) AS p FROM s),
+c AS (SELECT x.score AS threshold, count(*) AS pp, sum(s.label) AS tp FROM (SELECT DISTINCT score FROM s) x JOIN s ON s.score >= x.score GROUP BY ALL),
+f AS (SELECT threshold, (coalesce(2.0 * tp / nullif(pp + p, 0), 0) + coalesce(2.0 * ((n - p) - (pp - tp)) / nullif((n - pp) + (n - p), 0), 0)) / 2 AS f1 FROM c, t)
+SELECT round(threshold::DOUBLE, 6) AS threshold, round(f1, 6)::DOUBLE AS macro_f1 FROM f ORDER BY round(f1, 9) DESC, threshold LIMIT 1""")
+def ml_05_threshold(spark, sf):
+    """The threshold with the best macro-F1 for toxic labels of a score that knows a little of them."""
+    rows = R.table(spark, sf, "labels").join(R.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    scored = rows.select(((F.col("n_chars") % 50) / 50.0 + 0.3 * F.col("toxic")).alias("score"), F.col("toxic").alias("label"))
+    return ml.tune_threshold(scored).select(F.round("threshold", 6).alias("threshold"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query(f"""WITH {R._ALIGNED} SELECT id, actual AS gold_label, predicted AS predicted_label, CASE WHEN actual = predicted THEN 'correct' WHEN actual = 'contradict' THEN 'false_negative' ELSE 'false_positive' END AS error_type,
 id % 4 AS num_claims, 'U' AS internal_status, id % 7 AS num_supported, id % 2 AS num_contradicted, id % 3 AS num_insufficient,
 CASE WHEN actual = predicted THEN 'none' WHEN id % 2 = 0 AND id % 3 = id % 4 THEN 'verifier_all_insufficient' WHEN id % 5 = 0 THEN 'missing_trace' ELSE 'retrieval_or_verifier_missed_contradiction' END AS likely_failure_layer FROM g""")

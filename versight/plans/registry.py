@@ -280,10 +280,10 @@ def ret_26_top_structs(spark, sf):
     return top.select("label", F.array_join(F.transform("top", lambda x: x["vec_id"].cast("string")), ",").alias("top"))
 
 
-def annotated(spark, sf) -> DataFrame:
+def annotated(spark, sf, global_index: bool = True) -> DataFrame:
     """Chunks of all documents with the stand-in lexicons."""
     chapters = _docs(spark, sf).select(F.col("source").alias("book_name"), F.col("doc_id").alias("chapter_index"), "text")
-    return ingest.annotate(ingest.build_chunks(chapters), NAMES, EVENTS, MARKERS)
+    return ingest.annotate(ingest.build_chunks(chapters, global_index=global_index), NAMES, EVENTS, MARKERS)
 
 
 _ANNOTATED = f"{CHUNKS}, a AS (SELECT c.doc_id, c.source, c.i, c.text, string_split(nullif({_list_of(_NAME_HITS)}, ''), ',') AS names, string_split(coalesce(nullif({_list_of(_EVENT_HITS)}, ''), 'mention'), ',') AS events FROM chunks c)"
@@ -292,7 +292,7 @@ _ANNOTATED = f"{CHUNKS}, a AS (SELECT c.doc_id, c.source, c.i, c.text, string_sp
 @query(f"""WITH {_ANNOTATED} SELECT character, event_type, count(*) AS n_frames, round(sum(CASE WHEN event_type = 'mention' THEN 0.45 ELSE 0.7 END)::DOUBLE, 4) AS confidence
 FROM (SELECT character, unnest(events) AS event_type FROM (SELECT unnest(names) AS character, events FROM a)) GROUP BY ALL""")
 def tml_01_timeline(spark, sf):
-    return timeline.build(annotated(spark, sf)).groupBy("character", "event_type").agg(F.count("*").alias("n_frames"), F.round(F.sum("confidence"), 4).alias("confidence"))
+    return timeline.build(annotated(spark, sf, False)).groupBy("character", "event_type").agg(F.count("*").alias("n_frames"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
 _GLOBAL = f"{_ANNOTATED}, g AS (SELECT *, row_number() OVER (ORDER BY source, doc_id, i) AS place, source || ':ch' || lpad(doc_id::VARCHAR, 4, '0') || ':chunk' || lpad((i + 1)::VARCHAR, 4, '0') AS chunk_id FROM a)"
@@ -309,7 +309,7 @@ ch AS (SELECT l.name AS l, r.name AS r, count(*) AS same_chapter FROM (SELECT DI
 nb AS (SELECT l, r, count(*) AS nearby_chunks FROM (SELECT DISTINCT x.doc_id, x.source, x.i, x.name AS l, y.name AS r FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.source = y.source AND abs(x.i - y.i) <= 2 WHERE x.name < y.name) GROUP BY ALL)
 SELECT l || '||' || r AS pair, coalesce(same_chunk, 0) AS same_chunk, coalesce(same_chapter, 0) AS same_chapter, coalesce(nearby_chunks, 0) AS nearby_chunks FROM nb LEFT JOIN ch USING (l, r) LEFT JOIN sc USING (l, r)""")
 def cst_03_cooccurrence(spark, sf):
-    return timeline.cooccurrence(annotated(spark, sf), canonical=lambda m: m).select(F.concat_ws("||", "left", "right").alias("pair"), "same_chunk", "same_chapter", "nearby_chunks")
+    return timeline.cooccurrence(annotated(spark, sf, False), canonical=lambda m: m).select(F.concat_ws("||", "left", "right").alias("pair"), "same_chunk", "same_chapter", "nearby_chunks")
 
 
 @query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
