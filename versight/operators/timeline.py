@@ -57,8 +57,8 @@ def incompatible_events(frames: DataFrame, wanted: DataFrame, aliases=L.EVENT_AL
     return frames.join(asked, (F.lower(frames.character) == F.col("_c")) & (F.lower(frames.event_type) == F.lower(F.col("_e"))), "left_semi")
 
 
-def cooccurrence(chunks: DataFrame, canonical=A.canonical) -> DataFrame:
-    """(left, right, same_chunk, same_chapter, nearby_chunks) of name pairs.
+def cooccurrence(chunks: DataFrame, canonical=A.canonical, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """(left, right, same_chunk, same_chapter, nearby_chunks) of name pairs, for each value of the columns ``by`` (book_name, chapter_id).
 
     Nearby pairs take the lesser name from a chunk and the other from at most two chunks
     before or after in the chapter.
@@ -67,8 +67,8 @@ def cooccurrence(chunks: DataFrame, canonical=A.canonical) -> DataFrame:
     rows = written(rows, "names")  # three counts read it, none the texts again
 
     def pairs(frame: DataFrame, left: str, right: str, name: str) -> DataFrame:
-        each = frame.select(*[c for c in ("n",) if c in frame.columns], F.explode(left).alias("left"), F.col(right).alias("rs"))
-        return each.select("left", F.explode("rs").alias("right")).where("left < right").groupBy("left", "right").agg(F.count("*").alias(name))
+        each = frame.select(*by, F.explode(left).alias("left"), F.col(right).alias("rs"))
+        return each.select(*by, "left", F.explode("rs").alias("right")).where("left < right").groupBy(*by, "left", "right").agg(F.count("*").alias(name))
 
     same = pairs(rows, "names", "names", "same_chunk")
     by_chapter = rows.groupBy("book_name", "chapter_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
@@ -76,7 +76,7 @@ def cooccurrence(chunks: DataFrame, canonical=A.canonical) -> DataFrame:
     band = W.partitionBy("book_name", "chapter_id").orderBy("chunk_index_in_chapter").rowsBetween(-2, 2)
     near_rows = rows.withColumn("near", F.array_distinct(F.flatten(F.collect_list("names").over(band)))).withColumn("names", F.array_distinct("names"))
     near = pairs(near_rows, "names", "near", "nearby_chunks")
-    return reduce(lambda a, b: a.join(b, ["left", "right"], "full"), (same, chapter, near)).fillna(0, ["same_chunk", "same_chapter", "nearby_chunks"])
+    return reduce(lambda a, b: a.join(b, [*by, "left", "right"], "full"), (same, chapter, near)).fillna(0, ["same_chunk", "same_chapter", "nearby_chunks"])
 
 
 def _most_common(rows: DataFrame, values: str, out: str, k: int = 12) -> DataFrame:
@@ -87,18 +87,31 @@ def _most_common(rows: DataFrame, values: str, out: str, k: int = 12) -> DataFra
     return ranked.groupBy("character").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("x")).select("character", F.transform("x", lambda e: e["v"]).alias(out))
 
 
-def profiles(chunks: DataFrame, targets) -> DataFrame:
-    """One row per target: first mention, densest chunks, what it is mentioned with."""
+#: What a profile lists, and where it is found.
+PROFILE_LISTS = {"co_mentioned_characters": "a.secondary_characters", "associated_locations": "a.locations", "associated_roles": "a.roles", "associated_dates": "a.dates", "important_event_types": "event_mentions"}
+
+
+def met(chunks: DataFrame, targets) -> DataFrame:
+    """Chunks with each target that they mention (character) and the anchors of their text (a)."""
     names = F.array(*(F.lit(t) for t in targets))
     said = F.transform("character_mentions", lambda m: F.lower(A.canonical(m)))
-    met = chunks.withColumn("character", F.explode(F.filter(names, lambda t: F.array_contains(said, F.lower(t)) | F.lower(F.col("text")).contains(F.lower(t)))))
-    met = met.withColumn("a", A.extract(F.col("text"), F.col("character")))
-    base = met.groupBy("character").agg(F.count("*").alias("mention_count"), F.min_by("chunk_id", "chunk_index_global").alias("first_mention_chunk"), F.min_by("chapter_id", "chunk_index_global").alias("first_mention_chapter"))
-    dense = met.withColumn("r", F.row_number().over(W.partitionBy("character").orderBy(F.desc("plot_density_score"), "chunk_index_global"))).where("r <= 8").groupBy("character").agg(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))).alias("x")).select("character", F.transform("x", lambda e: e["chunk_id"]).alias("high_signal_chunks"))
-    lists = {"co_mentioned_characters": "a.secondary_characters", "associated_locations": "a.locations", "associated_roles": "a.roles", "associated_dates": "a.dates", "important_event_types": "event_mentions"}
-    out = base.join(dense, "character", "left")
-    for name, values in lists.items():
-        out = out.join(_most_common(met, values, name), "character", "left")
+    found = chunks.withColumn("character", F.explode(F.filter(names, lambda t: F.array_contains(said, F.lower(t)) | F.lower(F.col("text")).contains(F.lower(t)))))
+    return found.withColumn("a", A.extract(F.col("text"), F.col("character")))
+
+
+def listed(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """(character, out): the values of ranked rows (r) in their order."""
+    return rows.groupBy("character").agg(F.array_sort(F.collect_list(F.struct("r", F.col(value).alias("v")))).alias("x")).select("character", F.transform("x", lambda e: e["v"]).alias(out))
+
+
+def profiles(chunks: DataFrame, targets) -> DataFrame:
+    """One row per target: first mention, densest chunks, what it is mentioned with."""
+    rows = met(chunks, targets)
+    base = rows.groupBy("character").agg(F.count("*").alias("mention_count"), F.min_by("chunk_id", "chunk_index_global").alias("first_mention_chunk"), F.min_by("chapter_id", "chunk_index_global").alias("first_mention_chapter"))
+    dense = rows.withColumn("r", F.row_number().over(W.partitionBy("character").orderBy(F.desc("plot_density_score"), "chunk_index_global"))).where("r <= 8")
+    out = base.join(listed(dense, "chunk_id", "high_signal_chunks"), "character", "left")
+    for name, values in PROFILE_LISTS.items():
+        out = out.join(_most_common(rows, values, name), "character", "left")
     return out
 
 

@@ -8,7 +8,7 @@ from versight import lexicons as L
 from versight.functions import text as T
 from versight.functions.ranges import running
 from versight.functions.store import scratch
-from versight.operators import anchors as A, bm25, bm25_store, book_ranges, ingest, lexicon, ml, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
+from versight.operators import anchors as A, bm25, bm25_store, book_ranges, book_state, ingest, lexicon, ml, planning, rerank as rr, retrieval, substrings, timeline, traces, vectors, verify
 from versight.plans import registry as R
 from versight.plans.registry import query
 from versight.sources import answer_store
@@ -267,6 +267,20 @@ def rrk_04_overlaps(spark, sf):
 # --- timeline and constraints ---------------------------------------------------------------
 
 
+@query(R.ORACLE_SQL["cst_03_cooccurrence"])
+def cst_03_merged_state(spark, sf):
+    """The counts of ``cst_03_cooccurrence`` from states of books that arrived in two parts, some under another name that was taken out again."""
+    chunks = R.annotated(spark, sf)
+    path = scratch(spark, "states")
+    book_state.create(spark, path)
+    strangers = chunks.where("book_name < 'src1'").withColumn("book_name", F.concat(F.lit("not "), "book_name"))
+    odd = F.pmod(F.xxhash64("book_name"), F.lit(2)) == 1
+    book_state.add(chunks.where(odd).unionByName(strangers), path, (), canonical=lambda m: m)
+    book_state.add(chunks.where(~odd), path, (), canonical=lambda m: m)
+    book_state.remove(strangers.select("book_name").distinct(), path)
+    return book_state.cooccurrence(spark, path).select(F.concat_ws("||", "left", "right").alias("pair"), "same_chunk", "same_chapter", "nearby_chunks")
+
+
 @query(f"""WITH {R._GLOBAL}, t AS (SELECT unnest({_quoted(R.NAMES)}) AS character)
 SELECT character, count(*) AS mention_count, arg_min(chunk_id, place) AS first_mention_chunk FROM t JOIN g ON contains(lower(text), character) GROUP BY character""")
 def cst_02_mentions(spark, sf):
