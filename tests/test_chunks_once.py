@@ -31,10 +31,10 @@ def counted(spark, monkeypatch):
     return made
 
 
-@pytest.mark.parametrize("name", ["ret_17_hybrid"])
+@pytest.mark.parametrize("name", ["cst_01_profiles", "ret_21_legacy_retrieve", "cst_03_merged_state", "cst_05_features", "ret_17_hybrid"])
 def test_chunks_are_made_once(spark, small, monkeypatch, name):
     made = counted(spark, monkeypatch)
-    assert registry.QUERIES[name](spark, small).count() > 0
+    registry.QUERIES[name](spark, small).collect()
     assert made.value == 5  # two short texts, and three chunks of the long one
 
 
@@ -48,3 +48,17 @@ def test_chunks_by_pieces(spark, size, overlap, tail):
         starts = range(0, (max(len(w) - overlap - 1, 0) if tail == "stop" else len(w) - 1) + 1, size - overlap) if w else []
         assert chunks == [" ".join(w[s : s + size]) for s in starts]
     assert spark.createDataFrame([(t,) for t in texts], "t string").select(ingest._chunk_count(F.col("t"), 400, 100).alias("n")).agg(F.sum("n")).first()[0] == sum(1 if len(t.split()) <= 400 else -(-(len(t.split()) - 400) // 300) + 1 for t in texts if t.split())
+
+
+def test_terms_by_plain_text(spark):
+    """Terms are found alike with and without the plain text's help."""
+    from versight import lexicons as L
+    from versight.functions import text as T
+    from versight.operators import anchors as A
+
+    terms = [*L.ANCHOR_CHARACTERS, *L.LOCATIONS, *L.ROLES]
+    texts = [f"{a}{t}{b}" for t in terms for a, b in (("", ""), ("x ", ", y"), ("x", ""), ("", "s"), ("-", "-"))]
+    texts += [t.upper() for t in terms] + [t.replace(" ", "-").lower() for t in terms] + [t.replace(" ", "  and ") for t in terms] + ["", "chie\u017f", "\u212aai-koumou", "first  -mate", "abb\u00c9", "abbe_"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", T.plain(F.col("t")))
+    for r in rows.select("t", A.find_terms(F.col("t"), terms).alias("a"), A.find_terms(F.col("t"), terms, F.col("p")).alias("b")).collect():
+        assert r.a == r.b, r.t

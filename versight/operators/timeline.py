@@ -92,11 +92,20 @@ PROFILE_LISTS = {"co_mentioned_characters": "a.secondary_characters", "associate
 
 
 def met(chunks: DataFrame, targets) -> DataFrame:
-    """Chunks with each target that they mention (character) and the anchors of their text (a)."""
-    names = F.array(*(F.lit(t) for t in targets))
+    """Chunks with each target that they mention (character) and what a profile lists of their text (a).
+
+    A text is searched once, before the targets are met.
+    """
+    names, plain = F.array(*(F.lit(t) for t in targets)), F.col("_plain")
     said = F.transform("character_mentions", lambda m: F.lower(A.canonical(m)))
-    found = chunks.withColumn("character", F.explode(F.filter(names, lambda t: F.array_contains(said, F.lower(t)) | F.lower(F.col("text")).contains(F.lower(t)))))
-    return found.withColumn("a", A.extract(F.col("text"), F.col("character")))
+    who = T.let(F.struct(said.alias("said"), F.lower("text").alias("low")), lambda x: F.filter(names, lambda t: F.array_contains(x["said"], F.lower(t)) | x["low"].contains(F.lower(t))))
+    hit = chunks.withColumn("_who", who).where(F.size("_who") > 0).withColumn("_plain", T.plain(F.col("text")))
+    text = F.col("text")
+    found = hit.withColumn("_a", F.struct(A.people_of(text, plain).alias("people"), A.find_terms(text, L.LOCATIONS, plain).alias("locations"), A.years(text).alias("dates"), A.find_terms(text, L.ROLES, plain).alias("roles")))
+    found = found.drop("_plain").withColumn("character", F.explode("_who"))
+    aim = A.canonical(F.coalesce("character", F.lit("")))
+    a = F.struct(aim.alias("target_character"), F.array_except("_a.people", F.array(aim)).alias("secondary_characters"), F.col("_a.locations").alias("locations"), F.col("_a.dates").alias("dates"), F.col("_a.roles").alias("roles"))
+    return found.withColumn("a", a).drop("_who", "_a")
 
 
 def listed(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -106,7 +115,7 @@ def listed(rows: DataFrame, value: str, out: str) -> DataFrame:
 
 def profiles(chunks: DataFrame, targets) -> DataFrame:
     """One row per target: first mention, densest chunks, what it is mentioned with."""
-    rows = met(chunks, targets)
+    rows = written(met(chunks, targets).select("character", "chunk_index_global", "chunk_id", "chapter_id", "plot_density_score", "event_mentions", "a"), "met")
     base = rows.groupBy("character").agg(F.count("*").alias("mention_count"), F.min_by("chunk_id", "chunk_index_global").alias("first_mention_chunk"), F.min_by("chapter_id", "chunk_index_global").alias("first_mention_chapter"))
     dense = rows.withColumn("r", F.row_number().over(W.partitionBy("character").orderBy(F.desc("plot_density_score"), "chunk_index_global"))).where("r <= 8")
     out = base.join(listed(dense, "chunk_id", "high_signal_chunks"), "character", "left")
