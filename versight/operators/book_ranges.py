@@ -10,7 +10,7 @@ keeps a few numbers while it streams through a range:
 3. words with their places in the chapter, cut at the chunks' edges, from the state in which the range begins.
 
 Between the passes the ranges (one row each, counted before) are put in order, which gives each
-its state: a segmented prefix scan. Chunks are put together from the pieces of a chunk, at most its words.
+its state: a segmented prefix scan. A chunk that lies in one range is made there; others are put together from a piece a range.
 """
 
 from __future__ import annotations
@@ -39,20 +39,33 @@ def lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     rows = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     name = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1))
     rows = rows.select(name.alias("book"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
-    ends = lambda pattern: F.regexp_instr("line", F.lit(pattern)) - 1
+    ends = lambda pattern: F.when(F.contains("line", F.lit("***")), F.regexp_instr("line", F.lit(pattern)) - 1).otherwise(-1)
     begin = ends(ingest.START)
     return rows.select("book", "at", "line", F.when(begin >= 0, begin + F.length(F.regexp_extract("line", ingest.START, 0))).alias("start"), F.when((end := ends(ingest.END)) >= 0, end).alias("end"))
 
 
+#: What both engines of patterns take for white space.
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def _parsed(cut: DataFrame) -> DataFrame:
     """Lines with the marks of headings and titles, divided at carriage returns."""
-    part = cut.select("book", "at", F.explode(F.split(F.regexp_replace("line", r"\r\z", ""), "\r")).alias("line"))
-    head = F.trim("line")
-    is_head = head.rlike(ingest.HEADING)
+    line = F.col("line")
+    divided = F.when(F.contains(line, F.lit("\r")), F.split(F.regexp_replace(line, r"\r\z", ""), "\r")).otherwise(F.array(line))
+    part = cut.select("book", "at", F.explode(divided).alias("line"))
+    # most lines fail at their first letters
+    maybe = F.lower(F.left(F.ltrim(line, F.lit(_BLANKS)), F.lit(7))) == "chapter"
+    part = part.withColumn("is_head", maybe & F.trim("line").rlike(ingest.HEADING))
+    head, is_head = F.trim("line"), F.col("is_head")
     trailing, generic = ingest.heading_title(head)
-    title = F.trim("line")
-    words = T.words(F.col("line"))
-    return part.select("book", "at", F.when(is_head, head).alias("head"), F.when(is_head, trailing).alias("trailing"), F.coalesce(is_head & generic, F.lit(False)).alias("generic"), F.when(~is_head & (title != ""), title).alias("title"), F.coalesce(~is_head & (title != "") & ingest.titled(title), F.lit(False)).alias("fits"), F.when(~is_head, words).otherwise(F.expr("cast(array() as array<string>)")).alias("words"))
+    return part.select("book", "at", line.cast("binary").alias("line"), F.when(is_head, head).alias("head"), F.when(is_head, trailing).alias("trailing"), F.coalesce(is_head & generic, F.lit(False)).alias("generic"), F.coalesce(~is_head & (head != "") & ingest.titled(head), F.lit(False)).alias("fits"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[tuple]]]:
+    """((book, at), (book, at, line, head, trailing, generic, fits) of its lines) of each range of parsed lines, in order."""
+    names = ("book", "at", "line", "head", "trailing", "generic", "fits")
+    rows = (row for batch in batches for i in range(0, batch.num_rows, 4096) for row in zip(*(batch.column(c).slice(i, 4096).to_pylist() for c in names), strict=True))
+    return groupby(rows, key=lambda r: r[:2])
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[dict]]]:
@@ -119,20 +132,20 @@ def _kept(found: DataFrame) -> DataFrame:
 
 def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each range does to the chapter that is open when it begins, and what it leaves open."""
-    for (book, at), rows in _streamed(batches):
+    for (book, at), rows in _read(batches):
         heads, first, before, behind, waits = 0, None, 0, 0, None
-        for r in rows:
-            if r["head"] is not None:
-                heads, behind, waits = heads + 1, 0, r["generic"]
+        for _, _, line, head, _, generic, fits in rows:
+            if head is not None:
+                heads, behind, waits = heads + 1, 0, generic
                 continue
-            n = len(r["words"])
+            n = len(line.split())  # at the same characters as ``T.words``
             if not heads:
-                if first is None and r["title"] is not None:
-                    first = n if r["fits"] else -1
+                if first is None and line.strip(b" "):
+                    first = n if fits else -1
                 before += n
             else:
-                if r["title"] is not None and waits is not None:
-                    n, waits = 0 if waits and r["fits"] else n, None
+                if waits is not None and line.strip(b" "):
+                    n, waits = 0 if waits and fits else n, None
                 behind += n
         yield pa.RecordBatch.from_pylist([{"book": book, "at": at, "heads": heads, "first": first, "before": before, "behind": behind, "waits": waits}], schema=pa.schema([("book", pa.string()), ("at", pa.int64()), ("heads", pa.int64()), ("first", pa.int64()), ("before", pa.int64()), ("behind", pa.int64()), ("waits", pa.bool_())]))
 
@@ -154,43 +167,63 @@ def _states(ranges: list) -> dict[tuple[str, int], tuple[int, int, bool | None,
     return out
 
 
-_PIECE = "book string, chapter long, chunk long, start long, words array<string>, head string, trailing string, title string"
+_PIECE = "book string, chapter long, chunk long, start long, n long, text string, whole boolean, head string, trailing string, title string"
 
 
 @lru_cache(maxsize=1)
 def _piece_schema() -> pa.Schema:
     text = pa.string()
-    return pa.schema([("book", text), ("chapter", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("words", pa.list_(text)), ("head", text), ("trailing", text), ("title", text)])
+    return pa.schema([("book", text), ("chapter", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", text), ("whole", pa.bool_()), ("head", text), ("trailing", text), ("title", text)])
 
 
 def _pieces(shared, size: int, overlap: int):
-    """Headings and title lines of chapters, and runs of words by chunk."""
+    """Headings and title lines of chapters, and of each chunk the words that a range has: ``whole`` where these are all."""
     step = size - overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for key, rows in _streamed(batches):
-            chapter, words, waits, any_head = shared.value[key]
-            for r in rows:
-                if r["head"] is not None:
-                    chapter, words, waits = chapter + 1, 0, r["generic"]
-                    out.append({"book": key[0], "chapter": chapter, "head": r["head"], "trailing": r["trailing"]})
+        for (book, at), rows in _read(batches):
+            chapter, first, waits, any_head = shared.value[book, at]
+            # words from place ``first`` of the chapter on, of the chunks from ``chunk`` on
+            words, chunk = [], max(0, (first - size) // step + 1)
+
+            def piece(ended: bool) -> None:
+                low = max(0, chunk * step - first)
+                if not (part := words[low : chunk * step + size - first]):
+                    return
+                whole = first + low == chunk * step and (ended or len(part) == size)
+                out.append({"book": book, "chapter": chapter, "chunk": chunk, "start": first + low, "n": len(part), "text": b" ".join(part), "whole": whole})
+
+            for _, _, line, head, trailing, generic, fits in rows:
+                if head is not None:
+                    while chunk * step < first + len(words):
+                        piece(True)
+                        chunk += 1
+                    chapter, words, first, chunk, waits = chapter + 1, [], 0, 0, generic
+                    out.append({"book": book, "chapter": chapter, "head": head, "trailing": trailing})
                 elif chapter or not any_head:
-                    own = r["words"]
-                    if r["title"] is not None and waits is not None:
-                        if waits and r["fits"]:
-                            out.append({"book": key[0], "chapter": chapter, "title": r["title"]})
+                    own = line.split()
+                    if waits is not None and (title := line.strip(b" ")):
+                        if waits and fits:
+                            out.append({"book": book, "chapter": chapter, "title": title})
                             own = []
                         waits = None
-                    for chunk in range(max(0, (words - size) // step + 1), (words + len(own) - 1) // step + 1 if own else 0):
-                        low, high = max(0, chunk * step - words), chunk * step + size - words
-                        if part := own[low:high]:
-                            out.append({"book": key[0], "chapter": chapter, "chunk": chunk, "start": words + low, "words": part})
-                    words += len(own)
-                held += len(r["words"])
-                if len(out) > 4096 or held > 1 << 17:
+                    words += own
+                    while first + len(words) >= chunk * step + size:
+                        piece(False)
+                        held += size
+                        chunk += 1
+                        if held > 1 << 17:
+                            yield pa.RecordBatch.from_pylist(out, schema=_piece_schema())
+                            out, held = [], 0
+                    if (gone := chunk * step - first) > 0:
+                        words, first = words[gone:], first + gone
+                if len(out) > 4096:
                     yield pa.RecordBatch.from_pylist(out, schema=_piece_schema())
                     out, held = [], 0
+            while chunk * step < first + len(words):
+                piece(False)
+                chunk += 1
         yield pa.RecordBatch.from_pylist(out, schema=_piece_schema())
 
     return run
@@ -208,17 +241,18 @@ def book_chunks(spark: SparkSession, path: str, *, size: int = 400, overlap: int
     shared = spark.sparkContext.broadcast(_states(_checked(effects)))
     pieces = written(parsed.mapInArrow(_pieces(shared, size, overlap), _PIECE), "pieces")
 
-    told = pieces.groupBy("book", "chapter").agg(F.max("head").alias("head"), F.max("trailing").alias("trailing"), F.max("title").alias("title"), F.count("chunk").alias("n"), F.max(F.when(F.col("chunk").isNotNull(), F.col("start") + F.size("words"))).alias("n_words"))
+    told = pieces.groupBy("book", "chapter").agg(F.max("head").alias("head"), F.max("trailing").alias("trailing"), F.max("title").alias("title"), F.count("chunk").alias("n"), F.max(F.col("start") + F.col("n")).alias("n_words"))
     title = F.when(F.col("head").isNull(), F.lit(None)).when(F.col("title").isNotNull(), F.col("title")).when(F.col("trailing") != "", F.col("trailing")).otherwise(F.col("head"))
     name = F.regexp_replace("book", r"\.txt$", "")
     chapters = told.where("n > 0").select("book", "chapter", name.alias("book_name"), title.alias("chapter_title"), F.row_number().over(W.partitionBy("book").orderBy("chapter")).alias("chapter_index"), "n_words")
     chapters = written(chapters, "chapters")
 
-    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "words"))), lambda x: x["words"]))
-    chunks = pieces.where("chunk is not null").groupBy("book", "chapter", "chunk").agg(words.alias("w"))
-    chunks = chunks.where((F.col("chunk") == 0) | (F.size("w") > overlap)).join(chapters, ["book", "chapter"])
+    own = ("book", "chapter", "chunk")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), " ")
+    chunks = pieces.where("whole").select(*own, "n", "text").unionByName(pieces.where("not whole").groupBy(*own).agg(F.sum("n").alias("n"), joined.alias("text")))
+    chunks = chunks.where((F.col("chunk") == 0) | (F.col("n") > overlap)).join(chapters, ["book", "chapter"])
     chapter_id, chunk_id = ingest.ids(F.col("book_name"), F.col("chapter_index"), F.col("chunk"))
-    out = chunks.select("book_name", chapter_id.alias("chapter_id"), "chapter_title", "chapter_index", (F.col("chunk") + 1).cast("int").alias("chunk_index_in_chapter"), chunk_id.alias("chunk_id"), F.array_join("w", " ").alias("text"))
+    out = chunks.select("book_name", chapter_id.alias("chapter_id"), "chapter_title", "chapter_index", (F.col("chunk") + 1).cast("int").alias("chunk_index_in_chapter"), chunk_id.alias("chunk_id"), "text")
     if not global_index:
         return out.drop("chapter_index")
     n = F.when(F.col("n_words") <= size, 1).otherwise(F.ceil((F.col("n_words") - size) / F.lit(size - overlap)) + 1)
