@@ -22,7 +22,7 @@ from versight.operators import bm25
 #: Postings of a file within a bucket, about.
 FILE_POSTINGS = 1 << 22
 #: Bytes of texts whose postings are grouped by token in a task, about; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 #: Documents of a block where segments are merged, about.
 BLOCK_DOCS = 1 << 14
 #: Bytes of lower-cased texts that are part of a token, as in ``text.tokenise``.
